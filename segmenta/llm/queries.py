@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.llm import bpe
-from segmenta.llm.common import table
+from segmenta.llm import bpe, langid, toxicity
+from segmenta.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -34,6 +34,25 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_bpe": op1_bpe}
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = crc_mod("doc_id", 5)
+    model = langid.fit(docs, fold != 0)
+    return langid.predict(docs.select("doc_id", "text", (fold == 0).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "distance", "rejected")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = crc_mod("doc_id", 3)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold != 1)
+    scored = toxicity.score(docs.select("doc_id", "text", (fold == 1).alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_hits")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op2_langid": op2_langid,
+    "op10_toxicity": op10_toxicity,
+}
 
 ORACLE_SQL: dict[str, str] = {}
