@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.llm import bpe, langid, pivots, simhash, toxicity
+from segmenta.llm import bpe, langid, multiset, pivots, simhash, toxicity
 from segmenta.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -46,6 +46,20 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = multiset.edited(table(spark, sf_dir, "documents"))
+    fp, edited_fp, next_fp = map(F.col, ("fp", "edited_fp", "next_fp"))
+    return docs.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        multiset.as_hex(fp).alias("fingerprint"),
+        multiset.as_hex(edited_fp).alias("edited_fingerprint"),
+        multiset.likeness(fp, edited_fp).alias("near_edited"),
+        multiset.likeness(fp, next_fp).alias("near_next"),
+    )
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pivots.link(table(spark, sf_dir, "embeddings"), cosine=0.95)
     return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
@@ -63,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
     "op4_simhash": op4_simhash,
+    "op7_multiset": op7_multiset,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_toxicity": op10_toxicity,
 }
