@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -26,10 +28,14 @@ def durable(df: DataFrame) -> DataFrame:
 
     A folder of our own is set only where the session names none, as in local tests.
     """
-    sc = df.sparkSession.sparkContext
+    durable_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def durable_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="segmenta-"))
-    return df.checkpoint(eager=True)
 
 
 def crc_mod(doc_id: str | Column, m: int) -> Column:
@@ -53,3 +59,20 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The column's texts; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: smaller than a checkpoint; removed at exit."""
+    spark = df.sparkSession
+    durable_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        jvm = spark.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

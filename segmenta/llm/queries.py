@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.llm import bpe, langid, multiset, pivots, simhash, toxicity
+from segmenta.llm import bpe, langid, lm, multiset, pivots, simhash, toxicity
 from segmenta.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -41,6 +41,11 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text", (fold == 0).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score", "distance", "rejected")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return scored.select("doc_id", (crc_mod("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -76,6 +81,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
+    "op3_lm": op3_lm,
     "op4_simhash": op4_simhash,
     "op7_multiset": op7_multiset,
     "op9_embedding_dedup": op9_embedding_dedup,
