@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.llm import bpe, langid, lm, multiset, pivots, simhash, toxicity
+from segmenta.llm import bpe, html_main, langid, lm, multiset, pivots, simhash, toxicity
 from segmenta.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -51,6 +51,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op7_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = multiset.edited(table(spark, sf_dir, "documents"))
     fp, edited_fp, next_fp = map(F.col, ("fp", "edited_fp", "next_fp"))
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": op2_langid,
     "op3_lm": op3_lm,
     "op4_simhash": op4_simhash,
+    "op5_html": op5_html,
     "op7_multiset": op7_multiset,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_toxicity": op10_toxicity,
