@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.llm import bpe, html_main, langid, lm, multiset, pivots, simhash, toxicity
+from segmenta.llm import bpe, html_main, langid, lm, mixing, multiset, pii, pivots, simhash, toxicity
 from segmenta.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -55,6 +55,33 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def joined(spans) -> F.Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, hex_sha256(joined(base)).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+DOMAINS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
+
+
+def domain_mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+    return mixing.mix(docs.select("doc_id", "text"), labels, domain, DOMAINS)
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = domain_mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rated.select("doc_id", "n_tokens", *[F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate", "copies")
+
+
 def op7_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = multiset.edited(table(spark, sf_dir, "documents"))
     fp, edited_fp, next_fp = map(F.col, ("fp", "edited_fp", "next_fp"))
@@ -88,7 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_lm": op3_lm,
     "op4_simhash": op4_simhash,
     "op5_html": op5_html,
+    "op6_pii": op6_pii,
     "op7_multiset": op7_multiset,
+    "op8_mixing": op8_mixing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_toxicity": op10_toxicity,
 }

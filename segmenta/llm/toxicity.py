@@ -176,7 +176,8 @@ def fit(df: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id",
         return None
     share = F.create_map(*[F.lit(x) for y, n in sizes.items() for x in (y, min(1.0, train_rows * (2 - y) / n))])
     marks = marks.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("y")] * (1 << 20))
-    got = sorted(map(tuple, marks.join(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id").select("text", "y").where("text is not null").collect()))
+    # about 3 * train_rows marks, so this side is small whatever the tables' sizes
+    got = sorted(map(tuple, df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "id").select("text", "y").where("text is not null").collect()))
     return learn([g[0] for g in got], [g[1] for g in got]) if got else None
 
 
