@@ -119,14 +119,17 @@ def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     docs = df.select(F.col(id_col).alias("id"), row_key(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
     given = followers(df, id_col, text_col)
-    led = docs.join(given, (F.col("key") == F.col("at")) & (F.col("hash") == F.col("at_hash"))).select("key", "hash", "row", "text", "for_id", "for_hash", "take")
-    own = fingerprints(led, ["key", "hash", "row", "for_id", "for_hash"]).dropDuplicates(["key", "hash"]).drop("row")
-    heads = led.select("for_id", "for_hash", F.expr("substring(text, 1, int(take))").alias("head")).dropDuplicates(["for_id", "for_hash"])
+    # summed on the scan's side: texts are not shuffled for it
+    own = fingerprints(docs, ["key", "hash", "row"]).dropDuplicates(["key", "hash"]).drop("row")
+    led = docs.join(given, (F.col("key") == F.col("at")) & (F.col("hash") == F.col("at_hash")))
+    # both joins read the same columns of docs, so its texts are shuffled once
+    led = led.select("id", "row", "for_id", "for_hash", F.expr("substring(text, 1, int(take))").alias("head"))
+    heads = led.groupBy("for_id", "for_hash").agg(F.min_by(F.struct("id", "head"), "row").alias("next")).select("for_id", "for_hash", F.col("next.id").alias("next_id"), F.col("next.head").alias("head"))
     both = docs.join(heads, (F.col("key") == F.col("for_id")) & (F.col("hash") == F.col("for_hash")))
     half = F.expr("concat(substring(text, 1, length(text) - int(floor(length(text) / 2))), head)")
-    both = both.select("id", "key", "hash", "row", F.length("text").cast("long").alias("n_chars"), half.alias("edited"))
+    both = both.select("id", "key", "hash", "row", "next_id", F.length("text").cast("long").alias("n_chars"), half.alias("edited"))
     both = both.select("*", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    changed = fingerprints(both, ["id", "key", "hash", "row", "n_chars", "edited_sha256"], "edited", "edited_fp")
-    after = own.select(F.col("for_id").alias("key"), F.col("for_hash").alias("hash"), F.col("fp").alias("next_fp"))
+    changed = fingerprints(both, ["id", "key", "hash", "row", "next_id", "n_chars", "edited_sha256"], "edited", "edited_fp")
+    after = own.join(given, (F.col("key") == F.col("at")) & (F.col("hash") == F.col("at_hash"))).select(F.col("for_id").alias("key"), F.col("for_hash").alias("hash"), F.col("fp").alias("next_fp"))
     out = changed.join(own.select("key", "hash", "fp"), ["key", "hash"]).join(after, ["key", "hash"])
-    return out.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
+    return out.select(F.col("id").alias(id_col), "next_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")

@@ -87,6 +87,7 @@ def op7_multiset(spark: SparkSession, sf_dir: str) -> DataFrame:
     fp, edited_fp, next_fp = map(F.col, ("fp", "edited_fp", "next_fp"))
     return docs.select(
         "doc_id",
+        "next_id",
         "n_chars",
         "edited_sha256",
         multiset.as_hex(fp).alias("fingerprint"),
