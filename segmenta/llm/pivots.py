@@ -28,6 +28,8 @@ from segmenta.llm.common import durable, small_batches
 from segmenta.llm.components import components
 
 MIN_PIVOTS, MAX_PIVOTS = 24, 2048
+#: Pivots closer than this would rank linked vectors at random.
+PIVOT_COSINE = 0.8
 
 
 def unit(v: list | None) -> np.ndarray | None:
@@ -46,7 +48,7 @@ def farthest_first(x: np.ndarray, m: int) -> np.ndarray:
     near = x @ x[0]
     for _ in range(min(m, len(x)) - 1):
         k = int(np.argmin(near))
-        if near[k] > 1 - 1e-9:
+        if near[k] > PIVOT_COSINE:
             break
         chosen.append(k)
         near = np.maximum(near, x @ x[k])
