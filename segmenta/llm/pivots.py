@@ -7,7 +7,7 @@ in order; the index lists, under each pair of pivots, the vectors that have both
 double precision. A pair that meets in several lists counts in the first of them only.
 
 Lists longer than `block` are dealt into blocks, and each pair of blocks is its own unit of work, so no list
-lands in one task whole. A unit of work returns counts and a spanning forest of its links, never all pairs.
+lands in one task whole. A unit of work returns counts and each vector's least reachable one, never all pairs.
 
 Every vector is indexed; the number of pivots grows with the root of their number, up to MAX_PIVOTS.
 Defined results: null or zero vectors, and those with null, non-finite or missing components, link with
@@ -69,22 +69,18 @@ def lists_of(order: np.ndarray, pivots: int) -> np.ndarray:
     return np.sort(low.astype(np.int64) * pivots + high, axis=1)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> list[int]:
-    """Positions of the links that join two trees."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent[p]
-        return x
-
-    out = []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        x, y = find(x), find(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append(k)
-    return out
+def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Least position that each of n positions reaches by the links u - v."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
@@ -161,26 +157,24 @@ def _verify(cosine: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             x = np.stack([np.frombuffer(r[5], np.float64) for r in rows])
             lists = np.array([r[6] for r in rows], np.int64)
             left, right = (np.arange(len(rows)),) * 2 if p == q else (np.flatnonzero(part == p), np.flatnonzero(part == q))
-            pairs: list[list[np.ndarray]] = []
+            kinds, kind = np.unique(lists, axis=0, return_inverse=True)
+            kind, first_shared = kind.ravel(), _first_shared(kinds)
+            n_links = np.zeros(len(rows), np.int64)
+            label = np.arange(len(rows))
             for i in range(0, len(left), 1024):
                 some = left[i : i + 1024]
-                u, v = np.nonzero(x[some] @ x[right].T >= cosine - 1e-12)
+                u, v = np.nonzero(x[some] @ x[right].T >= cosine)
                 u, v = some[u], right[v]
                 ok = (u < v if p == q else True) & (ids[u] != ids[v])
                 u, v = u[ok], v[ok]
                 if len(u):
-                    exact = np.einsum("ij,ij->i", x[u], x[v]) >= cosine
-                    shared = _first_shared(lists, u, v)
-                    keep = exact & (shared == here)
-                    pairs.append([ids[u[exact]], ids[v[exact]], keep[exact]])
-            if not pairs:
-                continue
-            a, b, first = (np.concatenate(c) for c in zip(*pairs, strict=True))
-            trees = forest(a, b)
-            who, n = np.unique(np.concatenate((a[first], b[first])), return_counts=True)
-            a_out += [*who.tolist(), *a[trees].tolist()]
-            b_out += [*[None] * len(who), *b[trees].tolist()]
-            n_out += [*n.tolist(), *[0] * len(trees)]
+                    first = first_shared[kind[u], kind[v]] == here
+                    n_links += np.bincount(u[first], minlength=len(rows)) + np.bincount(v[first], minlength=len(rows))
+                    label = roots(len(rows), np.concatenate((u, np.arange(len(rows)))), np.concatenate((v, label)))
+            who, tied = np.flatnonzero(n_links), np.flatnonzero(label != np.arange(len(rows)))
+            a_out += [*ids[who].tolist(), *ids[tied].tolist()]
+            b_out += [*[None] * len(who), *ids[label[tied]].tolist()]
+            n_out += [*n_links[who].tolist(), *[0] * len(tied)]
             if len(a_out) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64()), pa.array(n_out, pa.int64())], schema=schema)
                 a_out, b_out, n_out = [], [], []
@@ -190,6 +184,12 @@ def _verify(cosine: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return verify
 
 
-def _first_shared(lists: np.ndarray, u: np.ndarray, v: np.ndarray, step: int = 100_000) -> np.ndarray:
-    far = np.iinfo(np.int64).max
-    return np.concatenate([np.where((lists[u[i : i + step]][:, :, None] == lists[v[i : i + step]][:, None, :]).any(2), lists[u[i : i + step]], far).min(1) for i in range(0, len(u), step)])
+def _first_shared(kinds: np.ndarray, step: int = 256) -> np.ndarray:
+    """The least list that each two rows of sorted lists share."""
+    out = np.full((len(kinds), len(kinds)), np.iinfo(np.int64).max)
+    for i in range(0, len(kinds), step):
+        some = kinds[i : i + step]
+        for k in range(kinds.shape[1] - 1, -1, -1):
+            hit = (some[:, k, None, None] == kinds[None]).any(2)
+            out[i : i + step][hit] = np.broadcast_to(some[:, k, None], hit.shape)[hit]
+    return out
