@@ -19,6 +19,9 @@ class Spark:
     def sha(self, text: str) -> str:
         return f"sha2({text}, 256)"
 
+    def one_json(self, text: str) -> str:
+        return f"coalesce(json_array_length(concat('[', {text}, ']')), 0) = 1"
+
     def size(self, array: str) -> str:
         return f"CAST(size({array}) AS BIGINT)"
 
@@ -65,6 +68,9 @@ class Duck(Spark):
     def sha(self, text: str) -> str:
         return f"sha256({text})"
 
+    def one_json(self, text: str) -> str:
+        return f"json_valid({text})"
+
     def size(self, array: str) -> str:
         return f"CAST(len({array}) AS BIGINT)"
 

@@ -7,17 +7,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.operators import extract, glossary, mining, progress, state, validate
+from segmenta.operators import extract, gates, glossary, mining, progress, state, validate
 from segmenta.plans.dialect import DUCK, SPARK
 from segmenta.sources.views import with_views
+from segmenta.streaming import windows
 
 TABLES = ("documents", "pages", "labels", "conversations", "benchmark", "embeddings", "events")
-SQL = extract.QUERIES | state.QUERIES | validate.QUERIES | glossary.QUERIES | progress.QUERIES | mining.QUERIES
+SQL = extract.QUERIES | state.QUERIES | validate.QUERIES | glossary.QUERIES | progress.QUERIES | mining.QUERIES | gates.QUERIES
 
 
 def plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named query over the Parquet tables of a folder; only tables that it names are opened."""
-    sql = with_views(SQL[name](SPARK), SPARK)
+    """The named query over the Parquet tables of a folder."""
+    return over(spark, sf_dir, SQL[name](SPARK))
+
+
+def over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """SQL over a folder's tables and the logical views; only tables that it names are opened."""
+    sql = with_views(sql, SPARK)
     frames = {}
     for t in TABLES:
         if re.search(rf"\b{t}\b", sql):
@@ -31,8 +37,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def one(name: str) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: plan(spark, sf_dir, name)
 
-    return {name: one(name) for name in SQL}
+    def framed(make: Callable) -> Callable[[SparkSession, str], DataFrame]:
+        return lambda spark, sf_dir: make(spark, lambda sql: over(spark, sf_dir, sql))
+
+    return {name: one(name) for name in SQL} | {name: framed(make) for name, make in gates.FRAMES.items()} | windows.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {name: with_views(make(DUCK), DUCK) for name, make in SQL.items()}
+    return {name: with_views(make(DUCK), DUCK) for name, make in SQL.items()} | windows.ORACLE_SQL
