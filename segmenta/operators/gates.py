@@ -1,4 +1,4 @@
-"""Gates: files, manifests, fragments, navigation and submissions (SC12, V6, V9-V14, V16, V20-V21, V25, V37-V40, V48-V53, V61-V64)."""
+"""Gates: files, manifests, fragments, navigation and submissions (SC12, V6, V9-V14, V16, V20-V21, V25, V37-V40, V49-V53, V61-V64)."""
 
 from __future__ import annotations
 
@@ -83,5 +83,5 @@ def rule_inline_xhtml(spark: SparkSession, plan) -> DataFrame:
     return fragment_findings(plan(FRAGMENTS), ["doc_id", "record_id"])
 
 
-#: A parser's work, so without a SQL oracle.
+#: A parser's work, so without a SQL oracle.
 FRAMES = {"rule_inline_xhtml": rule_inline_xhtml}
