@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.llm import bpe, langid, mixing, pii, queries, simhash
+from segmenta.llm import bpe, langid, minhash, mixing, pii, queries
 from segmenta.llm.common import crc_mod, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,11 +19,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one that names it; of repeated rows with its id, one."""
-    found = simhash.near_duplicates(docs, words=5, distance=4)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """Keep one document of each group tied by Jaccard 0.8 or SimHash: the one that names it; of repeated rows with its id, one."""
+    first = minhash.near_duplicates(docs, words=5, similarity=0.8, distance=4).where("first").select(F.col("doc_id").alias("first_id"), "node").distinct()
+    kept = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    kept = kept.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("node")), "left_semi")
+    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

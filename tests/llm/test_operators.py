@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from segmenta.llm import bpe, components, html_main, langid, lm, mixing, multiset, pii, pivots, queries, simhash, toxicity  # noqa: E402
+from segmenta.llm import bpe, components, html_main, langid, lm, minhash, mixing, multiset, pii, pivots, queries, simhash, toxicity  # noqa: E402
 from segmenta.llm.common import crc_mod  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -350,3 +350,39 @@ def test_pipeline_against_its_parts(spark):
     kept = {r["doc_id"] for r in simhash.near_duplicates(docs, words=5).where("doc_id = component_id").collect()}
     assert set(got.doc_id) <= kept and len(got) and not got.decoded.str.contains("@").any()
     assert len(set(got.doc_id)) > 0.6 * len(kept)
+
+
+def test_near_dedup_equals_brute_force_jaccard(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(300)]
+    changed = [*words[:100], "other", *words[101:200], "other", *words[201:]]
+    far = [w if i % 20 else "other" for i, w in enumerate(words)]
+    made = [(-1, " ".join(words)), (-2, " ".join(changed)), (-3, " ".join(far)), (-4, " ".join(words[:150]))]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.union(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in made], docs.schema))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids, sets = sorted(texts), {}
+    for i in ids:
+        parts = (texts[i] or "").lower().split()
+        sets[i] = {tuple(parts[k : k + 5]) for k in range(max(1, len(parts) - 4))}
+    links = [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    fp = {i: simhash.fingerprint(t or "", 5) for i, t in texts.items()}
+    apart = [(a, b) for a, b in links if ((fp[a] ^ fp[b]) & (2**64 - 1)).bit_count() > 4]
+    assert apart
+    links += [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if ((fp[a] ^ fp[b]) & (2**64 - 1)).bit_count() <= 4]
+    want = {i for i, root in components_of(ids, links).items() if i == root}
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").orderBy("doc_id").collect()] == sorted(want)
+
+
+def test_near_dedup_blocks_and_odd_rows(spark, odd, monkeypatch):
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    group = [(i, " ".join(w if k != i else "x" for k, w in enumerate(base))) for i in range(60)]
+    alone = [(100 + i, " ".join(r.choice(base) for _ in range(50))) for i in range(20)]
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    got = minhash.near_duplicates(spark.createDataFrame(group + alone, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {**dict.fromkeys(range(60), 0), **{100 + i: 100 + i for i in range(20)}}
+    got = minhash.near_duplicates(odd).collect()
+    assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
+    assert minhash.near_duplicates(odd.limit(0)).count() == 0
