@@ -67,8 +67,8 @@ QUERIES = {
     "judge_acceptance": lambda d: f"SELECT doc_id, record_id, CASE WHEN decision NOT IN ('A', 'B', 'edited') THEN 'unknown_label' WHEN seen_ref <> ref THEN 'candidate_drift' WHEN decision <> 'edited' AND {d.replace_all('text', chr(92) + 'r', '')} <> {d.replace_all('now', chr(92) + 'r', '')} THEN 'copy_differs' ELSE 'ok' END AS gate FROM ({DECISIONS}) j",
     # V63
     "pack_rules": lambda d: " UNION ALL ".join(f"SELECT member, '{rule}' AS rule FROM (SELECT *, count(*) OVER (PARTITION BY lower(source)) AS same FROM ({pack()}) p) t WHERE {where}" for rule, where in PACK_RULES.items()),
-    # Coverage of a block and the text rules of its rows, in one pass
-    "block_lint": lambda d: f"SELECT doc_id, record_id, CASE WHEN target IS NULL THEN 'missing' WHEN {d.replace_all('target', r'^\s+|\s+$', '')} = '' THEN 'empty_target' WHEN {d.except_(d.matches('source', TOKEN), d.matches('target', TOKEN))} <> '' THEN 'placeholders' ELSE 'ok' END AS lint FROM (SELECT doc_id, record_id, source, CASE WHEN record_pos % 7 = 3 THEN ' ' WHEN record_pos % 7 <> 5 THEN source END AS target FROM v_records WHERE chunk_id = '0001') b",
+    # Coverage of every block and the text rules of its rows, in one pass
+    "block_lint": lambda d: f"SELECT doc_id, chunk_id, record_id, CASE WHEN target IS NULL THEN 'missing' WHEN {d.replace_all('target', r'^\s+|\s+$', '')} = '' THEN 'empty_target' WHEN {d.except_(d.matches('source', TOKEN), d.matches('target', TOKEN))} <> '' THEN 'placeholders' ELSE 'ok' END AS lint FROM (SELECT doc_id, chunk_id, record_id, source, CASE WHEN record_pos % 7 = 3 THEN ' ' WHEN record_pos % 7 <> 5 THEN source END AS target FROM v_records) b",
 }
 
 #: Records as fragments; by their position the target loses a tag, gains an attribute, changes an opaque part or breaks.

@@ -71,8 +71,8 @@ QUERIES = {
     # V59, GR10, TK6
     "findings_rollup": lambda d: f"SELECT severity, rule, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM ({all_findings(d)}) f GROUP BY severity, rule",
     "validation_counters": lambda d: f"SELECT count(*) AS chunks, count(CASE WHEN errors = 0 THEN 1 END) AS passed FROM (SELECT r.doc_id, r.chunk_id, count(f.rule) AS errors FROM v_records r LEFT JOIN ({all_findings(d)}) f ON f.doc_id = r.doc_id AND f.record_id = r.record_id GROUP BY r.doc_id, r.chunk_id) c",
-    # Submission rows against the task's records
-    "acceptance_gates": lambda d: "SELECT coalesce(t.doc_id, s.doc_id) AS doc_id, coalesce(t.record_id, s.record_id) AS record_id, CASE WHEN t.record_id IS NULL THEN 'not_in_task' WHEN s.record_id IS NULL THEN 'missing' WHEN s.n > 1 THEN 'duplicate' ELSE 'ok' END AS gate FROM (SELECT doc_id, record_id FROM v_records WHERE record_pos < 10) t FULL OUTER JOIN (SELECT doc_id, record_id, count(*) AS n FROM (SELECT doc_id, record_id FROM v_records WHERE record_pos BETWEEN 3 AND 12 UNION ALL SELECT doc_id, record_id FROM v_records WHERE record_pos = 5) u GROUP BY doc_id, record_id) s ON s.doc_id = t.doc_id AND s.record_id = t.record_id",
+    # Submission rows against each chunk's task, which lacks three of its records; the submission lacks three others and repeats one
+    "acceptance_gates": lambda d: "SELECT coalesce(t.doc_id, s.doc_id) AS doc_id, coalesce(t.chunk_id, s.chunk_id) AS chunk_id, coalesce(t.record_id, s.record_id) AS record_id, CASE WHEN t.record_id IS NULL THEN 'not_in_task' WHEN s.record_id IS NULL THEN 'missing' WHEN s.n > 1 THEN 'duplicate' ELSE 'ok' END AS gate FROM (SELECT doc_id, chunk_id, record_id FROM v_records WHERE record_pos % 50 NOT IN (10, 11, 12)) t FULL OUTER JOIN (SELECT doc_id, chunk_id, record_id, count(*) AS n FROM (SELECT doc_id, chunk_id, record_id FROM v_records WHERE record_pos % 50 >= 3 UNION ALL SELECT doc_id, chunk_id, record_id FROM v_records WHERE record_pos % 50 = 5) u GROUP BY doc_id, chunk_id, record_id) s ON s.doc_id = t.doc_id AND s.chunk_id = t.chunk_id AND s.record_id = t.record_id",
     # V23, JN2: store rows whose source record is gone
     "stale_store_orphans": lambda d: "SELECT s.doc_id, s.record_id FROM v_store s LEFT JOIN (SELECT doc_id, record_pos FROM v_records WHERE record_pos % 29 <> 1) r ON r.doc_id = s.doc_id AND r.record_pos = s.record_pos WHERE r.doc_id IS NULL",
 }

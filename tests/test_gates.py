@@ -63,3 +63,16 @@ def test_windows_leave_out_events_without_time(spark):
     rows_in = [(1, None, 2.0, "a"), (2, "2026-01-01 10:59:59", None, "a"), (3, "2026-01-01 11:00:00", 1.0, None)]
     events = spark.createDataFrame(rows_in, "event_id long, ts string, value double, event_type string").selectExpr("event_id", "cast(ts as timestamp_ntz) as ts", "value", "event_type")
     assert sorted((str(r[0]), r[1] or "", r[2], r[3], r[4]) for r in windowed(events).collect()) == [("2026-01-01 10:00:00", "a", 1, None, 2), ("2026-01-01 11:00:00", "", 1, 1.0, 3)]
+
+
+def test_block_lint_and_acceptance_reach_every_chunk(spark):
+    records = registry.queries()["sentence_records"](spark, SF).select("doc_id", "record_id").collect()
+    assert any(r["record_id"][:4] > "0001" for r in records)
+    lint = {(r["doc_id"], r["record_id"]): r["lint"] for r in registry.queries()["block_lint"](spark, SF).collect()}
+    gate = {(r["doc_id"], r["record_id"]): r["gate"] for r in registry.queries()["acceptance_gates"](spark, SF).collect()}
+    for r in records:
+        key, at = (r["doc_id"], r["record_id"]), int(r["record_id"][5:]) - 1
+        pos = 50 * (int(r["record_id"][:4]) - 1) + at
+        assert lint[key] == ("empty_target" if pos % 7 == 3 else "missing" if pos % 7 == 5 else "ok")
+        assert gate[key] == ("missing" if at < 3 else "not_in_task" if 10 <= at <= 12 else "duplicate" if at == 5 else "ok")
+    assert len(lint) == len(gate) == len(records)
