@@ -5,6 +5,7 @@ reaching at most the length of its right part further. The longest such chain, t
 list, is the *sufficient lookahead*: a token boundary with so many symbols behind it cannot change
 whatever follows. The transducer keeps that many symbols, plus a small block, emits the tokens that
 lie before them and forgets these; no merge crosses a final boundary, so the rest goes on alone.
+Every word, short or long, goes through the same transducer; the end of a word makes all of it final.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text; an id that is not
 in the vocabulary decodes to nothing; equal rows give equal results; other columns pass untouched
@@ -32,7 +33,11 @@ from segmenta.llm.common import map_batches
 #: Entries a worker remembers of each kind; a full memory is emptied.
 MEMORY_ENTRIES = 400_000
 #: Symbols beyond the lookahead that the transducer gathers before it merges.
-BLOCK = 64
+BLOCK = 256
+# Capitals that the tokenizer knows and Python's do not: first, last, first small letter.
+CAPITALS = [(0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0x16EA0, 0x16EB8, 0x16EBB), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70)]
+# Code points that the regex package counts as letters or digits and the tokenizer's tables do not: first, last.
+NO_LETTERS = [(0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x16FF4, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F)]
 #: White space as the tokenizer's regular expressions know it.
 SPACES = "\t-\r \x85\xa0  -     　"
 _SPACE_SPLIT = re.compile(f"[{SPACES}]+")
@@ -43,6 +48,17 @@ _ID = (1 << _SHIFT) - 1
 _NEVER = 1 << 62
 
 
+_SMALL = {c: small + c - first for first, last, small in CAPITALS for c in range(first, last + 1)}
+_NEW = re.compile("[" + "".join(map(chr, _SMALL)) + "]")
+
+
+def known_classes(pattern: str) -> regex.Pattern:
+    """The tokenizer's splitting pattern with letters as its own tables have them."""
+    strange = "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in NO_LETTERS) + "]"
+    split = pattern.replace(r"[\p{L}]", rf"[\p{{L}}--{strange}]").replace(r"[\p{N}]", rf"[\p{{N}}--{strange}]")
+    return regex.compile(split.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||{strange}]"), regex.V1)
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -63,7 +79,7 @@ class MergeTable:
         for token, i in [*self.vocab.items(), *self.special.items()]:
             self.tokens[i] = token
         self.literal = spec.get("decoder") is None
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.pattern = known_classes(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special_split = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         #: A pair of ids to the rule's rank, then the merged id in the low bits.
         self.merges: dict[int, int] = {}
@@ -110,19 +126,25 @@ class MergeTable:
 
 
 class Transducer:
-    """Takes the bytes of one word piece by piece, gives tokens once they are stable."""
+    """Takes the bytes of words piece by piece, gives tokens once they are stable; never keeps more than `limit` symbols."""
 
     def __init__(self, table: MergeTable) -> None:
-        self.table, self.kept, self.widths = table, [], {}
+        self.table, self.kept = table, []
         self.limit = table.lookahead + BLOCK
+        #: How many tokens were emitted before their word's end.
+        self.early = 0
 
     def feed(self, piece: bytes) -> list[int]:
+        inner, kept = self.table.inner, self.kept
+        if len(kept) + len(piece) <= self.limit:
+            kept += [i for b in piece if (i := inner[b]) is not None]
+            return []
         out: list[int] = []
-        inner = self.table.inner
         for start in range(0, len(piece), BLOCK):
             self.kept += [i for b in piece[start : start + BLOCK] if (i := inner[b]) is not None]
-            if len(self.kept) > 2 * self.limit:
+            if len(self.kept) > self.table.lookahead:
                 out += self._settle()
+        self.early += len(out)
         return out
 
     def _settle(self) -> list[int]:
@@ -144,20 +166,11 @@ class Transducer:
         return self.table.merge(ids)
 
 
-def transduce(table: MergeTable, raw: bytes) -> list[int]:
-    """Tokens of a word; one that fits into the transducer's first block needs no state."""
-    if len(raw) <= BLOCK:
-        ids = [*map(table.inner.__getitem__, raw[:-1]), table.last[raw[-1]]]
-        return table.merge([i for i in ids if i is not None] if None in ids else ids)
-    machine = Transducer(table)
-    return machine.feed(raw[:-1]) + machine.finish(raw[-1])
-
-
 class Encoder:
     """Whole texts to packed 32-bit ids; remembers words, never more than MEMORY_ENTRIES of a kind."""
 
     def __init__(self, table: MergeTable) -> None:
-        self.table = table
+        self.table, self.machine = table, Transducer(table)
         self.words: dict[str, bytes] = {}
         encoder = self
 
@@ -174,6 +187,8 @@ class Encoder:
 
     def _chunk(self, chunk: str) -> bytes:
         low = (chunk.replace("Σ", "σ") if "Σ" in chunk else chunk).lower()
+        if _NEW.search(low):
+            low = low.translate(_SMALL)
         if low.isalpha():
             return self._word(low)
         if low[:-1].isalpha() and low[-1] in ".,":
@@ -184,7 +199,7 @@ class Encoder:
         packed = self.words.get(word)
         if packed is None:
             raw = word.encode()
-            packed = array("i", transduce(self.table, raw)).tobytes()
+            packed = array("i", self.machine.feed(raw[:-1]) + self.machine.finish(raw[-1])).tobytes()
             if len(word) <= 64:
                 if len(self.words) >= MEMORY_ENTRIES:
                     self.words.clear()
