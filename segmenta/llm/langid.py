@@ -31,13 +31,13 @@ BITS = 12
 SIZE = 3 << BITS
 MIN_LETTERS = 40
 SHARPNESS = 25.0
-_LETTER = np.array([chr(c).isalpha() if not 0xD800 <= c < 0xE000 else False for c in range(1 << 16)])
+_LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, int]:
     """Bucket counts of the whole text, and its number of letters."""
     code = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-    letter = _LETTER[np.minimum(code, 0xFFFF)] | (code > 0xFFFF)
+    letter = _LETTER[code]
     n = int(np.count_nonzero(letter))
     if not n:
         return np.zeros(SIZE, np.float32), 0
@@ -120,7 +120,7 @@ def fit(df: DataFrame, train: Column, text_col: str = "text", lang_col: str = "l
                     at = np.flatnonzero(counts)
                     out["lang"].append(lang)
                     out["at"].append(at.astype("<u2").tobytes())
-                    out["n"].append(np.minimum(counts[at], 65535).astype("<u2").tobytes())
+                    out["n"].append(counts[at].astype("<f4").tobytes())
             return pa.RecordBatch.from_pydict(out, schema=pa.schema([("lang", pa.string()), ("at", pa.binary()), ("n", pa.binary())]))
 
         return step
@@ -130,7 +130,7 @@ def fit(df: DataFrame, train: Column, text_col: str = "text", lang_col: str = "l
         return None
     counts = np.zeros((len(got), SIZE), np.float32)
     for row, (_, at, n) in zip(counts, got, strict=True):
-        row[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u2")
+        row[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
     return fit_counts([g[0] for g in got], counts, centroids)
 
 

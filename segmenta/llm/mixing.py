@@ -91,7 +91,7 @@ def fit(df: DataFrame, labels: DataFrame, domain: Column, names: list[str], id_c
                 counts = trigram_counts(text)
                 some = np.flatnonzero(counts)
                 at.append(some.astype("<u2").tobytes())
-                n.append(np.minimum(counts[some], 65535).astype("<u2").tobytes())
+                n.append(counts[some].astype("<f4").tobytes())
             return pa.RecordBatch.from_arrays([batch.column(1), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["domain", "at", "n"])
 
         return step
@@ -101,7 +101,7 @@ def fit(df: DataFrame, labels: DataFrame, domain: Column, names: list[str], id_c
         return None
     x = np.zeros((len(got), SIZE), np.float32)
     for row, (_, at, n) in zip(x, got, strict=True):
-        row[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<u2")
+        row[np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
     x = np.log1p(x)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     total = sum(sizes.values())
