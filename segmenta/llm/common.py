@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A Python worker holds one Arrow batch at a time; texts may be long, so batches are short.
-BATCH_ROWS = 512
+#: A Python worker holds one Arrow batch at a time; texts may be long, so batches are short and of bounded size.
+BATCH_ROWS, BATCH_BYTES = 512, 32 << 20
+#: Keys with more than a share of 1 / HOT of all rows are joined apart; there are fewer than HOT of them.
+HOT = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,22 +22,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound Arrow batches by rows and bytes, in this session; plans read the limits when they run, so they stay set.
 
+    Limits below these, set by the user, are left alone.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the folder that the cluster shares (spark.checkpoint.dir).
 
-    A folder of our own is set only where the session names none, as in local tests.
-    """
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage by a checkpoint in the folder that the cluster shares (spark.checkpoint.dir)."""
     durable_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def durable_dir(spark: SparkSession) -> None:
+    """Where the session names no folder: one in the warehouse, which a cluster shares; in local mode a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="segmenta-"))
+        own = tempfile.mkdtemp(prefix="segmenta-") if sc.master.startswith("local") and "-cluster" not in sc.master else f"{spark.conf.get('spark.sql.warehouse.dir')}/.segmenta"
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or own)
 
 
 def crc_mod(doc_id: str | Column, m: int) -> Column:
@@ -63,15 +72,31 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def stored(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared checkpoint folder: smaller than a checkpoint; removed at exit."""
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """As `stored`, with the table's path, for `remove` once nothing reads it any more."""
     spark = df.sparkSession
     durable_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.parquet(path)
+    atexit.register(remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with groups (one row a key, `size` its rows of `total`) on `key`, without a task for a hot key.
+
+    Hot groups, fewer than HOT whatever the tables' sizes, are broadcast; the others meet by a shuffle.
+    """
+    most = max(1000, total // HOT)
+    hot, rest = groups.where(F.col(size) > most).drop(size), groups.where(F.col(size) <= most).drop(size)
+    there = rows.join(F.broadcast(hot), key)
+    return there.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         jvm = spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(path)

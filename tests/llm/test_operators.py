@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -185,7 +186,7 @@ def test_simhash_equals_brute_force(spark):
 @pytest.mark.parametrize("n", [10, 10**5, 10**7, 10**10])
 def test_simhash_cut_is_valid(n):
     parts = simhash.cut(n, 4)
-    assert sum(w for _, w, _ in parts) == 64 and sum(r + 1 for _, _, r in parts) >= 5
+    assert sum(w for _, w, _ in parts) == 64 and sum(r + 1 for _, _, r in parts) >= 5 and max(r for _, _, r in parts) >= 1
 
 
 def test_simhash_links_close_pairs(spark):
@@ -197,6 +198,33 @@ def test_simhash_links_close_pairs(spark):
     assert got == {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 4}
 
 
+def test_simhash_dense_group_gives_trees(spark, monkeypatch):
+    """300 fingerprints, each one bit from the next, and all alike in 40 bits: few links, one component; hot values in parts."""
+    r = random.Random(8)
+    fps = {r.getrandbits(24)}
+    while len(fps) < 300:
+        fps.add(r.choice(sorted(fps)) ^ (1 << r.randrange(24)))
+    alone = {r.getrandbits(63) | 1 << 62 for _ in range(50)}
+    table = spark.createDataFrame([(f,) for f in fps | alone], "fp long")
+    for block in (16_384, 64):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        got = [tuple(x) for x in simhash.links(table, 4).collect()]
+        pairs = sum((a ^ b).bit_count() <= 4 for a in fps for b in fps if a < b)
+        assert len(got) < min(pairs, 25 * len(fps)) and all((a ^ b).bit_count() <= 4 for a, b in got)
+        assert components_of(fps | alone, got) == components_of(fps | alone, [(a, b) for a in fps | alone for b in fps | alone if (a ^ b).bit_count() <= 4])
+
+
+def test_simhash_fingerprint_equals_plain_majority():
+    import xxhash
+
+    for text in ("a b c d e", "One two THREE four one two three four É", "x", " ", "\u00a0a b", "a a a a a a"):
+        words = [w for w in re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
+        parts = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+        h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+        want = sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in h) > len(h))
+        assert simhash.fingerprint(text, 4) & (2**64 - 1) == want
+
+
 def test_simhash_odd_rows(odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == len(ODD) and {r["component_id"] for r in got if r["doc_id"] in (1, 2, 3)} == {1}
