@@ -1,15 +1,16 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, in DataFrame functions only.
 
 A paragraph (a line) has a wide vector: EXACT lanes hashed from the paragraph as a whole, and lanes that
-count, over its clauses, the ones at each bit of the clauses' hashes, with the number of clauses itself.
-A text's fingerprint is the lane-wise sum over its paragraphs, the exact lanes modulo 2**32, the others
-modulo 2**LANE_BITS. Sums commute, so the order of paragraphs does not matter, and a paragraph's vector can
+count, over its pieces (runs of up to three words within a clause), the ones at each bit of the pieces' hashes,
+with the number of pieces itself. A text's fingerprint is the lane-wise sum over its paragraphs, modulo
+2**LANE_BITS. Sums commute, so the order of paragraphs does not matter, and a paragraph's vector can
 be added or taken away later (`combine`). Equal multisets have equal fingerprints; different ones differ
-unless EXACT * 32 bits collide.
+unless EXACT * 32 bits collide. Under one key a call takes up to 2**31 paragraphs and pieces (a text cannot
+have more); beyond, the sum stops with an overflow error, and parts' fingerprints are to be combined instead.
 
 The counted lanes, read as signs, are a tug-of-war sketch: products of two sketches estimate the inner
-product of the texts' clause counts. `likeness` is 2ab / (aa + bb), the share of clauses in common, 1 for
-equal fingerprints, 0 at least; with 120 lanes its standard error is about 0.09 for unlike texts.
+product of the texts' piece counts. `likeness` is 2ab / (aa + bb), the share of pieces in common, 1 for
+equal fingerprints, 0 at least; with 128 lanes its standard error is about 0.09 for unlike texts.
 
 Defined results: null and empty texts have the zero fingerprint and are like each other (1) and nothing
 else; in `edited`, rows with the same id and text are one document, and null ids come last in descending order.
@@ -23,47 +24,45 @@ from pyspark.sql import functions as F
 from segmenta.llm.common import durable
 
 EXACT = 8
-LANE_BITS = 20
+LANE_BITS = 32
 HASHES = 2
 _LANES = (1 << LANE_BITS) - 1
-#: One bit in each of the three lanes that a long carries.
-_ONES = sum(1 << (LANE_BITS * j) for j in range(3))
-CLAUSE = r"[.!?,;:|\n]+"
+#: One bit in each of the two lanes that a long carries.
+_ONES = 1 | 1 << LANE_BITS
+#: Counted lanes of a fingerprint.
+COUNTED = 2 * LANE_BITS * HASHES
+PIECE = r"[^\s.!?,;:|]+(?:[ \t]+[^\s.!?,;:|]+){0,2}"
 
 
 def fingerprints(df: DataFrame, keys: list[str], text_col: str = "text", out: str = "fp") -> DataFrame:
     """(keys, out): the summed vectors of all texts with equal keys, as an array of longs.
 
-    EXACT lanes, the number of clauses, then 60 lanes for each hash. Paragraphs and clauses are exploded and
+    EXACT lanes, the number of pieces, then 64 lanes for each hash. Paragraphs and pieces are exploded and
     summed inside generated code; partial sums come first, so many texts under one key are no burden.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    sets = F.array(F.struct(F.lit(True).alias("whole"), F.split(text, "\n").alias("parts")), F.struct(F.lit(False).alias("whole"), F.split(text, CLAUSE).alias("parts")))
+    sets = F.array(F.struct(F.lit(True).alias("whole"), F.split(text, "\n").alias("parts")), F.struct(F.lit(False).alias("whole"), F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)).alias("parts")))
     parts = df.select(*keys, F.inline(sets)).select(*keys, "whole", F.explode("parts").alias("part"))
-    clause = ~F.col("whole") & (F.length(F.trim("part")) > 0)
-    parts = parts.withColumn("part", F.when(F.col("whole"), F.col("part")).otherwise(F.trim("part")))
+    clause = ~F.col("whole")
     words = [F.when(F.col("whole"), F.xxhash64("part", F.lit(k))).otherwise(F.lit(0)) for k in range(EXACT // 2)]
     marks = [F.when(clause, F.xxhash64("part", F.lit(1000 + k))).otherwise(F.lit(0)) for k in range(HASHES)]
     parts = parts.select(*keys, clause.cast("long").alias("c"), *[w.alias(f"w{k}") for k, w in enumerate(words)], *[h.alias(f"h{k}") for k, h in enumerate(marks)])
     sums = [F.sum(half).alias(f"e{2 * k + j}") for k in range(EXACT // 2) for j, half in enumerate((F.col(f"w{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(f"w{k}", 32)))]
     sums += [F.sum(F.shiftrightunsigned(f"h{i}", k).bitwiseAND(F.lit(_ONES))).alias(f"s{i}_{k}") for i in range(HASHES) for k in range(LANE_BITS)]
-    lanes = [F.col(f"e{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(EXACT)] + [F.col("n")]
-    lanes += [F.shiftrightunsigned(f"s{i}_{k}", LANE_BITS * j).bitwiseAND(F.lit(_LANES)) for i in range(HASHES) for j in range(3) for k in range(LANE_BITS)]
+    lanes = [F.col(f"e{k}").bitwiseAND(F.lit(_LANES)) for k in range(EXACT)] + [F.col("n").bitwiseAND(F.lit(_LANES))]
+    lanes += [F.shiftrightunsigned(f"s{i}_{k}", LANE_BITS * j).bitwiseAND(F.lit(_LANES)) for i in range(HASHES) for j in range(2) for k in range(LANE_BITS)]
     return parts.groupBy(*keys).agg(*sums, F.sum("c").alias("n")).select(*keys, F.array(*lanes).alias(out))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint of both texts' paragraphs together (sign 1), or of the first's without the second's (-1)."""
-    return F.transform(
-        F.arrays_zip(a.alias("x"), b.alias("y")),
-        lambda z, i: F.pmod(z["x"] + z["y"] * F.lit(sign), F.when(i < EXACT, F.lit(1 << 32)).otherwise(F.lit(1 << LANE_BITS))),
-    )
+    return F.zip_with(a, b, lambda x, y: F.pmod(x + y * F.lit(sign), F.lit(1 << LANE_BITS)))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from two fingerprints."""
     def signs(fp: Column) -> Column:
-        return F.transform(F.slice(fp, EXACT + 2, 60 * HASHES), lambda x: x * 2 - fp[EXACT])
+        return F.transform(F.slice(fp, EXACT + 2, COUNTED), lambda x: x * 2 - fp[EXACT])
 
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda u, v: (u * v).cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -79,8 +78,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_hex(fp: Column) -> Column:
-    """Text form: 8 digits for each exact lane and the number of clauses, 5 for each counted lane."""
-    return F.lower(F.array_join(F.transform(fp, lambda x, i: F.lpad(F.hex(x), F.when(i <= EXACT, F.lit(8)).otherwise(F.lit(5)), F.lit("0"))), ""))
+    """Text form: 8 hexadecimal digits for each lane."""
+    return F.lower(F.array_join(F.transform(fp, lambda x: F.lpad(F.hex(x), F.lit(8), F.lit("0"))), ""))
 
 
 def followers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
