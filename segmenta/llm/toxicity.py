@@ -1,15 +1,19 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick in folded text, normalised by length.
 
 Folding lower-cases, turns look-alike letters of other scripts and digits or signs that stand for letters
-into the Latin letters they imitate. The lexicon is learned from labelled texts: pieces of words that
-toxic texts share and clean texts lack, picked greedily by the words of toxic texts they newly explain; a piece's
-weight is its smoothed log odds. Word pairs around a hit that clean texts show again and again, and toxic
-ones do not, become exception phrases: hits inside them do not count. A logistic curve over the total
-weight and the weight per thousand characters turns this into a score.
-
-Fitting takes at most about `train_rows` labelled rows of each label, picked by a hash of the row.
-Defined results: a null or empty text scores as one without hits; no labelled rows: score 0 for all;
-null labels are not learned from; equal texts get equal scores. Input columns named `score` are replaced.
+into the Latin letters they imitate, and leaves words with one space before and after each. The lexicon is
+learned from labelled texts: stems (the first 4 to 10 letters of words) and whole words that make up a far
+larger share of toxic texts than of clean ones, picked greedily by the log-likelihood they explain; what a
+pick explains is taken away before the next, and picking ends when no piece is in enough unlike texts. A
+piece's weight is its smoothed log odds. Word pairs around a hit that clean texts show again and again, and
+toxic ones do not, become exception phrases: hits inside them do not count. A logistic curve over the total
+weight and the weight per thousand characters turns this into a score, so that a stem which clean texts use
+now and then tells by its density.
+
+Fitting takes at most about `train_rows` labelled rows of each label (twice as many clean ones), picked by a
+hash of the row. Defined results: a null or empty text scores as one without hits; no labelled rows: score 0
+for all; null labels are not learned from; equal texts get equal scores. Input columns named `score` or
+`n_hits` are replaced.
 """
 
 from __future__ import annotations
@@ -31,13 +35,21 @@ from segmenta.llm.common import map_batches, texts_of
 LOOK_ALIKES = "аa еe оo рp сc уy хx іi јj ѕs ԁd һh ӏl ԛq ԝw вb кk мm нh тt αa βb εe ιi κk νv οo ρp τt υu χx ɑa ɡg ı i 0o 1i 3e 4a 5s 7t @a $s"
 _FOLD = {ord(p[0]): p[1] for p in LOOK_ALIKES.replace("ı i", "ıi").split()}
 _WORD = re.compile(r"[^\W\d_]+")
-PIECE = range(4, 11)
+#: Letters of a stem.
+STEM = range(4, 11)
+#: A piece is picked only if so many toxic texts that are no copies of each other have it.
 MIN_TEXTS = 5
-SURPRISE = 16.0
+#: Least log odds of a piece.
+MIN_ODDS = 1.5
 
 
 def fold(text: str) -> str:
-    return text.lower().translate(_FOLD)
+    """The words of the text in Latin small letters, each between single spaces."""
+    return f" {' '.join(_WORD.findall(text.lower().translate(_FOLD)))} "
+
+
+def pieces_of(word: str) -> list[str]:
+    return [f" {word[:n]}" for n in STEM if n <= len(word)] + ([f" {word} "] if len(word) > 1 else [])
 
 
 def automaton(weights: dict[str, float], exceptions: list[str]) -> ahocorasick.Automaton:
@@ -100,57 +112,92 @@ def families(texts: list[str]) -> list[int]:
     return out
 
 
-def learn(texts: list[str], labels: list[int], max_pieces: int = 400) -> Model:
+def learn(texts: list[str], labels: list[int]) -> Model:
     folded = [fold(t) for t in texts]
     toxic = [t for t, y in zip(folded, labels, strict=True) if y]
     clean = [t for t, y in zip(folded, labels, strict=True) if not y]
-    usual = set().union(*[set(_WORD.findall(t)) for t in clean]) if clean else set()
-    family: dict[int, set[str]] = {}
-    for group, t in zip(families(toxic), toxic, strict=True):
-        family.setdefault(group, set()).update(set(_WORD.findall(t)) - usual)
-    odd = [sorted(words) for words in family.values()]
-    seen: Counter[str] = Counter()
-    for words in odd:
-        seen.update({w[i : i + n] for w in words for n in PIECE for i in range(len(w) - n + 1)})
-    # a piece that toxic and clean texts share alike stays out of all clean ones this often only by chance
-    enough = max(MIN_TEXTS, SURPRISE / np.log(1 + (len(clean) + 1) / (len(odd) + 1)))
-    pieces = [p for p, n in seen.items() if n >= enough]
-    probe = automaton(dict.fromkeys(pieces, 1.0), [])
-    marked = Counter()
-    for t in clean if pieces else []:
-        marked.update({t[end - n + 1 : end + 1] for end, (n, _) in probe.iter(t)})
-    odds = {p: np.log((seen[p] + 0.5) / (len(odd) + 1)) - np.log((marked[p] + 0.5) / (len(clean) + 1)) for p in pieces if marked[p] <= 0.01 * seen[p]}
-    strong = automaton(dict.fromkeys(odds, 1.0), [])
-    where: dict[str, set[tuple[int, str]]] = {}
-    for i, words in enumerate(odd if odds else []):
-        for w in words:
-            for end, (n, _) in strong.iter(w):
-                where.setdefault(w[end - n + 1 : end + 1], set()).add((i, w))
-    chosen: dict[str, float] = {}
-    while len(chosen) < max_pieces and where:
-        piece = max(where, key=lambda p: (len({i for i, _ in where[p]}), len(p), p))
-        chosen[piece] = float(odds[piece])
-        gone = where.pop(piece)
-        rest = {p: s - gone for p, s in where.items()}
-        where = {p: s for p, s in rest.items() if len({i for i, _ in s}) >= enough}
-    model = Model(chosen, _exceptions(chosen, toxic, clean))
+    # a text counts by its share of words, so that a long one is no more than a short one
+    share_t, share_c = shares(toxic), shares(clean)
+    owner = families([t for t, y in zip(texts, labels, strict=True) if y])
+    known: dict[str, set[int]] = {}
+    for group, t in zip(owner, toxic, strict=True):
+        for w in set(t.split()):
+            if odds(share_t[w], len(toxic), share_c[w], len(clean)) > MIN_ODDS:
+                for p in pieces_of(w):
+                    known.setdefault(p, set()).add(group)
+    known = {p: g for p, g in known.items() if len(g) >= MIN_TEXTS}
+    words: dict[str, set[str]] = {p: set() for p in known}
+    for w in share_t.keys() | share_c.keys():
+        for p in pieces_of(w):
+            if p in words:
+                words[p].add(w)
+    weights = pick(words, share_t, share_c, len(toxic), len(clean))
+    model = Model(weights, exceptions(weights, toxic, clean))
     machine = automaton(model.weights, model.exceptions)
     x = np.array([features(total(machine, t)[0], len(t)) for t in folded])
     model.curve = tuple(logistic(x, np.array(labels, float)))
     return model
 
 
-def _exceptions(chosen: dict[str, float], toxic: list[str], clean: list[str]) -> list[str]:
-    machine = automaton(chosen, [])
+def shares(texts: list[str]) -> Counter:
+    """Sum over texts of each word's share of the text."""
+    out: Counter = Counter()
+    for t in texts:
+        words = Counter(t.split())
+        n = sum(words.values())
+        for w, k in words.items():
+            out[w] += k / n
+    return out
+
+
+def odds(t: float, texts_t: int, c: float, texts_c: int) -> float:
+    """Smoothed log ratio of the mean shares; half a thousandth of a text's words is added to each."""
+    return float(np.log((t + 5e-4) / (texts_t + 1)) - np.log((c + 5e-4) / (texts_c + 1)))
+
+
+def pick(words: dict[str, set[str]], share_t: Counter, share_c: Counter, texts_t: int, texts_c: int) -> dict[str, float]:
+    """Pieces by the log-likelihood they explain, greedily; words that a piece has are gone for the next."""
+    chosen: dict[str, float] = {}
+    of: dict[str, set[str]] = {}
+    for p, ws in words.items():
+        for w in ws:
+            of.setdefault(w, set()).add(p)
+    t = {p: sum(share_t[w] for w in ws) for p, ws in words.items()}
+    c = {p: sum(share_c[w] for w in ws) for p, ws in words.items()}
+    gain = {p: t[p] * odds(t[p], texts_t, c[p], texts_c) for p in words}
+    while gain:
+        piece = max(gain, key=lambda p: (gain[p], len(p), p))
+        weight = odds(t[piece], texts_t, c[piece], texts_c)
+        if gain.pop(piece) <= 0:
+            break
+        if weight < MIN_ODDS:
+            continue
+        chosen[piece] = weight
+        touched = set()
+        for w in list(words[piece]):
+            for p in of.pop(w, ()):
+                t[p] -= share_t[w]
+                c[p] -= share_c[w]
+                words[p].discard(w)
+                touched.add(p)
+        for p in touched & gain.keys():
+            t[p], c[p] = max(t[p], 0.0) if words[p] else 0.0, max(c[p], 0.0)
+            gain[p] = t[p] * odds(t[p], texts_t, c[p], texts_c)
+    return chosen
+
+
+def exceptions(weights: dict[str, float], toxic: list[str], clean: list[str]) -> list[str]:
+    """Pairs of neighbouring words with a hit that three clean texts have and no toxic one."""
+    machine = automaton(weights, [])
 
     def phrases(text: str) -> set[str]:
         out = set()
         for end, (n, _) in machine.iter(text) if len(machine) else ():
-            a, b = text.rfind(" ", 0, end - n + 1) + 1, text.find(" ", end + 1)
-            b = len(text) if b < 0 else b
-            before, after = text.rfind(" ", 0, max(0, a - 1)) + 1, text.find(" ", b + 1)
-            out |= {text[before:b], text[a : len(text) if after < 0 else after]} if b - a <= 40 else set()
-        return {p for p in out if " " in p and len(p) <= 80}
+            a, b = end - n + 1, text.find(" ", end if text[end] == " " else end + 1)
+            before, after = text.rfind(" ", 0, a), text.find(" ", b + 1)
+            out |= {text[before : b + 1]} if before >= 0 else set()
+            out |= {text[a : after + 1]} if after >= 0 else set()
+        return out
 
     good, bad = Counter(), Counter()
     for texts, n in ((clean, good), (toxic, bad)):
@@ -194,8 +241,9 @@ def score(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFra
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             scores, hits = [], []
             for text in texts_of(batch, text_col):
-                weight, n = total(machine, fold(text)) if model else (0.0, 0)
-                scores.append(model.score(weight, len(text)) if model else 0.0)
+                folded = fold(text)
+                weight, n = total(machine, folded) if model else (0.0, 0)
+                scores.append(model.score(weight, len(folded)) if model else 0.0)
                 hits.append(n)
             arrays = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             return pa.RecordBatch.from_arrays([*arrays, pa.array(scores, pa.float64()), pa.array(hits, pa.int64())], names=[f.name for f in kept + fields])

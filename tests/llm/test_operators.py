@@ -96,18 +96,19 @@ def test_langid_odd_rows(spark, odd):
     assert {r["lang_pred"] for r in langid.predict(odd, langid.fit(odd.limit(0), F.lit(True))).collect()} == {"und"}
 
 
-def test_toxicity_learns_and_folds(spark, odd):
-    texts = [f"Lorem {w} ipsum number {i} amet." for i in range(40) for w in ("scumbag",)] + [f"Clean words only, number {i} here." for i in range(80)]
-    model = toxicity.learn(texts, [1] * 40 + [0] * 80)
-    machine = toxicity.automaton(model.weights, model.exceptions)
+def toxicity_score(model, text):
+    folded = toxicity.fold(text)
+    return model.score(toxicity.total(toxicity.automaton(model.weights, model.exceptions), folded)[0], len(folded))
 
-    def score(t):
-        return model.score(toxicity.total(machine, toxicity.fold(t))[0], len(t))
 
-    assert score("You scumbag!") >= 0.7 > score("A clean sentence.") and score("You ѕcumb4g!") >= 0.7
+def test_toxicity_learns_and_folds(spark, odd):
+    texts = [f"Lorem scumbag ipsum {'abcdefgh'[i % 8] * 5} amet {'qrstuvwx'[i // 8] * 6}." for i in range(40)] + [f"Clean words only, {'abcdefgh'[i % 8] * 5} here." for i in range(80)]
+    model = toxicity.learn(texts, [1] * 40 + [0] * 80)
+    assert toxicity_score(model, "You scumbag!") >= 0.7 > toxicity_score(model, "A clean sentence.") and toxicity_score(model, "You ѕcumb4g!") >= 0.7
     got = toxicity.score(odd, model).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
     assert {r["score"] for r in toxicity.score(odd, None).collect()} == {0.0}
+    assert toxicity.score(odd.limit(0), model).count() == 0
 
 
 def test_toxicity_exception_phrase():
@@ -115,6 +116,33 @@ def test_toxicity_exception_phrase():
     assert toxicity.total(machine, "the trash can") == (0.0, 0) and toxicity.total(machine, "you trash")[1] == 1
 
 
+def test_toxicity_learns_exception_phrases():
+    names = ["".join(random.Random(i).choices("bcdfghjklm", k=6)) for i in range(90)]
+    toxic = [f"{n} is such trash {n} truly." for n in names[:30]]
+    clean = [f"{n} put it into the trash can of {n}." for n in names[30:40]] + [f"{n} walks home to {n} again." for n in names]
+    model = toxicity.learn(toxic + clean, [1] * len(toxic) + [0] * len(clean))
+    assert any("trash can" in p for p in model.exceptions) and any("trash" in p for p in model.weights)
+    assert toxicity_score(model, "What trash.") >= 0.7 > toxicity_score(model, "He put it into the trash can again.")
+
+
+def test_toxicity_held_out():
+    """Of 144 held-out toxic rows 8 have no mark at all (their labels outlived a rewriting of the text), so the AUC's bound is about 0.97."""
+    import duckdb
+
+    rows = duckdb.sql("select d.doc_id, text, toxic from '/root/testdata/sf0.1/documents.parquet' d join '/root/testdata/sf0.1/labels.parquet' l using (doc_id) where text is not null and toxic is not null").fetchall()
+    held = [zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in rows]
+    model = toxicity.learn([r[1] for r, h in zip(rows, held, strict=True) if not h], [r[2] for r, h in zip(rows, held, strict=True) if not h])
+    machine = toxicity.automaton(model.weights, model.exceptions)
+    scores = {1: [], 0: []}
+    for (_, text, y), h in zip(rows, held, strict=True):
+        if h:
+            folded = toxicity.fold(text)
+            scores[y].append(model.score(toxicity.total(machine, folded)[0], len(folded)))
+    pos, neg = np.array(scores[1]), np.array(scores[0])
+    auc = np.mean([(p > neg).mean() + (p == neg).mean() / 2 for p in pos])
+    assert auc > 0.94 and (pos >= 0.7).mean() > 0.9 and (pos >= 0.7).sum() / ((pos >= 0.7).sum() + (neg >= 0.7).sum()) > 0.95
+
+
 # --- LM ------------------------------------------------------------------------------------------
 
 
