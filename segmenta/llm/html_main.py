@@ -2,11 +2,13 @@
 
 Pages become lines: one for each block element, white space folded, references decoded, markup, scripts
 and styles gone. Elements whose name, role or class says menu, header, footer, sidebar, notice, advert,
-form or reader comment are dropped with their content. Where a page marks its article (article, main or
-role=main), its lines are the ones inside. All other lines are *open*: a page without a marked article is
-paired with the page of the same host whose URL path is nearest in sorted order (the longer common path
-wins, then the earlier page), both pages' open lines are aligned by a longest common subsequence, and the
-lines they share are deleted - unless these are nearly the whole page, that is, the pair are copies.
+form or reader comment are dropped with their content, and where a page marks its article (article, main or
+role=main), its lines are the ones inside. Every page is then paired with the page of the same host whose URL
+path is nearest in sorted order (the longer common path wins, then the earlier page), both pages' lines are
+aligned by a longest common subsequence, and the lines they share are deleted - but for lines that the
+page vouches for: paragraphs, headings, list items, cells and the like inside its marked article, which may
+well be quoted by the next page. Where nearly the whole of a page is shared, the pair are perhaps copies: then a
+line goes only if the page's other neighbour shares it too.
 
 Neighbours are found in ranges of (host, path), so a host with a third of all pages is split over tasks;
 only the ranges' border rows are looked at together. Between ranges only line hashes travel.
@@ -33,11 +35,13 @@ from segmenta.llm.common import durable, map_batches, stored
 DROPPED = set("nav footer aside form script style noscript template select button iframe svg menu dialog head object canvas textarea fieldset".split())
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "svg")
 BLOCKS = set("address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements whose lines a marked article vouches for.
+PROSE = set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd figcaption".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 MARKS = set(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar sidebars cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments respond discussion disqus related recommended breadcrumb breadcrumbs menu menubar nav navbar navigation footer masthead pagination pager toolbar search widget skip complementary contentinfo".split()
 )
-#: Shares of a page's characters that differencing may delete; beyond, the pair are copies of one page.
+#: Where a pair shares more than this part of a page's characters, the other neighbour is asked too.
 COPY = 0.8
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<", re.S)
@@ -53,11 +57,12 @@ def is_main(name: str, attributes: str) -> bool:
     return name in ("article", "main") or bool(re.search(r"""\brole\s*=\s*["']?(main|article)\b""", attributes, re.I))
 
 
-def lines_of(page: str) -> tuple[bool, list[str], list[str]]:
-    """(has a marked article, its lines, open lines)."""
+def lines_of(page: str) -> tuple[bool, list[str], list[str], list[bool]]:
+    """(has a marked article, its lines, lines outside it, for each line inside: whether prose elements hold it)."""
     inside: list[str] = []
     outside: list[str] = []
-    has, buffer = False, []
+    prose: list[bool] = []
+    has, buffer, block = False, [], ""
     # an element being dropped, or the article being read: its name and how many of that name are open
     drop = main = None
     drop_depth = main_depth = 0
@@ -67,8 +72,11 @@ def lines_of(page: str) -> tuple[bool, list[str], list[str]]:
         if buffer:
             line = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             buffer.clear()
-            if line:
-                (inside if main else outside).append(line)
+            if line and main:
+                inside.append(line)
+                prose.append(block in PROSE)
+            elif line:
+                outside.append(line)
 
     at, n = 0, len(page)
     while at < n:
@@ -105,6 +113,8 @@ def lines_of(page: str) -> tuple[bool, list[str], list[str]]:
                 continue
         if name in BLOCKS:
             close()
+            if name != "br":
+                block = "" if ends else name
         if ends:
             if main == name:
                 main_depth -= 1
@@ -122,7 +132,7 @@ def lines_of(page: str) -> tuple[bool, list[str], list[str]]:
         elif main == name:
             main_depth += 1
     close()
-    return has, inside, outside
+    return has, inside, outside, prose
 
 
 def common(a: list[int], b: list[int]) -> list[int]:
@@ -168,33 +178,34 @@ def shared_prefix(a: str, b: str | None) -> int:
 
 
 def parse(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(row, id, url, host, path, settled, lines, hashes): lines of the article, or open ones if none is marked."""
+    """(row, id, url, host, path, lines, hashes, sizes): lines of the article, or all if none is marked; sizes, a
+    line's characters, are negative for lines that the page vouches for."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, ids, urls, pages = (c for c in batch.columns)
-            host, path, settled, lines, hashes = [], [], [], [], []
+            host, path, lines, hashes, sizes = [], [], [], [], []
             for url, page in zip(urls.to_pylist(), pages.to_pylist(), strict=True):
                 h, p = address(url)
-                has, inside, outside = lines_of(page or "")
+                has, inside, outside, prose = lines_of(page or "")
                 host.append(h)
                 path.append(p)
-                settled.append(has or not outside)
                 lines.append(inside if has else outside)
-                hashes.append([xxhash.xxh64_intdigest(x) >> 1 for x in outside])
+                hashes.append([xxhash.xxh64_intdigest(x) >> 1 for x in lines[-1]])
+                sizes.append([-len(x) if sure else len(x) for x, sure in zip(inside, prose, strict=True)] if has else [len(x) for x in outside])
             return pa.RecordBatch.from_arrays(
-                [rows, ids, urls, pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(settled, pa.bool_()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["row", "id", "url", "host", "path", "settled", "lines", "hashes"],
+                [rows, ids, urls, pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
+                names=["row", "id", "url", "host", "path", "lines", "hashes", "sizes"],
             )
 
         return step
 
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
-    return map_batches(rows, make, "row long, id long, url string, host string, path string, settled boolean, lines array<string>, hashes array<long>")
+    return map_batches(rows, make, "row long, id long, url string, host string, path string, lines array<string>, hashes array<long>, sizes array<int>")
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
-    """(row, before, after): the pages next to each in order of host, path and row; of another host: null."""
+    """Keys with before and after: the pages next to each in order of host, path and row; of another host: null."""
     spark = keys.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = durable(keys.repartitionByRange(n, "host", "path", "row").withColumn("part", F.spark_partition_id()))
@@ -206,31 +217,39 @@ def neighbours(keys: DataFrame) -> DataFrame:
     ends = ends.select("part", F.lag("last").over(parts).alias("left"), F.lead("first").over(parts).alias("right"))
     near = dealt.select("*", F.lag(here).over(order).alias("b"), F.lead(here).over(order).alias("a")).join(F.broadcast(ends), "part")
     before, after = F.coalesce("b", "left"), F.coalesce("a", "right")
-    return near.select("row", F.when(before["host"] == F.col("host"), before).alias("before"), F.when(after["host"] == F.col("host"), after).alias("after"))
+    return near.select("row", "path", "hashes", "sizes", F.when(before["host"] == F.col("host"), before).alias("before"), F.when(after["host"] == F.col("host"), after).alias("after"))
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text) for each page."""
+    """(id, url, text, n_shared, n_deleted) for each page: lines shared with its nearest page, and deleted for it."""
     parsed = stored(parse(df, id_col, url_col, html_col))
-    done = parsed.where("settled").select("id", "url", F.array_join("lines", "\n").alias("text"))
-    near = neighbours(parsed.select("row", "host", "path", "hashes"))
-    rest = parsed.where("not settled").join(near, "row").select("id", "url", "path", "lines", "hashes", "before", "after")
+    near = neighbours(parsed.select("row", "host", "path", "hashes", "sizes"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [difference(r["path"], r["lines"], r["hashes"], r["before"], r["after"]) for r in batch.to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
+            found = [difference(r["path"], r["hashes"], r["sizes"], r["before"], r["after"]) for r in batch.to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int32()))], names=["row", "n_shared", "gone"])
 
         return step
 
-    differed = map_batches(rest, make, "id long, url string, text string")
-    return done.unionByName(differed).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
-
-
-def difference(path: str, lines: list[str], hashes: list[int], before: dict | None, after: dict | None) -> str:
-    """The page's lines without those it shares with its nearer neighbour."""
-    near = max((x for x in (before, after) if x), key=lambda x: shared_prefix(path, x["path"]), default=None)
-    gone = set(common(hashes, near["hashes"])) if near else set()
-    if sum(len(lines[i]) for i in gone) > COPY * sum(map(len, lines)):
-        gone = set()
-    return "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    # pages that share nothing need no row here
+    gone = map_batches(near, make, "row long, n_shared long, gone array<int>").where("n_shared > 0")
+    both = parsed.select("row", "id", "url", "lines").join(gone, "row", "left")
+    left = F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i))
+    text = F.array_join(F.when(F.size("gone") > 0, left).otherwise(F.col("lines")), "\n")
+    none = F.lit(0).cast("long")
+    return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.coalesce("n_shared", none).alias("n_shared"), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_deleted"))
+
+
+def difference(path: str, hashes: list[int], sizes: list[int], before: dict | None, after: dict | None) -> tuple[int, list[int]]:
+    """How many lines the page shares with its nearer neighbour, and the positions of those to be deleted."""
+    pair = sorted((x for x in (before, after) if x), key=lambda x: -shared_prefix(path, x["path"]))
+    if not pair:
+        return 0, []
+    shared = common(hashes, pair[0]["hashes"])
+    gone = [i for i in shared if sizes[i] > 0]
+    if sum(abs(sizes[i]) for i in shared) > COPY * sum(map(abs, sizes)):
+        other = set(common(hashes, pair[1]["hashes"])) if len(pair) > 1 else set()
+        other = set() if len(other) == len(hashes) else other
+        gone = [i for i in gone if i in other]
+    return len(shared), gone

@@ -283,8 +283,8 @@ def test_pivots_blocks_of_a_hot_list(spark):
 
 def test_html_lines():
     page = '<div class="cookie-notice"><div>We use</div> x</div><header>Site</header><aside>y<main><article><h1>T &amp; x</h1><p>One\n two<form>f</form><div class="share">s</div></article><section class="comments"><article>c</article></section></main><footer>f'
-    assert html_main.lines_of(page)[:2] == (True, ["T & x", "One two"])
-    assert html_main.lines_of("")[1:] == ([], []) and html_main.lines_of("a < b<script>x</script>")[2] == ["a < b"]
+    assert html_main.lines_of(page)[:2] == (True, ["T & x", "One two"]) and html_main.lines_of(page)[3] == [True, True]
+    assert html_main.lines_of("")[1:] == ([], [], []) and html_main.lines_of("a < b<script>x</script>")[2] == ["a < b"]
 
 
 def test_common_is_longest():
@@ -304,8 +304,44 @@ def test_differencing_deletes_shared_lines(spark):
         return f"<div>Top line</div><p>Body {k} is its own long text {k * 7}.</p><div>Bottom line</div>"
 
     rows = [(k, f"http://h.example/{k}.html", page(k)) for k in range(6)] + [(10, None, None), (11, "http://h2.example/", "<p>Alone</p>"), (12, "http://[bad", "<p>Odd</p>")]
-    got = {r["page_id"]: r["text"] for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {**{k: f"Body {k} is its own long text {k * 7}." for k in range(6)}, 10: "", 11: "Alone", 12: "Odd"}
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: (r["text"], r["n_deleted"]) for r in html_main.main_text(table).collect()}
+    assert got == {**{k: (f"Body {k} is its own long text {k * 7}.", 2) for k in range(6)}, 10: ("", 0), 11: ("Alone", 0), 12: ("Odd", 0)}
+    assert html_main.main_text(table.limit(0)).count() == 0
+
+
+def test_differencing_inside_marked_articles(spark):
+    """What the article's prose elements hold stays, however often it is quoted; other shared lines go."""
+
+    def page(k):
+        return f"<nav>Menu</nav><article><div>Posted by the desk</div><h1>Title {k}</h1><p>Quoted by all.</p><p>Own text {k}.</p><div>More from us</div></article><footer>f</footer>"
+
+    rows = [(k, f"http://h.example/{k}.html", page(k)) for k in range(40)]
+    got = {r["page_id"]: (r["text"], r["n_shared"], r["n_deleted"]) for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: (f"Title {k}\nQuoted by all.\nOwn text {k}.", 3, 2) for k in range(40)}
+
+
+def test_differencing_asks_the_other_neighbour():
+    me, copy = [1, 2, 3, 4], {"path": "/a/1", "hashes": [1, 2, 3, 4]}
+    sizes = [5, 50, 50, 5]
+    assert html_main.difference("/a/1", me, sizes, copy, None) == (4, [])
+    assert html_main.difference("/a/1", me, sizes, copy, {"path": "/b", "hashes": [1, 9, 4]}) == (4, [0, 3])
+    assert html_main.difference("/a/1", me, sizes, copy, copy) == (4, [])
+    assert html_main.difference("/a/1", me, sizes, {"path": "/a", "hashes": [1, 9, 4]}, None) == (2, [0, 3])
+
+
+def test_html_text_of_generated_pages_equals_the_article(spark):
+    """The synthetic pages mark their articles, so a plain reading of these is the truth for every page."""
+    import html as references
+
+    got = queries.op5_html(spark, "/root/testdata/sf0.01").collect()
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    assert len(got) == len(pages)
+    for r in got:
+        article = re.search(r"<article>(.*?)</article>", pages[r["page_id"]] or "", re.S)
+        blocks = re.split(r"</?(?:p|h1|br|div|li|ul)\b[^>]*>", article[1]) if article else []
+        lines = [re.sub(r"\s+", " ", references.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in blocks]
+        assert r["text"] == "\n".join(x for x in lines if x) and r["n_chars"] == len(r["text"])
 
 
 # --- PII -----------------------------------------------------------------------------------------
