@@ -66,8 +66,9 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> F.Column:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k) for k in pii.KINDS]
-    return found.select("doc_id", *counts, hex_sha256(joined(base)).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    counts = [count(k) for k in pii.BASE_KINDS]
+    added = F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added")
+    return found.select("doc_id", *counts, hex_sha256(joined(base)).alias("base_sha256"), joined(F.col("spans")).alias("spans"), added)
 
 
 DOMAINS = {"clean": 0.90, "low": 0.08, "toxic": 0.02}
