@@ -108,6 +108,11 @@ def fit(df: DataFrame, labels: DataFrame, domain: Column, names: list[str], id_c
     return learn(names, x, np.array([names.index(g[0]) for g in got]), np.array([sizes.get(d, 0) / total for d in names]))
 
 
+def row_mark(id_col: str, text_col: str) -> Column:
+    """A hash of the row; equal for equal rows only."""
+    return F.xxhash64(id_col, text_col)
+
+
 def memberships(df: DataFrame, model: Domains | None, names: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, n_tokens, posterior): mark hashes the row; tokens are white-space words."""
     held = df.sparkSession.sparkContext.broadcast(model)
@@ -125,7 +130,7 @@ def memberships(df: DataFrame, model: Domains | None, names: list[str], id_col:
 
         return step
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("mark"))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), row_mark(id_col, text_col).alias("mark"))
     return map_batches(rows, make, "id long, mark long, n_tokens long, posterior array<double>")
 
 
