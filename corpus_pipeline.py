@@ -19,11 +19,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group tied by Jaccard 0.8 or SimHash: the one that names it; of repeated rows with its id, one."""
+    """Keep one document of each group tied by Jaccard 0.8 or SimHash: the one that names it; of repeated rows with its id and text, one."""
     first = minhash.near_duplicates(docs, words=5, similarity=0.8, distance=4).where("first").select(F.col("doc_id").alias("first_id"), "node").distinct()
     kept = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
     kept = kept.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("node")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*COLUMNS)
+    return kept.dropDuplicates(["doc_id", "key"]).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that the domains' expected tokens meet the targets."""
     rated = queries.domain_mix(docs, table(spark, sf_dir, "labels"))
-    copies = rated.groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    kept = docs.select(*COLUMNS).join(copies, "doc_id")
+    # rows by id and text: null ids and several texts under one id are rows like any other
+    copies = rated.groupBy("mark").agg(F.max("copies").alias("copies")).where("copies > 0")
+    kept = docs.select(*COLUMNS, mixing.row_mark("doc_id", "text").alias("mark")).join(copies, "mark")
     return kept.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*COLUMNS)
 
 
