@@ -3,8 +3,8 @@
 A softmax classifier over hashed byte trigrams, fitted on at most about `train_rows` labelled rows of each
 domain, predicts every text's posterior over domains. Rates r >= 0 of documents are then fitted so that the
 expected tokens of each domain, sum of r * tokens * posterior, meet the targets: projected gradient on least
-squares, weighted by the inverse of the domains' second moments so that one step settles what no bound
-hinders. Rates start at one. An iteration is one job that sums a few numbers over a small table
+squares, weighted by the inverse of the domains' second moments over the rows whose rate is above zero, so
+that one step settles what no bound hinders, and halved while a step makes the fit worse. Rates start at one. An iteration is one job that sums a few numbers over a small table
 (tokens and posteriors of each row); nothing of it reaches the driver but those sums.
 
 A row's number of copies is its rate, rounded up or down by a hash of the row, so that expectations hold.
@@ -55,7 +55,7 @@ class Domains:
         return z / z.sum(1, keepdims=True)
 
 
-def learn(names: list[str], x: np.ndarray, y: np.ndarray, prior: np.ndarray, steps: int = 150, ridge: float = 1e-4) -> Domains:
+def learn(names: list[str], x: np.ndarray, y: np.ndarray, prior: np.ndarray, steps: int = 400, ridge: float = 1e-5) -> Domains:
     """Softmax regression by Adam on balanced rows; the bias then takes up the domains' prior shares."""
     w, b = np.zeros((x.shape[1], len(names)), np.float32), np.zeros(len(names), np.float32)
     share = np.bincount(y, minlength=len(names)) / len(y)
@@ -142,38 +142,52 @@ def rate_of(posterior: np.ndarray, moves: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def _totals(table: DataFrame, moves: list[np.ndarray], k: int) -> np.ndarray:
+def _totals(table: DataFrame, moves: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of each domain after these moves, and the second moments of the rows with a rate."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(k)
+        total = np.zeros(k + k * k)
         for batch in batches:
             if batch.num_rows:
                 p = np.array(batch.column(1).to_pylist())
-                total += (rate_of(p, moves) * batch.column(0).to_numpy()) @ p
-        yield pa.RecordBatch.from_arrays([pa.array([i for i in range(k)], pa.int32()), pa.array(total)], names=["k", "v"])
+                rate, tokens = rate_of(p, moves), batch.column(0).to_numpy()
+                total[:k] += (rate * tokens) @ p
+                total[k:] += ((p * (tokens * (rate > 0))[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(list(range(len(total))), pa.int32()), pa.array(total)], names=["k", "v"])
 
     got = table.select("n_tokens", "posterior").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(k)
+    out = np.zeros(k + k * k)
     for r in got:
         out[r["k"]] = r["v"]
-    return out
+    return out[:k], out[k:].reshape(k, k)
 
 
 def solve(table: DataFrame, targets: list[float], rounds: int = 40, tolerance: float = 1e-4) -> list[np.ndarray]:
     """Gradient moves that bring expected domain tokens to `targets` (shares of all tokens)."""
     k = len(targets)
-    moments = [F.sum(F.col("n_tokens") * F.col("posterior")[i] * F.col("posterior")[j]) for i in range(k) for j in range(k)]
-    got = table.agg(F.sum("n_tokens"), *moments).first()
-    if not got[0]:
+    total = float(table.agg(F.sum("n_tokens")).first()[0] or 0)
+    if not total:
         return []
-    total = float(got[0])
-    moment = np.array(got[1:], np.float64).reshape(k, k) / total + 1e-6 * np.eye(k)
     wanted = np.array(targets) / sum(targets)
+
+    def off_at(moves: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        reached, moment = _totals(table, moves, k)
+        return reached / total - wanted, moment / total
+
     moves: list[np.ndarray] = []
-    while len(moves) < rounds:
-        off = _totals(table, moves, k) / total - wanted
-        if np.abs(off).max() <= tolerance:
+    off, moment = off_at(moves)
+    step = 1.0
+    for _ in range(rounds):
+        if np.abs(off).max() <= tolerance or step < 1e-3:
             break
-        moves.append(np.linalg.solve(moment, off))
+        # a ridge in proportion keeps nearly parallel domains from throwing the step far
+        move = step * np.linalg.solve(moment + (1e-6 + 1e-3 * np.trace(moment) / k) * np.eye(k), off)
+        new_off, new_moment = off_at([*moves, move])
+        if np.square(new_off).sum() < np.square(off).sum():
+            moves.append(move)
+            off, moment, step = new_off, new_moment, min(1.0, 2 * step)
+        else:
+            step /= 2
     return moves
 
 

@@ -270,6 +270,25 @@ def test_pivots_recall_and_odd_vectors(spark):
     assert all(got[i] == (0, i) for i in (-1, -2, -3, -4, -7)) and got[-5] == (1, -6) and got[-6] == (1, -6)
 
 
+@pytest.mark.parametrize("width", [8, 64])
+def test_pivots_recall_of_planted_pairs(spark, width):
+    """Pairs planted at cosines from 0.95 to 1 among unlike vectors: brute force finds all, the index 0.97 at least."""
+    r = np.random.default_rng(width)
+    x = r.normal(size=(3000, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = []
+    for v, c in zip(x[:600], np.linspace(0.951, 0.9999, 600), strict=True):
+        side = r.normal(size=width)
+        side -= side @ v * v
+        near.append(c * v + np.sqrt(1 - c * c) * side / np.linalg.norm(side))
+    rows = np.concatenate((x, near))
+    close = (rows @ rows.T >= 0.95) & ~np.eye(len(rows), dtype=bool)
+    got = {g["vec_id"]: g for g in pivots.link(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")).collect()}
+    n = np.array([got[i]["n_links"] for i in range(len(rows))])
+    assert close.sum() >= 1200 and (n <= close.sum(1)).all() and n.sum() >= 0.97 * close.sum()
+    assert pivots.link(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
 def test_pivots_blocks_of_a_hot_list(spark):
     r = np.random.default_rng(0)
     hot = r.normal(size=16) + 0.01 * r.normal(size=(300, 16))
@@ -458,6 +477,39 @@ def test_multiset_is_homomorphic(spark):
     assert both["s"] == one[1] and set(both["none"]) == {0}
 
 
+def test_multiset_lanes_do_not_carry(spark):
+    """More than 2**20 pieces under one key: the sum of parts equals the whole, lane by lane, as plain counting has it."""
+    n = 1_050_000
+    many = spark.range(n).select((F.col("id") % 3).alias("k"), F.lit("a b. c").alias("text"))
+    whole = multiset.fingerprints(many, [], "text").first()["fp"]
+    parts = [r["fp"] for r in multiset.fingerprints(many, ["k"], "text").collect()]
+    one = multiset.fingerprints(spark.createDataFrame([("a b. c",)], "text string"), [], "text").first()["fp"]
+    assert whole == [sum(x) % 2**32 for x in zip(*parts, strict=True)] == [x * n % 2**32 for x in one] and whole[multiset.EXACT] == 2 * n
+    a, b = (spark.createDataFrame([(parts[0], parts[1])], "a array<long>, b array<long>").select(multiset.combine(F.col("a"), F.col("b")).alias("s")).first()["s"] for _ in range(2))
+    assert a == b == [(x + y) % 2**32 for x, y in zip(parts[0], parts[1], strict=True)]
+
+
+def test_multiset_likeness_near_true_share(spark):
+    """Against the exact share of pieces in common: off by 0.12 on average at most; an edited text is nearer than the next."""
+    got = queries.op7_multiset(spark, "/root/testdata/sf0.01").select("doc_id", "n_chars", "near_edited", "near_next").toPandas()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    order = sorted(texts, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+
+    def pieces(t):
+        return Counter(re.findall(multiset.PIECE, t, re.A))
+
+    off = []
+    for r in got.itertuples():
+        t, u = texts[r.doc_id], texts[after[r.doc_id]]
+        half = len(t) // 2
+        a = pieces(t)
+        for b, near in ((pieces(t[: len(t) - half] + u[:half]), r.near_edited), (pieces(u), r.near_next)):
+            norm = sum(x * x for x in a.values()) + sum(x * x for x in b.values())
+            off.append(abs((2 * sum(a[k] * b[k] for k in a) / norm if norm else 1.0 if t == u else 0.0) - near))
+    assert np.mean(off) < 0.12 and (got.near_edited > got.near_next).mean() > 0.985
+
+
 def test_multiset_edits_equal_brute_force(spark, odd):
     rows = [(i, t) for i, t, _ in ODD if i is not None]
     got = multiset.edited(odd.where("doc_id is not null")).select("doc_id", "edited_sha256", "n_chars", multiset.likeness(F.col("fp"), F.col("edited_fp")).alias("near")).collect()
@@ -481,6 +533,32 @@ def test_mixing_meets_targets(spark):
     assert ((got.copies == np.floor(got.rate)) | (got.copies == np.floor(got.rate) + 1)).all()
 
 
+def test_mixing_equals_plain_least_squares(spark):
+    """Targets that can be met are met; others as nearly as a long plain projected gradient gets."""
+    r = np.random.default_rng(4)
+    p = r.dirichlet([0.4, 0.4, 0.4], 200)
+    tokens = r.integers(1, 300, 200)
+    table = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p, strict=True)], "n_tokens long, posterior array<double>")
+    for targets in ([0.2, 0.3, 0.5], [0.9, 0.08, 0.02], [1.0, 0.0, 0.0]):
+        rates = mixing.rate_of(p, mixing.solve(table, targets))
+        share = (rates * tokens) @ p / tokens.sum()
+        plain = np.ones(200)
+        a = (tokens[:, None] * p / tokens.sum()).T
+        for _ in range(60_000):
+            plain = np.maximum(0, plain - 60 * a.T @ (a @ plain - targets))
+        assert (rates >= 0).all() and np.square(share - targets).sum() <= np.square(a @ plain - targets).sum() + 1e-4
+
+
+def test_mixing_copies_meet_targets(spark):
+    """Whole copies: each domain's expected tokens are off by no more than rounding by chance explains."""
+    got = queries.op8_mixing(spark, "/root/testdata/sf0.1").toPandas()
+    total = got.n_tokens.sum()
+    for domain, target in queries.DOMAINS.items():
+        part = got.rate - np.floor(got.rate)
+        spread = np.sqrt((np.square(got.n_tokens * got[f"p_{domain}"]) * part * (1 - part)).sum()) / total
+        assert abs((got.n_tokens * got.copies * got[f"p_{domain}"]).sum() / total - target) < 4 * spread + 2e-3
+
+
 def test_mixing_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (7, 0, 0), (5, 1, 1), (None, 1, 0), (8, None, None)], "doc_id long, quality int, toxic int")
     got = queries.domain_mix(odd, labels).collect()
@@ -499,6 +577,23 @@ def test_pipeline_against_its_parts(spark):
     assert len(set(got.doc_id)) > 0.6 * len(kept)
 
 
+def test_stages_keep_rows_whatever_their_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None, "First text of its own kind here."), (None, "Second, quite another text."), (4, "A third one under id four."), (4, "And a fourth under the same id."), (5, None), (6, "A third one under id four.")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("mark", F.lit("clash")).withColumn("key", F.lit(1))
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert sorted(map(str, kept.select("doc_id", "text").collect())) == sorted(str(r) for r in docs.where("doc_id <=> null or doc_id < 6").select("doc_id", "text").collect())
+    marks = {(r["doc_id"], r["text"]): r["mark"] for r in docs.select("doc_id", "text", mixing.row_mark("doc_id", "text").alias("mark")).collect()}
+    copies = {r["mark"]: r["copies"] for r in queries.domain_mix(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    mixed = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.mix_domains(spark, docs, SF).collect())
+    assert mixed == Counter({k: copies[m] for k, m in marks.items() if copies[m]})
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert corpus_pipeline.redact_personal_data(spark, docs, SF).count() == len(rows) == corpus_pipeline.encode_texts(spark, docs, SF).count()
+
+
 def test_near_dedup_equals_brute_force_jaccard(spark):
     import corpus_pipeline
 
