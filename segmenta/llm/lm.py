@@ -1,42 +1,48 @@
-"""LM scoring by a weighted backoff automaton.
+"""LM scoring by a weighted backoff automaton over word pairs and triples.
 
-Counts cover every training text. The unigram state has an arc for every word type, with absolute
-discounting; what discounting takes away is the unknown word's. Each head word (relative frequency at
-least HEAD) is a state with arcs for its pairs of relative frequency PAIR or more (and seen twice), and a
-failure arc, weighted so that each state's probabilities sum to one, to the unigram state. One pass from
-left to right carries the state and adds up log10 probabilities; it starts in the end token's state.
+Counts cover every training text and every n-gram up to three tokens, without thresholds. A state is a history
+that training has seen: the last two tokens, the last one, or none; a text begins in the state of the end
+token. A state's arc for a token that followed it carries the smoothed probability
+(c(history, token) + prior * p(token | shorter history)) / (c(history) + prior); its failure arc, for all other
+tokens, leads to the shorter history and weighs prior / (c(history) + prior), so each state's probabilities sum
+to one; the prior is one of PRIORS, by the history's length. The last state's arcs are discounted word frequencies, what discounting takes away is the unknown
+word's. One pass from left to right carries the state and adds up log10 probabilities.
 
-Types grow with the corpus, so the table of counts is never broadcast: texts are dealt into blocks, each
-block asks for the words it holds and gets their counts back, and is scored with that table. Heads and
-pairs are bounded by their thresholds (at most 1/HEAD and 1/PAIR of them), so these are broadcast.
+The table of counts grows with the corpus and is never gathered or broadcast: texts are dealt into blocks, each
+block asks for the n-grams it holds, with its own counts of them, and is told the counts of those that other
+blocks have too. N-grams travel as 64-bit hashes (a collision adds two counts), many to a row, in sorted runs
+of differences; asks meet by ranges of the hash, so a frequent n-gram is one entry of each run.
 
 Defined results: null and empty texts are a single end token; with no training rows every count is zero and
 the score is that of unknown words; equal texts get equal scores; an empty table gives an empty result.
-Null ids are taken for training only where the fold says so.
+Null ids are taken for training only where the fold says so. Rows alike in id and text are scored once and
+counted as often as they occur, where there are more than HOT_ROWS of them.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmenta.llm.common import small_batches, stored
 
 END = b""
-HEAD = 2.0**-17
-PAIR = 2.0**-20
+#: Weight of the shorter history's probability, as a count, for histories of one and of two tokens.
+PRIORS = (128.0, 4.0)
 DISCOUNT = 0.5
-#: Characters of text in a block, about; a block's words fit into one worker.
-BLOCK_CHARS = 60_000_000
-_FLUSH = 800_000
+ORDER = 3
+#: Characters of text in a block, and for each range of hashes, about; either fits into one worker.
+BLOCK_CHARS, RANGE_CHARS = 12_000_000, 24_000_000
+#: Tokens that a task gathers before it sends asks.
+FLUSH = 3_000_000
+HOT_ROWS = 1000
+BROADCAST_ROWS = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -46,153 +52,251 @@ def words_of(text: str | None) -> list[bytes]:
     return out
 
 
-@dataclass
-class Automaton:
-    """States are head words by number, -1 the unigram state; arcs are pairs coded head * heads + word."""
-
-    heads: dict[bytes, int]
-    codes: np.ndarray
-    arcs: np.ndarray
-    failure: np.ndarray
-    total: int
-    types: int
-    counts: dict[bytes, int]
-
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of the unigram state's arcs; zero counts take the unknown word's arc."""
-        n = max(self.total, 1)
-        unknown = math.log10(DISCOUNT * self.types / n) if self.types else -math.log10(2.0)
-        return np.where(counts > 0, np.log10(np.maximum(counts - DISCOUNT, DISCOUNT) / n), unknown)
-
-    def run(self, number: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Log10 probabilities, token by token, of texts laid end to end; number: of head words, else -1."""
-        state = np.concatenate(([-1], number[:-1]))
-        state[starts] = self.heads.get(END, -1)
-        step = self.unigram(counts) + np.where(state >= 0, self.failure[state], 0.0)
-        if len(self.codes):
-            code = np.where((state >= 0) & (number >= 0), state * len(self.heads) + number, -1)
-            at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-            step = np.where(self.codes[at] == code, self.arcs[at], step)
-        return step
-
-
-def build(heads: list[tuple[bytes, int]], pairs: list[tuple[int, int]], total: int, types: int) -> Automaton:
-    """heads: (word, count); pairs: (code, count)."""
-    number = {w: i for i, (w, _) in enumerate(heads)}
-    count = np.array([c for _, c in heads], np.float64)
-    made = Automaton(number, np.zeros(0, np.int64), np.zeros(0), np.zeros(len(heads) + 1), total, types, dict(heads))
-    if pairs:
-        pairs = sorted(pairs)
-        codes = np.array([p for p, _ in pairs], np.int64)
-        seen = np.array([c for _, c in pairs], np.float64)
-        first, second = codes // len(heads), codes % len(heads)
-        # a pair cannot be seen more often than its first word, but for the text's start
-        p = (seen - DISCOUNT) / np.maximum(count[first], np.bincount(first, seen, len(heads))[first])
-        low = 10 ** made.unigram(count)
-        kept = 1 - np.bincount(first, p, len(heads))
-        rest = 1 - np.bincount(first, low[second], len(heads))
-        made.codes, made.arcs = codes, np.log10(p)
-        made.failure[:-1] = np.log10(np.maximum(kept, 1e-9) / np.maximum(rest, 1e-9))
-    return made
-
-
-def _asked(df: DataFrame, blocks: int) -> DataFrame:
-    """(block, word, n): the words of each block and how often its training texts have them."""
+class Hashes(dict):
+    """64-bit hashes of words; forgets all once there are many."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, Counter] = {}
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, 42)
+        return h
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, words in counts.items():
-                keys, n = list(words), list(words.values())
-                for i in range(0, len(keys), 50_000):
-                    size = len(keys[i : i + 50_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([block] * size, pa.int32()), pa.array(keys[i : i + size], pa.binary()), pa.array(n[i : i + size], pa.int64())], names=["block", "word", "n"])
-            counts.clear()
 
-        for batch in batches:
-            for block, text, train in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                words = counts.setdefault(block, Counter())
-                if train:
-                    words.update(words_of(text))
-                else:
-                    for w in set(words_of(text)):
-                        words[w] += 0
-            if sum(map(len, counts.values())) > _FLUSH:
-                yield from flush()
-        yield from flush()
+_END_HASH = np.uint64(xxhash.xxh64_intdigest(END, 42))
+
+
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for odd in (0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F):
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(odd)
+    return x ^ (x >> np.uint64(32))
+
+
+def hashed(texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+    """Token hashes of the texts, end to end, and where each text starts."""
+    lists = [words_of(t) for t in texts]
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter((h for words in lists for h in map(hashes.__getitem__, words)), np.uint64, int(sizes.sum()))
+    return flat, np.cumsum(sizes) - sizes
+
+
+def grams(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Keys of the word, pair and triple that end at each token; a text's first token has no triple of its own (zero)."""
+    before = np.concatenate((flat[:1], flat[:-1]))
+    before[starts] = _END_HASH
+    pairs = mix(before, flat)
+    triples = mix(np.concatenate((pairs[:1], pairs[:-1])), flat)
+    triples[starts] = 0
+    return [flat, pairs, triples]
 
-    return df.select("block", "text", "train").mapInArrow(run, "block int, word binary, n long")
 
+def counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, and the sum of their weights."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate((keys[:1] == keys[:1], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(weight[order], first) if len(first) else weight[:0]
 
-def _pairs(df: DataFrame, heads: list[tuple[bytes, int]], least: int) -> list[tuple[int, int]]:
-    held = df.sparkSession.sparkContext.broadcast({w: i for i, (w, _) in enumerate(heads)})
+
+def packed(a: np.ndarray) -> bytes:
+    """Eight byte planes: what is zero in all entries compresses to nothing."""
+    return a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    return packed(np.concatenate((keys[:1], np.diff(keys))))
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw), dtype=np.uint64)
+
+
+def _asks(df: DataFrame, ranges: int) -> DataFrame:
+    """(part, block, gram, keys, n): the n-grams of each block and how often its training texts have them, by range of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = held.value
-        size, start = len(number), number.get(END, -1)
-        codes: list[np.ndarray] = []
-        n = 0
+        hashes, held, tokens = Hashes(), {}, 0
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("gram", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found, times = np.unique(np.concatenate(codes), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times, pa.int64())], names=["code", "n"])
+            for block, parts in held.items():
+                sizes = np.array([len(flat) for flat, *_ in parts])
+                shift = np.cumsum(sizes) - sizes
+                flat, starts, weight = (np.concatenate(x) for x in zip(*[(f, s + k, w) for (f, s, w), k in zip(parts, shift, strict=True)], strict=True))
+                rows: list[list] = [[], [], [], [], []]
+                for gram, keys in enumerate(grams(flat, starts), 1):
+                    use = keys != 0 if gram == ORDER else slice(None)
+                    keys, n = counted(keys[use], weight[use])
+                    part = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                    cut = np.flatnonzero(np.concatenate((part[:1] == part[:1], part[1:] != part[:-1], [True])))
+                    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                        for column, value in zip(rows, (int(part[a]), block, gram, pack_keys(keys[a:b]), packed(n[a:b])), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, schema, strict=True)], schema=schema)
+            held.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                w = np.fromiter(map(number.get, words_of(text), repeat(-1)), np.int64)
-                before = np.concatenate(([start], w[:-1]))
-                both = (before >= 0) & (w >= 0)
-                codes.append(before[both] * size + w[both])
-                n += len(codes[-1])
-            if n > 4_000_000:
+            blocks, texts, weights = (c.to_pylist() for c in batch.columns)
+            for block in set(blocks):
+                mine = [k for k, b in enumerate(blocks) if b == block]
+                flat, starts = hashed([texts[k] for k in mine], hashes)
+                each = np.diff(np.append(starts, len(flat)))
+                held.setdefault(block, []).append((flat, starts, np.repeat(np.array([weights[k] for k in mine], np.uint64), each)))
+                tokens += len(flat)
+            if tokens > FLUSH:
                 yield from flush()
-                codes, n = [], 0
-        if codes:
-            yield from flush()
+                tokens = 0
+        yield from flush()
 
-    counted = df.where("train").select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    return [(r["code"], r["n"]) for r in counted.where(F.col("n") >= least).collect()]
+    return df.select("block", "text", "weight").mapInArrow(run, "part int, block int, gram int, keys binary, n binary")
+
+
+_REPLY = pa.schema([("block", pa.int32()), ("gram", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("total", pa.int64()), ("types", pa.int64())])
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """For one range of hashes: to each block the counts of those of its n-grams that others count too; block -1: tokens and types."""
+    rows: list[list] = [[] for _ in _REPLY]
+
+    def add(*values) -> None:
+        for column, value in zip(rows, values, strict=True):
+            column.append(value)
+
+    asked = asked.sort_by("block")
+    of = asked.column("gram").to_numpy()
+    for gram in range(1, ORDER + 1):
+        some = asked.filter(pa.array(of == gram))
+        if not some.num_rows:
+            continue
+        lists = [unpack_keys(x) for x in some.column("keys").to_pylist()]
+        keys, n = np.concatenate(lists), np.concatenate([unpacked(x) for x in some.column("n").to_pylist()])
+        block = np.repeat(some.column("block").to_numpy(), [len(x) for x in lists])
+        # runs are sorted, so this merges them; equal keys stay in order of block
+        order = np.argsort(keys, kind="stable")
+        keys, n, block = keys[order], n[order], block[order]
+        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        at = np.flatnonzero(new | np.concatenate(([True], block[1:] != block[:-1])))
+        own, keys, block, new = np.add.reduceat(n, at), keys[at], block[at], new[at]
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(own, first)
+        if gram == 1:
+            add(-1, 1, None, None, int(total.sum()), int(np.count_nonzero(total)))
+        total = np.repeat(total, np.diff(np.append(first, len(keys))))
+        tell = np.flatnonzero(total != own)
+        tell = tell[np.argsort(block[tell], kind="stable")]
+        cut = np.flatnonzero(np.concatenate(([True], block[tell][1:] != block[tell][:-1], [True]))) if len(tell) else []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            mine = tell[a:b]
+            add(int(block[mine[0]]), gram, pack_keys(keys[mine]), packed(total[mine]), None, None)
+    return pa.table([pa.array(c, f.type) for c, f in zip(rows, _REPLY, strict=True)], schema=_REPLY)
+
+
+def totals(keys: np.ndarray, weight: np.ndarray, known: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """The corpus's count of each key: what the block was told, else its own."""
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    first = np.flatnonzero(np.concatenate((sorted_keys[:1] == sorted_keys[:1], sorted_keys[1:] != sorted_keys[:-1])))
+    count = np.add.reduceat(weight[order], first)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, sorted_keys[first]), len(known) - 1)
+        hit = known[at] == sorted_keys[first]
+        count[hit] = told[at[hit]]
+    out = np.empty(len(keys), np.float64)
+    out[order] = np.repeat(count, np.diff(np.append(first, len(keys))))
+    return out
 
 
-def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def word_arcs(count: np.ndarray, total: int, types: int) -> np.ndarray:
+    """Probabilities of the last state's arcs; a count of zero takes the unknown word's."""
+    if not types:
+        return np.full(len(count), 0.5)
+    return np.where(count > 0, np.maximum(count - DISCOUNT, DISCOUNT), DISCOUNT * types) / total
+
+
+def traverse(counts: list[np.ndarray], starts: np.ndarray, total: int, types: int, priors: tuple[float, float] = PRIORS) -> np.ndarray:
+    """Log10 weight of every token's way: failure arcs down to a state that has an arc for it, then that arc.
+
+    counts: of the word, pair and triple that end at each token. The state before a token is its history of
+    two tokens (one at a text's start); a history never seen is no state, and its failure arc costs nothing.
+    """
+    word, pair, triple = counts
+    ends = np.append(starts[1:], len(word)) - 1
+    last = np.concatenate((word[:1], word[:-1]))
+    # a text begins after an end token, whose count its own end knows
+    last[starts] = word[ends]
+    two = np.concatenate((pair[:1], pair[:-1]))
+    two[starts] = 0
+    p = word_arcs(word, total, types)
+    way = np.log10(p)
+    for followed, history, prior in zip((pair, triple), (last, two), priors, strict=True):
+        seen = followed > 0
+        arc = (followed + prior * p) / (history + prior)
+        failure = np.log10(prior / (history + prior))
+        way = np.where(seen, np.log10(arc), failure + way)
+        p = np.where(seen, arc, prior * p / (history + prior))
+    return way
+
+
+def _rows(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, key, weight, times): weight is how often the row trains; rows alike are one where there are many."""
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).cast("long").alias("weight"))
+    rows = rows.withColumn("key", F.xxhash64("id", "text"))
+    hot = stored(rows.groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key"))
+    n = hot.count()
+    rows = rows.withColumn("times", F.lit(1).cast("long"))
+    if not n:
+        return rows
+    hot = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
+    many = rows.join(hot, "key", "left_semi").groupBy("key", "weight").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("times"))
+    many = many.withColumn("weight", F.col("weight") * F.col("times"))
+    return rows.join(hot, "key", "left_anti").unionByName(many.select(rows.columns))
+
+
+def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", priors: tuple[float, float] = PRIORS) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of each row; learns where `train` holds."""
     spark = df.sparkSession
     small_batches(spark)
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(spark.sparkContext.defaultParallelism, math.ceil(chars / BLOCK_CHARS))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int"))
-    asked = stored(_asked(rows, blocks))
-    counts = stored(asked.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"))
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    heads = sorted((bytes(r["word"]), r["c"]) for r in counts.where(F.col("c") >= total * HEAD).collect())
-    model = build(heads, _pairs(rows, heads, max(2, math.ceil(total * PAIR))) if heads else [], total, types)
-    held = spark.sparkContext.broadcast(model)
-    # head words, of bounded number, come with the model; only the others are looked up
-    frequent = F.broadcast(spark.createDataFrame([(w,) for w, _ in heads], "word binary"))
-    reply = asked.select("block", "word").join(frequent, "word", "left_anti").join(counts, "word").select("block", "word", "c").distinct()
-    schema = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-
-    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
-        model = held.value
-        table = model.counts | dict(zip(known.column("word").to_pylist(), known.column("c").to_pylist(), strict=True))
-        base = math.log10(model.total + model.types + 1)
-        out: list[list] = [[], [], [], []]
-        for batch in docs.to_batches(max_chunksize=256):
-            texts = [words_of(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            flat = [w for words in texts for w in words]
-            starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1])).astype(np.int64)
-            c = np.fromiter(map(table.get, flat, repeat(0)), np.int64, len(flat))
-            number = np.fromiter(map(model.heads.get, flat, repeat(-1)), np.int64, len(flat))
-            step = model.run(number, c, starts)
-            out[0] += [len(t) for t in texts]
-            out[1] += np.add.reduceat((c > 0).astype(np.int64), starts).tolist()
-            out[2] += np.add.reduceat(np.log10(c + 1.0) - base, starts).tolist()
-            out[3] += np.add.reduceat(step, starts).tolist()
-        n = len(out[0])
-        return pa.table([docs.column("id") if n else pa.array([], pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([model.total] * n, pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    docs = rows.select("block", F.col("id").cast("long").alias("id"), "text")
-    scored = docs.groupBy("block").cogroup(reply.groupBy("block")).applyInArrow(run, schema)
-    return scored.withColumnRenamed("id", id_col)
+    rows = _rows(df, train, id_col, text_col)
+    chars = df.agg(F.sum(F.length(text_col))).first()[0] or 0
+    least = spark.sparkContext.defaultParallelism
+    blocks, ranges = (max(least, math.ceil(chars / size)) for size in (BLOCK_CHARS, RANGE_CHARS))
+    rows = rows.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
+    answers = stored(_asks(rows, ranges).groupBy("part").applyInArrow(lambda t: _answer(t.drop_columns(["part"])), "block int, gram int, keys binary, n binary, total long, types long"))
+    total, types = (x or 0 for x in answers.where("block = -1").agg(F.sum("total"), F.sum("types")).first())
+    told = answers.where("block >= 0").select("block", "gram", "keys", "n")
+    schema = "id long, times long, n_tokens long, n_known long, base_score double, score double"
+
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        hashes = Hashes()
+        parts = [hashed(docs.column("text").slice(i, 256).to_pylist(), hashes) for i in range(0, docs.num_rows, 256)]
+        shift = np.cumsum([0, *(len(f) for f, _ in parts)])
+        flat = np.concatenate([f for f, _ in parts] or [np.zeros(0, np.uint64)])
+        starts = np.concatenate([s + k for (_, s), k in zip(parts, shift[:-1], strict=True)] or [np.zeros(0, np.int64)])
+        out = [docs.column("id"), docs.column("times")]
+        if not len(flat):
+            return pa.table([*out, *[pa.array([], pa.int64())] * 2, *[pa.array([], pa.float64())] * 2], names=["id", "times", "n_tokens", "n_known", "base_score", "score"])
+        sizes = np.diff(np.append(starts, len(flat)))
+        weight = np.repeat(docs.column("weight").to_numpy().astype(np.uint64), sizes)
+        gram, counts = told.column("gram").to_numpy(), []
+        for k, keys in enumerate(grams(flat, starts), 1):
+            mine = told.filter(pa.array(gram == k))
+            known = np.concatenate([unpack_keys(x) for x in mine.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
+            n = np.concatenate([unpacked(x) for x in mine.column("n").to_pylist()] or [np.zeros(0, np.uint64)])
+            order = np.argsort(known, kind="stable")
+            count = totals(keys, weight, known[order], n[order])
+            if k == ORDER:
+                count[starts] = 0
+            counts.append(count)
+        base = np.log10(counts[0] + 1) - math.log10(total + types + 1)
+        sums = [np.add.reduceat(x, starts) for x in ((counts[0] > 0).astype(np.int64), base, traverse(counts, starts, total, types, priors))]
+        return pa.table([*out, pa.array(sizes), *[pa.array(x) for x in sums]], names=["id", "times", "n_tokens", "n_known", "base_score", "score"])
+
+    docs = rows.select("block", "id", "text", "weight", "times")
+    scored = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+    scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

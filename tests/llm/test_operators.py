@@ -146,30 +146,59 @@ def test_toxicity_held_out():
 # --- LM ------------------------------------------------------------------------------------------
 
 
-def test_lm_base_score_and_normalisation(spark, docs):
+def plain_model(texts, train):
+    """A walk by the book: counts in dictionaries, failure arcs one at a time."""
+    counts = [Counter() for _ in range(3)]
+    for text, use in zip(texts, train, strict=True):
+        t = [b"", *lm.words_of(text)]
+        for i in range(1, len(t) if use else 0):
+            counts[0][t[i]] += 1
+            counts[1][t[i - 1], t[i]] += 1
+            if i > 1:
+                counts[2][t[i - 2], t[i - 1], t[i]] += 1
+    n, v = sum(counts[0].values()), len(counts[0])
+
+    def p(w, history):
+        if not history:
+            return (max(counts[0][w] - lm.DISCOUNT, lm.DISCOUNT) if counts[0][w] else lm.DISCOUNT * v) / n
+        seen = counts[0][history[0]] if len(history) == 1 else counts[1][history]
+        return (counts[len(history)][(*history, w)] + lm.PRIORS[len(history) - 1] * p(w, history[1:])) / (seen + lm.PRIORS[len(history) - 1])
+
+    def walk(text):
+        t = [b"", *lm.words_of(text)]
+        return sum(math.log10(p(t[i], tuple(t[max(0, i - 2) : i]))) for i in range(1, len(t)))
+
+    return counts, n, v, p, walk
+
+
+@pytest.mark.parametrize("chars", [12_000_000, 3000])
+def test_lm_equals_plain_walk(spark, docs, monkeypatch, chars):
+    monkeypatch.setattr(lm, "BLOCK_CHARS", chars)
+    monkeypatch.setattr(lm, "RANGE_CHARS", 2 * chars)
     got = {r["doc_id"]: r for r in lm.score(docs, crc_mod("doc_id", 7) != 2).collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    counts = Counter()
-    for i, t in texts.items():
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            counts.update(lm.words_of(t))
-    n, v = sum(counts.values()), len(counts)
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    counts, n, v, _, walk = plain_model(texts.values(), [not held[i] for i in texts])
     for i, t in texts.items():
         words = lm.words_of(t)
-        assert math.isclose(got[i]["base_score"], sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
-        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(words), sum(counts[w] > 0 for w in words), n)
-    held = [r for i, r in got.items() if zlib.crc32(str(i).encode()) % 7 == 2]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
-
-
-def test_lm_state_sums_to_one():
-    heads = [(b"", 4), (b"a", 6), (b"b", 5)]
-    model = lm.build(heads, [(1 * 3 + 2, 4), (0 * 3 + 1, 3)], 15, 3)
-    for state in range(3):
-        arcs = {int(c) % 3: a for c, a in zip(model.codes, model.arcs, strict=True) if c // 3 == state}
-        uni = 10 ** model.unigram(np.array([4, 6, 5, 0]))
-        total = sum(10 ** arcs[w] if w in arcs else uni[w] * 10 ** model.failure[state] for w in range(3)) + uni[3] * 10 ** model.failure[state]
-        assert math.isclose(total, 1, rel_tol=1e-6)
+        assert math.isclose(got[i]["base_score"], sum(math.log10((counts[0][w] + 1) / (n + v + 1)) for w in words), rel_tol=1e-9)
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (len(words), sum(counts[0][w] > 0 for w in words), n)
+        assert math.isclose(got[i]["score"], walk(t), rel_tol=1e-9)
+    assert sum(r["score"] for i, r in got.items() if held[i]) > sum(r["base_score"] for i, r in got.items() if held[i])
+
+
+def test_lm_states_sum_to_one():
+    counts, _, _, p, _ = plain_model(["a b a c", "b a b", "a a b c c", ""], [True] * 4)
+    for history in [(), (b"a",), (b"",), (b"a", b"b"), (b"", b"a"), (b"c", b"zz"), (b"b",)]:
+        assert math.isclose(sum(p(w, history) for w in [*counts[0], b"never seen"]), 1, rel_tol=1e-9)
+
+
+def test_lm_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(lm, "HOT_ROWS", 5)
+    rows = [(1, "a b c")] * 9 + [(None, "x y")] * 7 + [(2, "a b"), (3, None)]
+    got = sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 9)) for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id").isNull() | (F.col("doc_id") < 3)).collect())
+    _, _, _, _, walk = plain_model([t for _, t in rows], [i is None or i < 3 for i, _ in rows])
+    assert got == sorted((str(i), len(lm.words_of(t)), round(walk(t), 9)) for i, t in rows)
 
 
 def test_lm_odd_rows(odd):
