@@ -10,8 +10,9 @@ word's. One pass from left to right carries the state and adds up log10 probabil
 
 The table of counts grows with the corpus and is never gathered or broadcast: texts are dealt into blocks, each
 block asks for the n-grams it holds, with its own counts of them, and is told the counts of those that other
-blocks have too. N-grams travel as 64-bit hashes (a collision adds two counts), many to a row, in sorted runs
-of differences; asks meet by ranges of the hash, so a frequent n-gram is one entry of each run.
+blocks have too. N-grams travel as hashes, many to a row, in sorted runs of differences; asks meet by ranges
+of the hash, so a frequent n-gram is one entry of each run. A collision adds two counts: words have 64 bits,
+pairs and triples as many as the corpus needs for a chance of 2**-SPARE_BITS or less that one of them collides.
 
 Defined results: null and empty texts are a single end token; with no training rows every count is zero and
 the score is that of unknown words; equal texts get equal scores; an empty table gives an empty result.
@@ -38,7 +39,8 @@ PRIORS = (128.0, 4.0)
 DISCOUNT = 0.5
 ORDER = 3
 #: Characters of text in a block, and for each range of hashes, about; either fits into one worker.
-BLOCK_CHARS, RANGE_CHARS = 12_000_000, 24_000_000
+BLOCK_CHARS, RANGE_CHARS = 12_000_000, 8_000_000
+SPARE_BITS = 20
 #: Tokens that a task gathers before it sends asks.
 FLUSH = 3_000_000
 HOT_ROWS = 1000
@@ -81,14 +83,19 @@ def hashed(texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray, np.ndar
     return flat, np.cumsum(sizes) - sizes
 
 
-def grams(flat: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """Keys of the word, pair and triple that end at each token; a text's first token has no triple of its own (zero)."""
+def grams(flat: np.ndarray, starts: np.ndarray, bits: int = 64) -> list[np.ndarray]:
+    """Keys of the word (64 bits), pair and triple (`bits`) that end at each token; a text's first token has no triple (zero)."""
     before = np.concatenate((flat[:1], flat[:-1]))
     before[starts] = _END_HASH
     pairs = mix(before, flat)
     triples = mix(np.concatenate((pairs[:1], pairs[:-1])), flat)
     triples[starts] = 0
-    return [flat, pairs, triples]
+    return [flat, pairs >> np.uint64(64 - bits), triples >> np.uint64(64 - bits)]
+
+
+def key_bits(chars: int) -> int:
+    """Bits of a pair's or triple's key in a corpus of so many characters, which has fewer tokens."""
+    return min(64, max(40, chars.bit_length() + SPARE_BITS))
 
 
 def counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,12 +107,14 @@ def counted(keys: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def packed(a: np.ndarray) -> bytes:
-    """Eight byte planes: what is zero in all entries compresses to nothing."""
-    return a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Byte planes, compressed: what is alike in all entries takes no room. The first four bytes are the length."""
+    return len(a).to_bytes(4, "little") + pa.compress(a.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(pa.decompress(raw[4:], decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -116,7 +125,7 @@ def unpack_keys(raw: bytes) -> np.ndarray:
     return np.cumsum(unpacked(raw), dtype=np.uint64)
 
 
-def _asks(df: DataFrame, ranges: int) -> DataFrame:
+def _asks(df: DataFrame, ranges: int, bits: int) -> DataFrame:
     """(part, block, gram, keys, n): the n-grams of each block and how often its training texts have them, by range of hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +138,10 @@ def _asks(df: DataFrame, ranges: int) -> DataFrame:
                 shift = np.cumsum(sizes) - sizes
                 flat, starts, weight = (np.concatenate(x) for x in zip(*[(f, s + k, w) for (f, s, w), k in zip(parts, shift, strict=True)], strict=True))
                 rows: list[list] = [[], [], [], [], []]
-                for gram, keys in enumerate(grams(flat, starts), 1):
+                for gram, keys in enumerate(grams(flat, starts, bits), 1):
                     use = keys != 0 if gram == ORDER else slice(None)
                     keys, n = counted(keys[use], weight[use])
-                    part = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                    part = (keys >> np.uint64((bits if gram > 1 else 64) - 32)) * np.uint64(ranges) >> np.uint64(32)
                     cut = np.flatnonzero(np.concatenate((part[:1] == part[:1], part[1:] != part[:-1], [True])))
                     for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
                         for column, value in zip(rows, (int(part[a]), block, gram, pack_keys(keys[a:b]), packed(n[a:b])), strict=True):
@@ -266,7 +275,8 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     least = spark.sparkContext.defaultParallelism
     blocks, ranges = (max(least, math.ceil(chars / size)) for size in (BLOCK_CHARS, RANGE_CHARS))
     rows = rows.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
-    answers = stored(_asks(rows, ranges).groupBy("part").applyInArrow(lambda t: _answer(t.drop_columns(["part"])), "block int, gram int, keys binary, n binary, total long, types long"))
+    bits = key_bits(chars)
+    answers = stored(_asks(rows, ranges, bits).groupBy("part").applyInArrow(lambda t: _answer(t.drop_columns(["part"])), "block int, gram int, keys binary, n binary, total long, types long"))
     total, types = (x or 0 for x in answers.where("block = -1").agg(F.sum("total"), F.sum("types")).first())
     told = answers.where("block >= 0").select("block", "gram", "keys", "n")
     schema = "id long, times long, n_tokens long, n_known long, base_score double, score double"
@@ -283,7 +293,7 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         sizes = np.diff(np.append(starts, len(flat)))
         weight = np.repeat(docs.column("weight").to_numpy().astype(np.uint64), sizes)
         gram, counts = told.column("gram").to_numpy(), []
-        for k, keys in enumerate(grams(flat, starts), 1):
+        for k, keys in enumerate(grams(flat, starts, bits), 1):
             mine = told.filter(pa.array(gram == k))
             known = np.concatenate([unpack_keys(x) for x in mine.column("keys").to_pylist()] or [np.zeros(0, np.uint64)])
             n = np.concatenate([unpacked(x) for x in mine.column("n").to_pylist()] or [np.zeros(0, np.uint64)])
