@@ -8,8 +8,8 @@ tokens, leads to the shorter history and weighs prior / (c(history) + prior), so
 to one; the prior is one of PRIORS, by the history's length. The last state's arcs are discounted word frequencies, what discounting takes away is the unknown
 word's. One pass from left to right carries the state and adds up log10 probabilities.
 
-The table of counts grows with the corpus and is never gathered or broadcast: texts are dealt into blocks, each
-block asks for the n-grams it holds, with its own counts of them, and is told the counts of those that other
+The table of counts grows with the corpus and is never gathered or broadcast: texts are dealt into blocks (a file's
+texts into a few of them, so that one task holds most of a block), each block asks for the n-grams it holds, with its own counts of them, and is told the counts of those that other
 blocks have too. N-grams travel as hashes, many to a row, in sorted runs of differences; asks meet by ranges
 of the hash, so a frequent n-gram is one entry of each run. A collision adds two counts: words have 64 bits,
 pairs and triples as many as the corpus needs for a chance of 2**-SPARE_BITS or less that one of them collides.
@@ -39,10 +39,10 @@ PRIORS = (128.0, 4.0)
 DISCOUNT = 0.5
 ORDER = 3
 #: Characters of text in a block, and for each range of hashes, about; either fits into one worker.
-BLOCK_CHARS, RANGE_CHARS = 12_000_000, 8_000_000
-SPARE_BITS = 20
+BLOCK_CHARS, RANGE_CHARS = 14_000_000, 8_000_000
+SPARE_BITS = 14
 #: Tokens that a task gathers before it sends asks.
-FLUSH = 3_000_000
+FLUSH = 4_500_000
 HOT_ROWS = 1000
 BROADCAST_ROWS = 100_000
 
@@ -130,7 +130,7 @@ def _asks(df: DataFrame, ranges: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held, tokens = Hashes(), {}, 0
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("gram", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
+        schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("gram", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
 
         def flush() -> Iterator[pa.RecordBatch]:
             for block, parts in held.items():
@@ -162,14 +162,14 @@ def _asks(df: DataFrame, ranges: int, bits: int) -> DataFrame:
                 tokens = 0
         yield from flush()
 
-    return df.select("block", "text", "weight").mapInArrow(run, "part int, block int, gram int, keys binary, n binary")
+    return df.select("block", "text", "weight").mapInArrow(run, "part int, block long, gram int, keys binary, n binary")
 
 
-_REPLY = pa.schema([("block", pa.int32()), ("gram", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("total", pa.int64()), ("types", pa.int64())])
+_REPLY = pa.schema([("block", pa.int64()), ("gram", pa.int32()), ("keys", pa.binary()), ("n", pa.binary())])
 
 
 def _answer(asked: pa.Table) -> pa.Table:
-    """For one range of hashes: to each block the counts of those of its n-grams that others count too; block -1: tokens and types."""
+    """For one range of hashes: to each block the counts of those of its n-grams that others count too."""
     rows: list[list] = [[] for _ in _REPLY]
 
     def add(*values) -> None:
@@ -193,15 +193,13 @@ def _answer(asked: pa.Table) -> pa.Table:
         own, keys, block, new = np.add.reduceat(n, at), keys[at], block[at], new[at]
         first = np.flatnonzero(new)
         total = np.add.reduceat(own, first)
-        if gram == 1:
-            add(-1, 1, None, None, int(total.sum()), int(np.count_nonzero(total)))
         total = np.repeat(total, np.diff(np.append(first, len(keys))))
         tell = np.flatnonzero(total != own)
         tell = tell[np.argsort(block[tell], kind="stable")]
         cut = np.flatnonzero(np.concatenate(([True], block[tell][1:] != block[tell][:-1], [True]))) if len(tell) else []
         for a, b in zip(cut[:-1], cut[1:], strict=True):
             mine = tell[a:b]
-            add(int(block[mine[0]]), gram, pack_keys(keys[mine]), packed(total[mine]), None, None)
+            add(int(block[mine[0]]), gram, pack_keys(keys[mine]), packed(total[mine]))
     return pa.table([pa.array(c, f.type) for c, f in zip(rows, _REPLY, strict=True)], schema=_REPLY)
 
 
@@ -251,9 +249,42 @@ def traverse(counts: list[np.ndarray], starts: np.ndarray, total: int, types: in
     return way
 
 
+def _vocabulary(df: DataFrame, ranges: int) -> tuple[int, int]:
+    """Tokens and different words of the training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, words, tokens = Hashes(), set(), 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            keys = np.unique(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)))
+            part = (keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            runs = [pack_keys(x) for x in np.split(keys, np.flatnonzero(part[1:] != part[:-1]) + 1)] if len(keys) else []
+            parts = np.unique(part).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(parts + [-1], pa.int32()), pa.array([*runs, None], pa.binary()), pa.array([0] * len(parts) + [tokens], pa.int64())], names=["part", "keys", "n"])
+
+        for batch in batches:
+            for text, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                mine = words_of(text)
+                tokens += len(mine) * weight
+                words.update(mine)
+                if len(words) > 1_000_000:
+                    yield from flush()
+                    words, tokens = set(), 0
+        yield from flush()
+
+    def types(runs: pa.Table) -> pa.Table:
+        keys = [unpack_keys(x) for x in runs.column("keys").to_pylist() if x is not None]
+        n = len(np.unique(np.concatenate(keys))) if keys else 0
+        return pa.table({"types": [n], "tokens": [sum(runs.column("n").to_pylist())]}, schema=pa.schema([("types", pa.int64()), ("tokens", pa.int64())]))
+
+    asked = df.where("weight > 0").select("text", "weight").mapInArrow(run, "part int, keys binary, n long")
+    tokens, words = asked.groupBy("part").applyInArrow(types, "types long, tokens long").agg(F.sum("tokens"), F.sum("types")).first()
+    return tokens or 0, words or 0
+
+
 def _rows(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, key, weight, times): weight is how often the row trains; rows alike are one where there are many."""
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).cast("long").alias("weight"))
+    """(id, text, key, file, weight, times): weight is how often the row trains; rows alike are one where there are many."""
+    rows = df.select(F.input_file_name().alias("file"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).cast("long").alias("weight"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
     hot = stored(rows.groupBy("key").count().where(F.col("count") > HOT_ROWS).select("key"))
     n = hot.count()
@@ -261,7 +292,7 @@ def _rows(df: DataFrame, train: Column, id_col: str, text_col: str) -> DataFrame
     if not n:
         return rows
     hot = F.broadcast(hot) if n <= BROADCAST_ROWS else hot
-    many = rows.join(hot, "key", "left_semi").groupBy("key", "weight").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("times"))
+    many = rows.join(hot, "key", "left_semi").groupBy("key", "weight").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.lit("").alias("file"), F.count("*").alias("times"))
     many = many.withColumn("weight", F.col("weight") * F.col("times"))
     return rows.join(hot, "key", "left_anti").unionByName(many.select(rows.columns))
 
@@ -271,14 +302,14 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     spark = df.sparkSession
     small_batches(spark)
     rows = _rows(df, train, id_col, text_col)
-    chars = df.agg(F.sum(F.length(text_col))).first()[0] or 0
+    files = df.groupBy(F.input_file_name().alias("file")).agg(F.sum(F.length(text_col)).alias("chars"))
+    chars, largest = (x or 0 for x in files.agg(F.sum("chars"), F.max("chars")).first())
     least = spark.sparkContext.defaultParallelism
-    blocks, ranges = (max(least, math.ceil(chars / size)) for size in (BLOCK_CHARS, RANGE_CHARS))
-    rows = rows.withColumn("block", F.pmod("key", F.lit(blocks)).cast("int"))
-    bits = key_bits(chars)
-    answers = stored(_asks(rows, ranges, bits).groupBy("part").applyInArrow(lambda t: _answer(t.drop_columns(["part"])), "block int, gram int, keys binary, n binary, total long, types long"))
-    total, types = (x or 0 for x in answers.where("block = -1").agg(F.sum("total"), F.sum("types")).first())
-    told = answers.where("block >= 0").select("block", "gram", "keys", "n")
+    ranges, bits = max(least, math.ceil(chars / RANGE_CHARS)), key_bits(chars)
+    total, types = _vocabulary(rows, ranges)
+    # by file and key, so a row's block is the same in every run of a task, wherever the scan cuts the file
+    rows = rows.withColumn("block", F.xxhash64("file", F.pmod("key", F.lit(max(1, math.ceil(largest / BLOCK_CHARS))))))
+    told = _asks(rows, ranges, bits).groupBy("part").applyInArrow(lambda t: _answer(t.drop_columns(["part"])), "block long, gram int, keys binary, n binary")
     schema = "id long, times long, n_tokens long, n_known long, base_score double, score double"
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
