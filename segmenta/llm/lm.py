@@ -47,9 +47,10 @@ HOT_ROWS = 1000
 BROADCAST_ROWS = 100_000
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words, A-Z lower-cased, then the end."""
-    out = (text or "").encode("utf-8", "replace").lower().split()
+def words_of(text: str | bytes | None) -> list[bytes]:
+    """Words, A-Z lower-cased, then the end; bytes are UTF-8."""
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
+    out = raw.lower().split()
     out.append(END)
     return out
 
@@ -75,7 +76,7 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def hashed(texts: list[str | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
+def hashed(texts: list[str | bytes | None], hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of the texts, end to end, and where each text starts."""
     lists = [words_of(t) for t in texts]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -249,6 +250,34 @@ def traverse(counts: list[np.ndarray], starts: np.ndarray, total: int, types: in
     return way
 
 
+def _parcels(df: DataFrame) -> DataFrame:
+    """(block, id, weight, times, size, texts): the rows of a block that come together, their texts compressed as one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        for batch in batches:
+            blocks, ids, texts, weights, times = (c.to_pylist() for c in batch.columns)
+            raw = [(t or "").encode("utf-8", "replace") for t in texts]
+            rows: list[list] = [[], [], [], [], [], []]
+            for block in set(blocks):
+                mine = [k for k, b in enumerate(blocks) if b == block]
+                whole = b"".join([raw[k] for k in mine])
+                values = (block, *([c[k] for k in mine] for c in (ids, weights, times)), [len(raw[k]) for k in mine], pa.compress(whole, codec="zstd", asbytes=True))
+                for column, value in zip(rows, values, strict=True):
+                    column.append(value)
+            types = (pa.int64(), longs, longs, longs, longs, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names=["block", "id", "weight", "times", "size", "texts"])
+
+    return df.select("block", "id", "text", "weight", "times").mapInArrow(run, "block long, id array<long>, weight array<long>, times array<long>, size array<long>, texts binary")
+
+
+def _texts(parcels: pa.Table) -> Iterator[list[bytes]]:
+    for sizes, raw in zip(parcels.column("size").to_pylist(), parcels.column("texts").to_pylist(), strict=True):
+        whole = pa.decompress(raw, decompressed_size=sum(sizes), codec="zstd", asbytes=True)
+        ends = np.cumsum(sizes).tolist()
+        yield [whole[b - n : b] for b, n in zip(ends, sizes, strict=True)]
+
+
 def _vocabulary(df: DataFrame, ranges: int) -> tuple[int, int]:
     """Tokens and different words of the training texts."""
 
@@ -314,15 +343,16 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
         hashes = Hashes()
-        parts = [hashed(docs.column("text").slice(i, 256).to_pylist(), hashes) for i in range(0, docs.num_rows, 256)]
+        parts = [hashed(texts, hashes) for texts in _texts(docs)]
         shift = np.cumsum([0, *(len(f) for f, _ in parts)])
         flat = np.concatenate([f for f, _ in parts] or [np.zeros(0, np.uint64)])
         starts = np.concatenate([s + k for (_, s), k in zip(parts, shift[:-1], strict=True)] or [np.zeros(0, np.int64)])
-        out = [docs.column("id"), docs.column("times")]
+        ids, weights, times = (docs.column(c).combine_chunks().flatten() for c in ("id", "weight", "times"))
+        out = [ids, times]
         if not len(flat):
             return pa.table([*out, *[pa.array([], pa.int64())] * 2, *[pa.array([], pa.float64())] * 2], names=["id", "times", "n_tokens", "n_known", "base_score", "score"])
         sizes = np.diff(np.append(starts, len(flat)))
-        weight = np.repeat(docs.column("weight").to_numpy().astype(np.uint64), sizes)
+        weight = np.repeat(weights.to_numpy(zero_copy_only=False).astype(np.uint64), sizes)
         gram, counts = told.column("gram").to_numpy(), []
         for k, keys in enumerate(grams(flat, starts, bits), 1):
             mine = told.filter(pa.array(gram == k))
@@ -337,7 +367,6 @@ def score(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
         sums = [np.add.reduceat(x, starts) for x in ((counts[0] > 0).astype(np.int64), base, traverse(counts, starts, total, types, priors))]
         return pa.table([*out, pa.array(sizes), *[pa.array(x) for x in sums]], names=["id", "times", "n_tokens", "n_known", "base_score", "score"])
 
-    docs = rows.select("block", "id", "text", "weight", "times")
-    scored = docs.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
+    scored = _parcels(rows).groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
     scored = scored.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     return scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
