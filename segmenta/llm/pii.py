@@ -5,7 +5,8 @@ personal data and secrets in many notations, and look-alikes such as versions, d
 none). It reads every character of every text, in windows of WINDOW characters that overlap by OVERLAP; all
 windows are decoded by Viterbi, and each character takes its tag from the window in which it lies deeper, so
 that spans are read off the whole text. Decoding allows only sound tag sequences (a span begins after
-"outside" and goes on in its own kind), so a step needs a few sums for each kind.
+"outside" and goes on in its own kind), so a step needs a few sums for each kind. Where no stretch of a window,
+taken at the best of all kinds character by character, outweighs "outside", Viterbi's result is known without it.
 
 A predicted span is added if it touches no pattern's span and holds what its kind must hold (`passes`: enough
 digits, Luhn's check, an at-sign and so on); its notation is the network's choice. Kind `secret` (keys and
@@ -30,7 +31,7 @@ from segmenta.llm.common import map_batches, texts_of
 #: Kinds with a fixed pattern, then those that only the network finds.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
-WINDOW, OVERLAP = 192, 48
+WINDOW, OVERLAP = 256, 48
 STRIDE = WINDOW - OVERLAP
 #: Tags: 0 outside, 1 + 2k begins kind k, 2 + 2k goes on.
 TAGS = 1 + 2 * len(KINDS)
@@ -158,7 +159,7 @@ class Tagger:
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Best tags of each window, by Viterbi."""
-        return viterbi(np.ascontiguousarray(self.emissions(x)[0].transpose(1, 0, 2)), self.p["t"])
+        return viterbi(np.ascontiguousarray(self.emissions(x)[0].transpose(1, 2, 0)), self.p["t"])
 
     def step(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood and its gradients."""
@@ -205,37 +206,36 @@ class Tagger:
 
 
 def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """(windows, characters) best sound tags; scores: characters, windows, tags."""
-    length, n, _ = scores.shape
-    out = np.zeros((n, length), np.uint8)
-    stay, enter, leave_b, leave_i = moves[0, 0], moves[0, 1::2], moves[1::2, 0], moves[2::2, 0]
-    first, on = np.diagonal(moves[1::2, 2::2]), np.diagonal(moves[2::2, 2::2])
-    outside, begin = scores[0, :, 0].copy(), scores[0, :, 1::2].copy()
+    """(windows, characters) best sound tags; scores: characters, tags, windows."""
+    length, _, n = scores.shape
+    stay, enter, leave_b, leave_i = moves[0, 0], moves[0, 1::2, None], moves[1::2, 0, None], moves[2::2, 0, None]
+    first, on = np.diagonal(moves[1::2, 2::2])[:, None], np.diagonal(moves[2::2, 2::2])[:, None]
+    begins, goes = scores[:, 1::2], scores[:, 2::2]
     # a window may start inside a span
-    go = scores[0, :, 2::2].copy()
-    # for each character: the kind and part that "outside" comes from (0: outside), and whether a span's part comes from its beginning
-    back, from_begin = np.zeros((length, n), np.uint8), np.zeros((length, n, len(KINDS)), bool)
+    outside, begin, go = scores[0, 0].copy(), begins[0].copy(), goes[0].copy()
+    # for each character: the tag that "outside" comes from, and whether a span's part comes from its beginning
+    back, from_begin = np.zeros((length, n), np.uint8), np.zeros((length, len(KINDS), n), bool)
     used = np.zeros(n, bool)
     for t in range(1, length):
-        row = scores[t]
         by_b, by_i = begin + first, go + on
         np.greater(by_b, by_i, out=from_begin[t])
         end_b, end_i = begin + leave_b, go + leave_i
-        ends = np.maximum(end_b, end_i)
-        top = ends.max(1)
-        kept = outside + stay
-        begin = outside[:, None] + enter
-        begin += row[:, 1::2]
-        go = np.maximum(by_b, by_i)
-        go += row[:, 2::2]
-        left = np.flatnonzero(top > kept)
+        top = np.maximum(end_b, end_i).max(0)
+        begin = enter + outside
+        begin += begins[t]
+        go = np.maximum(by_b, by_i, out=by_b)
+        go += goes[t]
+        outside += stay
+        left = np.flatnonzero(top > outside)
         if len(left):
-            kind = ends[left].argmax(1)
-            back[t, left] = 1 + 2 * kind + (end_i[left, kind] >= end_b[left, kind])
+            ends, is_go = np.maximum(end_b[:, left], end_i[:, left]), end_i[:, left] >= end_b[:, left]
+            kind = ends.argmax(0)
+            back[t, left] = 1 + 2 * kind + is_go[kind, np.arange(len(left))]
             used[left] = True
-        outside = np.maximum(kept, top)
-        outside += row[:, 0]
-    last = np.concatenate((outside[:, None], np.stack((begin, go), 2).reshape(n, -1)), 1).argmax(1)
+            np.maximum(outside, top, out=outside)
+        outside += scores[t, 0]
+    last = np.concatenate((outside[None], np.stack((begin, go), 1).reshape(-1, n))).argmax(0)
+    out = np.zeros((n, length), np.uint8)
     # paths that stay outside all the way need no walk back
     walk = np.flatnonzero(used | (last > 0))
     tag = last[walk].astype(np.uint8)
@@ -243,7 +243,7 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
         out[walk, t] = tag
         inside = (tag > 0) & (tag % 2 == 0)
         kind = np.where(tag > 0, (tag.astype(np.int64) - 1) // 2, 0)
-        tag = np.where(tag == 0, back[t, walk], np.where(inside, tag - from_begin[t, walk, kind], 0)).astype(np.uint8)
+        tag = np.where(tag == 0, back[t, walk], np.where(inside, tag - from_begin[t, kind, walk], 0)).astype(np.uint8)
     return out
 
 
@@ -252,37 +252,65 @@ class Reader:
 
     def __init__(self, model: Tagger) -> None:
         p, h = model.p, model.size
-        # sigmoid(z) is (1 + tanh(z / 2)) / 2; the halves go into the weights of the three gates
+        # sigmoid(z) is (1 + tanh(z / 2)) / 2: the inner halves go into the gates' weights, the outer ones of the
+        # output gate into whatever reads the hidden state, which is therefore kept doubled
         half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)])
         self.size = h
         self.drive = {k: ((p["e"] @ p[f"w{k}"] + p[f"c{k}"]) * half).astype(np.float32) for k in "fb"}
-        self.state = {k: (p[f"u{k}"] * half).astype(np.float32) for k in "fb"}
-        self.out, self.bias, self.moves = p["o"].astype(np.float32), p["ob"].astype(np.float32), p["t"].astype(np.float32)
-    def _pass(self, x: np.ndarray, side: str) -> np.ndarray:
+        self.state = {k: (p[f"u{k}"] * half / 2).astype(np.float32) for k in "fb"}
+        self.read = {"f": np.ascontiguousarray(p["o"][:h].T / 2).astype(np.float32), "b": np.ascontiguousarray(p["o"][h:].T / 2).astype(np.float32)}
+        self.bias, self.moves = p["ob"].astype(np.float32), p["t"].astype(np.float32)
+
+    def _pass(self, x: np.ndarray, side: str, scores: np.ndarray) -> None:
+        """Add one direction's part to the scores (characters, tags, windows)."""
         length, n, h = *x.shape, self.size
-        drive, state = self.drive[side], self.state[side]
+        drive, state, read = self.drive[side], self.state[side], self.read[side]
         z, fed = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
         gates, new = z[:, : 3 * h], z[:, 3 * h :]
-        cell, part, out = np.zeros((n, h), np.float32), np.empty((n, h), np.float32), np.empty((length, n, h), np.float32)
-        hidden = np.zeros((n, h), np.float32)
+        cell, part, hidden = np.zeros((n, h), np.float32), np.empty((n, h), np.float32), np.zeros((n, h), np.float32)
         for t in range(length) if side == "f" else range(length - 1, -1, -1):
             np.take(drive, x[t], axis=0, out=z, mode="clip")
             z += np.matmul(hidden, state, out=fed)
             np.tanh(z, out=z)
-            gates *= 0.5
-            gates += 0.5
+            gates += 1
             cell *= gates[:, h : 2 * h]
             cell += np.multiply(gates[:, :h], new, out=part)
-            hidden = np.multiply(np.tanh(cell, out=part), gates[:, 2 * h :], out=out[t])
-        return out
+            cell *= 0.5
+            np.multiply(np.tanh(cell, out=part), gates[:, 2 * h :], out=hidden)
+            scores[t] += np.matmul(read, hidden.T)
 
     def tags(self, x: np.ndarray) -> np.ndarray:
         """Best tags of windows (rows) of character classes."""
         x = np.ascontiguousarray(x.T)
-        scores = self._pass(x, "f") @ self.out[: self.size]
-        scores += self._pass(x, "b") @ self.out[self.size :]
-        scores += self.bias
-        return viterbi(scores, self.moves)
+        scores = np.empty((x.shape[0], TAGS, x.shape[1]), np.float32)
+        scores[:] = self.bias[:, None]
+        self._pass(x, "f", scores)
+        self._pass(x, "b", scores)
+        open_ = np.flatnonzero(self.may_hold_spans(scores))
+        out = np.zeros((x.shape[1], x.shape[0]), np.uint8)
+        if len(open_):
+            out[open_] = viterbi(np.ascontiguousarray(scores[:, :, open_]), self.moves)
+        return out
+
+    def may_hold_spans(self, scores: np.ndarray) -> np.ndarray:
+        """False for windows in which every span is worth less than staying outside: a bound over all stretches, from prefix sums."""
+        t = self.moves - self.moves[0, 0]
+        enter, leave = t[0, 1::2].max(), t[1:, 0].max()
+        inside = max(np.diagonal(t[1::2, 2::2]).max(), np.diagonal(t[2::2, 2::2]).max())
+        best = scores[:, 1].copy()
+        for k in range(2, TAGS):
+            np.maximum(best, scores[:, k], out=best)
+        best -= scores[:, 0]
+        best += inside
+        sums = np.cumsum(best, axis=0, out=best)
+        before = np.zeros_like(sums)
+        np.minimum.accumulate(sums[:-1], axis=0, out=before[1:])
+        np.minimum(before, 0, out=before)
+        # a stretch that starts with the window has no entering move, one that ends with it no leaving move
+        from_start, within = sums.max(0), (sums[1:] - before[1:]).max(0)
+        to_end = sums[-1] - before[-1]
+        most = np.maximum(np.maximum(from_start + leave, within + enter + leave), np.maximum(to_end + enter, sums[-1])) - inside
+        return most >= -1e-3
 
 
 # --- labelled spans ------------------------------------------------------------------------------

@@ -435,14 +435,34 @@ def test_viterbi_equals_all_sequences():
     def sound(a, b):
         return b == 0 or (b % 2 == 1 and a == 0) or (b % 2 == 0 and a in (b, b - 1))
 
-    scores = r.normal(size=(4, 30, pii.TAGS)) * 2
+    scores = r.normal(size=(4, pii.TAGS, 30)) * 2
     got = pii.viterbi(scores, moves)
     every = [x for x in product(range(pii.TAGS), repeat=4) if all(sound(a, b) for a, b in zip(x, x[1:]))]
     for w in range(30):
-        worth = {x: sum(scores[t, w, k] for t, k in enumerate(x)) + sum(moves[a, b] for a, b in zip(x, x[1:])) for x in every}
+        worth = {x: sum(scores[t, k, w] for t, k in enumerate(x)) + sum(moves[a, b] for a, b in zip(x, x[1:])) for x in every}
         assert tuple(got[w]) == max(worth, key=worth.get)
 
 
+def test_bound_closes_no_window_with_a_span():
+    r = np.random.default_rng(5)
+    reader = pii.Reader(pii.Tagger(size=3, width=2))
+    closed = 0
+    for k in range(40):
+        reader.moves = r.normal(size=(pii.TAGS, pii.TAGS)).astype(np.float32)
+        scores = r.normal(size=(12, pii.TAGS, 50)).astype(np.float32)
+        scores[:, 0] += k / 4
+        spans, may = pii.viterbi(scores, reader.moves).any(1), reader.may_hold_spans(scores)
+        assert may[spans].all()
+        closed += (~may).sum()
+    assert closed > 100
+
+
+def test_reader_equals_tagger():
+    model = pii.Tagger(size=4, width=3)
+    x = np.random.default_rng(6).integers(0, pii.SYMBOLS, (20, 30)).astype(np.uint8)
+    assert (pii.Reader(model).tags(x) == model.decode(x)).mean() > 0.999
+
+
 def test_windows_cover_the_whole_text():
     """A reader that marks each character it is given: every one of every text is read, once in the end."""
 
