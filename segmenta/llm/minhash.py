@@ -22,11 +22,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmenta.llm import simhash
-from segmenta.llm.common import durable, map_batches, small_batches, stored
+from segmenta.llm.common import map_batches, small_batches, stored
 from segmenta.llm.components import components
 from segmenta.llm.pivots import runs
 
@@ -75,7 +75,7 @@ def _keys(df: DataFrame, words: int) -> DataFrame:
 def links(texts: DataFrame, words: int, similarity: float, distance: int) -> DataFrame:
     """(a, b): links that tie together the nodes of (node, text) at this similarity or more, or within this distance."""
     found = stored(_keys(texts, words).dropDuplicates(["node"]))
-    named = durable(found.groupBy("fp").agg(F.min("node").alias("b")))
+    named = stored(found.groupBy("fp").agg(F.min("node").alias("b")))
     same = found.select("node", "fp").join(named, "fp").select(F.col("node").alias("a"), "b")
     first, second = (named.select(F.col("fp").alias(fp), F.col("b").alias(node)) for fp, node in (("a", "x"), ("b", "y")))
     close = simhash.links(named.select("fp"), distance).join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
@@ -92,9 +92,10 @@ def _alike(texts: DataFrame, entry: DataFrame, words: int, similarity: float) ->
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least(k, F.col("part")).alias("p"), F.greatest(k, F.col("part")).alias("q")))
     work = stored(dealt.select("key", F.explode(others).alias("pq"), "part", "node").select("key", "pq.p", "pq.q", "part", "node"))
     asked = work.select("node").distinct()
-    wanted = texts.join(asked, "node", "left_semi").dropDuplicates(["node"])
+    # nodes and texts both grow with the input: merged, never broadcast, and by the one key that the next join needs
+    wanted = texts.join(asked.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     count = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    units = work.join(wanted, "node").select("key", "p", "q", "part", "node", "text").repartition(count, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    units = work.join(wanted.hint("merge"), "node").select("key", "p", "q", "part", "node", "text").repartition(count, "key", "p", "q").sortWithinPartitions("key", "p", "q")
     small_batches(spark)
     return units.mapInArrow(_verify(words, similarity), "a long, b long")
 
@@ -124,11 +125,20 @@ def _verify(words: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 4) -> DataFrame:
-    """(id, node, component_id, first) for each row: the least id it is linked with, and whether it is the row that stays."""
+    """(id, node, mark, component_id, first) for each row: the least id it is linked with, and whether it is the row that stays.
+
+    node names the text, mark the row (see row_mark).
+    """
     texts = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     roots = components(links(texts.select("node", "text"), words, similarity, distance))
     marked = texts.select(id_col, "node").join(roots, "node", "left").select(id_col, "node", F.coalesce("root", "node").alias("root"))
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("node").alias("node"))
     least = marked.groupBy("root").agg(F.min(order).alias("least"))
     own = F.col(id_col).eqNullSafe(F.col("least")["id"]) & (F.col("node") == F.col("least")["node"])
-    return durable(marked.join(least, "root").select(id_col, "node", F.col("least")["id"].alias("component_id"), own.alias("first")))
+    found = marked.join(least, "root").select(id_col, "node", F.xxhash64(id_col, "node").alias("mark"), F.col("least")["id"].alias("component_id"), own.alias("first"))
+    return stored(found)
+
+
+def row_mark(id_col: str, text_col: str) -> Column:
+    """The mark that `near_duplicates` gives a row; equal for rows alike in id and text."""
+    return F.xxhash64(id_col, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
