@@ -20,10 +20,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group tied by Jaccard 0.8 or SimHash: the one that names it; of repeated rows with its id and text, one."""
-    first = minhash.near_duplicates(docs, words=5, similarity=0.8, distance=4).where("first").select(F.col("doc_id").alias("first_id"), "node").distinct()
-    kept = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
-    kept = kept.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("node")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "key"]).select(*COLUMNS)
+    first = minhash.near_duplicates(docs, words=5, similarity=0.8, distance=4).where("first").select("mark")
+    # both sides grow with the input; texts are shuffled once, for the join and for rows alike
+    kept = docs.select(*COLUMNS, minhash.row_mark("doc_id", "text").alias("mark")).join(first.hint("merge"), "mark", "left_semi")
+    return kept.dropDuplicates(["mark"]).select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
