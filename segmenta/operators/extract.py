@@ -40,13 +40,7 @@ QUERIES = {
     "strip_tags": lambda d: f"SELECT page_id, {d.sha(d.replace_all('html', '<[^>]+>', ''))} AS text_sha256 FROM pages",
     # PR23: anchors of a page
     "toc_anchors": lambda d: f"SELECT page_id, pos AS anchor, {d.replace_all('piece', '^<a href=.|.>.*$', '')} AS href, {d.replace_all(d.replace_all('piece', '^<a [^>]*>', ''), '</a>$', '')} AS title FROM ({d.elements('pages', 'page_id', d.matches('html', '<a href=[^>]*>[^<]*</a>'))}) a",
-    # PR25, PR22
-    "normalised_block": lambda d: f"SELECT doc_id, span_index, {d.replace_all(d.replace_all('span', chr(92) + 's+', ' '), ' ([.,;:!?])', '')} AS block FROM v_spans",
     "href_parts": lambda d: f"SELECT page_id, {d.replace_all('url', '[?#].*$', '')} AS href, {d.replace_all(d.replace_all('url', '^[a-z]+://', ''), '[/?#].*$', '')} AS host FROM pages",
-    # SC19
-    "tsv_submission_parse": lambda d: "SELECT seq, CASE WHEN instr(line, '~') > 0 THEN substr(line, 1, instr(line, '~') - 1) END AS id, CASE WHEN instr(line, '~') > 0 THEN substr(line, instr(line, '~') + 1) END AS target FROM (" + literal("line", ["0001-000001~Ein~Satz", "0001-000002~", "ohne", "~leer"]) + ") t",
-    # SC20: header lines start groups; trailing blanks and comments of a group go
-    "block_submission_parse": lambda d: "SELECT record_id, " + d.joined("line", "seq", "|") + " AS target FROM (SELECT *, max(CASE WHEN line <> '' AND substr(line, 1, 1) <> '#' THEN seq END) OVER (PARTITION BY record_id) AS last_seq, CASE WHEN line <> '' THEN 1 ELSE 0 END AS filled FROM (SELECT seq, line, max(CASE WHEN substr(line, 1, 4) = '>>> ' THEN substr(line, 5) END) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS record_id FROM (" + literal("line", LINES) + ") l) g WHERE record_id IS NOT NULL AND substr(line, 1, 4) <> '>>> ') h WHERE seq <= last_seq GROUP BY record_id",
     # WN7, GR2: chapters begin every 20 records and end before the next
     "chapter_assembly": lambda d: "SELECT doc_id, chapter_no, start_pos, coalesce(lead(start_pos) OVER (PARTITION BY doc_id ORDER BY start_pos) - 1, last_pos) AS end_pos FROM (SELECT doc_id, chapter_no, min(record_pos) AS start_pos, max(max(record_pos)) OVER (PARTITION BY doc_id) AS last_pos FROM v_records GROUP BY doc_id, chapter_no) b",
     # JN6: as-of boundary, by a running maximum instead of a range join

@@ -59,8 +59,6 @@ QUERIES = {
     "rule_manifest_drift": lambda d: "SELECT doc_id, severity, rule FROM (SELECT m.doc_id, f.severity, f.rule, CASE f.rule WHEN 'manifest_chunk_size_drift' THEN m.size <> 50 WHEN 'manifest_record_id_scheme_mismatch' THEN m.scheme <> 'v1' WHEN 'chunk_manifest_chunk_size_mismatch' THEN m.chunk_size <> m.size ELSE m.chunk_scheme <> m.scheme END AS broken FROM (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 40 ELSE 50 END AS size, CASE WHEN doc_id % 12 = 0 THEN 'v0' ELSE 'v1' END AS scheme, CASE WHEN doc_id % 6 = 0 THEN 40 ELSE 50 END AS chunk_size, CASE WHEN doc_id % 4 = 0 THEN 'v0' ELSE 'v1' END AS chunk_scheme FROM documents) m CROSS JOIN (SELECT 'warn' AS severity, 'manifest_chunk_size_drift' AS rule UNION ALL SELECT 'error', 'manifest_record_id_scheme_mismatch' UNION ALL SELECT 'error', 'chunk_manifest_chunk_size_mismatch' UNION ALL SELECT 'error', 'chunk_manifest_record_id_scheme_mismatch') f) t WHERE broken",
     # V49-V53
     "rule_toc_audit": toc_audit,
-    # V6: an entry with a standing and a shadowed span
-    "rule_alignment_ambiguous": lambda d: f"SELECT record, entry, 'warn' AS severity FROM ({glossary.QUERIES['longest_match_suppression'](d)}) s GROUP BY record, entry HAVING count(CASE WHEN shadowed THEN 1 END) > 0 AND count(CASE WHEN NOT shadowed THEN 1 END) > 0",
     # V61
     "review_acceptance": lambda d: f"SELECT i.doc_id, i.record_id, i.review_ref, CASE WHEN s.source_sha256 <> {d.sha('s.source')} THEN 'source_drift' WHEN i.base_ref = '9.9' OR i.base_target IS NULL THEN 'base_missing' WHEN i.direct_stale THEN 'base_drift' WHEN i.target <> i.held THEN 'ref_conflict' ELSE 'unchanged' END AS gate FROM ({REVIEW_IN}) i JOIN v_store s ON s.doc_id = i.doc_id AND s.record_pos = i.record_pos",
     # Carriage returns do not count

@@ -10,22 +10,8 @@ def spans() -> str:
 
 
 QUERIES = {
-    # GL1, GL4, JN11
-    "term_matches": lambda d: "SELECT doc_id, record_id, entry_index FROM v_term_hits",
-    # GL3, WN12: a span inside an earlier accepted one is shadowed; the running maximum of ends says so
-    "longest_match_suppression": lambda d: f"SELECT record, entry, term, start_at, end_at, coalesce(end_at <= max(end_at) OVER (PARTITION BY record ORDER BY start_at, -(end_at - start_at), -is_primary, entry, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS shadowed FROM ({spans()}) s",
-    # V5
-    "forbidden_terms": lambda d: "SELECT h.doc_id, h.record_id, h.entry_index, CASE WHEN g.enforce = 'error' THEN 'error' ELSE 'warn' END AS severity FROM v_term_hits h JOIN v_glossary g ON g.entry_index = h.entry_index WHERE g.forbidden <> '' AND g.enforce <> 'off' AND instr(lower(h.target), g.forbidden) > 0",
-    # V7
-    "required_terms": lambda d: "SELECT h.doc_id, h.record_id, h.entry_index, g.enforce AS severity FROM v_term_hits h JOIN v_glossary g ON g.entry_index = h.entry_index WHERE h.target IS NOT NULL AND g.target_term <> '' AND g.enforce <> 'off' AND instr(lower(h.target), g.target_term) = 0",
-    # GL8, GR14
-    "term_audit": lambda d: "SELECT h.entry_index, count(*) AS records, count(CASE WHEN g.forbidden <> '' AND instr(lower(h.target), g.forbidden) > 0 THEN 1 END) AS forbidden, count(CASE WHEN g.target_term <> '' AND instr(lower(h.target), g.target_term) > 0 THEN 1 END) AS approved FROM v_term_hits h JOIN v_glossary g ON g.entry_index = h.entry_index WHERE h.target IS NOT NULL GROUP BY h.entry_index",
     # GL7, DT13
     "glossary_fingerprint": lambda d: "SELECT " + d.sha(d.joined("concat(source_term, '=', target_term, '/', forbidden, '/', enforce)", "source_term", ";")) + " AS fingerprint FROM v_glossary WHERE enforce <> 'off'",
-    # JN20
-    "profile_glossary_divergence": lambda d: "SELECT h.entry_index, count(DISTINCT h.profile) AS profiles, count(DISTINCT CASE WHEN h.target IS NOT NULL THEN h.profile END) AS translated_profiles FROM v_term_hits h GROUP BY h.entry_index",
-    # GL9
-    "audit_block": lambda d: "SELECT doc_id, entry_index, " + d.joined("concat('>>> ', record_id)", "record_pos", "|") + " AS block FROM v_term_hits WHERE target IS NOT NULL AND entry_index IN (0, 1) GROUP BY doc_id, entry_index",
     # GL2, SO6: trimmed, first spelling wins
     "term_sets": lambda d: "SELECT entry, term, min(rank_no) AS rank_no FROM (SELECT entry, trim(term) AS term, is_primary * -1 AS rank_no FROM (" + spans() + ") s) t WHERE term <> '' GROUP BY entry, term",
     # FI14

@@ -3,33 +3,15 @@
 from __future__ import annotations
 
 from segmenta.plans.dialect import HYPHENATED, LETTER
-from segmenta.sources.views import LEFTOVERS
 
-COMMON = ", ".join(f"'{w}'" for w in LEFTOVERS)
-TOKENS = "SELECT lower(token) AS normalized, count(*) AS occurrences, count(DISTINCT concat(CAST(doc_id AS STRING), '/', record_id)) AS records, count(DISTINCT doc_id) AS documents, min(token) AS surface, count(CASE WHEN token <> lower(token) THEN 1 END) AS capitals FROM v_tokens GROUP BY lower(token)"
-SCORED = f"SELECT *, round(ln(1 + occurrences) * (1 + ln(1 + documents)) * CASE WHEN normalized IN ({COMMON}) THEN 0.25 ELSE 1.0 END, 6) AS score, CASE WHEN normalized IN ({COMMON}) THEN 'common' WHEN capitals = occurrences THEN 'proper_name' WHEN occurrences = 1 THEN 'singleton' ELSE 'term' END AS bucket FROM ({TOKENS}) t"
 
 QUERIES = {
-    # DT1, GR11
-    "token_candidates": lambda d: TOKENS,
-    # DT2
-    "hyphenated_candidates": lambda d: f"SELECT lower(piece) AS normalized, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM ({d.elements('documents', 'doc_id', d.matches('text', HYPHENATED))}) h GROUP BY lower(piece)",
-    # DT3: two-word phrases whose edges are not common words
-    "phrase_candidates": lambda d: f"SELECT concat(token, ' ', following) AS phrase, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, lower(token) AS token, lower(lead(token) OVER (PARTITION BY doc_id, record_pos ORDER BY token_pos)) AS following FROM v_tokens) p WHERE following IS NOT NULL AND token NOT IN ({COMMON}) AND following NOT IN ({COMMON}) GROUP BY token, following HAVING count(*) >= 2",
-    # DT7
-    "candidate_scores": lambda d: f"SELECT normalized, occurrences, documents, score FROM ({SCORED}) s",
-    # TK1, DT11: the best of each bucket, then of all
-    "bucket_topk": lambda d: f"SELECT bucket, normalized, occurrences FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY occurrences DESC, normalized) AS k FROM ({SCORED}) s) t WHERE k <= 80",
-    # GR12
-    "suppressed_counts": lambda d: f"SELECT bucket, count(*) AS candidates, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM ({SCORED}) s GROUP BY bucket",
     # DT0
     "case_buckets": lambda d: f"SELECT token, CASE WHEN token = lower(token) THEN 'lower' WHEN {d.size(d.matches('token', chr(92) + 'p{Lu}'))} = 1 AND {d.found('token', '^' + chr(92) + 'p{Lu}')} THEN 'title' WHEN {d.size(d.matches('token', chr(92) + 'p{Lu}'))} = length(token) THEN 'upper' ELSE 'mixed' END AS bucket, count(*) AS occurrences FROM v_tokens GROUP BY token",
     # TK2
     "surface_forms": lambda d: "SELECT normalized, token, occurrences FROM (SELECT *, row_number() OVER (PARTITION BY normalized ORDER BY occurrences DESC, token) AS k FROM (SELECT lower(token) AS normalized, token, count(*) AS occurrences FROM v_tokens GROUP BY lower(token), token) s) t WHERE k <= 3",
     # TK7: first three places of a term
     "term_examples": lambda d: "SELECT normalized, doc_id, record_id FROM (SELECT normalized, doc_id, record_id, row_number() OVER (PARTITION BY normalized ORDER BY doc_id, record_pos) AS k FROM (SELECT DISTINCT lower(token) AS normalized, doc_id, record_pos, record_id FROM v_tokens) u) t WHERE k <= 3",
-    # DT6
-    "candidate_ids": lambda d: f"SELECT normalized, concat('CAND-', upper(substr({d.sha('normalized')}, 1, 16))) AS candidate_id FROM ({TOKENS}) t",
     # GR13
     "style_metrics": lambda d: f"SELECT doc_id, count(*) AS sentences, round(avg(source_words), 3) AS mean_words, CAST(sum({d.size(d.matches('source', '—'))}) AS BIGINT) AS dashes, CAST(sum({d.size(d.matches('source', '[“”„«»]'))}) AS BIGINT) AS quotes, CAST(sum({d.size(d.matches('source', '[*_]' + LETTER + '+[*_]'))}) AS BIGINT) AS emphasis FROM v_records GROUP BY doc_id",
     # SO7: hyphenated and spaced variants of one term

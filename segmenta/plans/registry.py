@@ -7,13 +7,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.operators import extract, gates, glossary, mining, progress, state, validate
+from segmenta.operators import extract, gates, glossary, mining, progress, state, validate, wired
 from segmenta.plans.dialect import DUCK, SPARK
 from segmenta.sources.views import with_views
 from segmenta.streaming import windows
 
 TABLES = ("documents", "pages", "labels", "conversations", "benchmark", "embeddings", "events")
 SQL = extract.QUERIES | state.QUERIES | validate.QUERIES | glossary.QUERIES | progress.QUERIES | mining.QUERIES | gates.QUERIES
+FRAMES = gates.FRAMES | wired.FRAMES
 
 
 def plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +41,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def framed(make: Callable) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: make(spark, lambda sql: over(spark, sf_dir, sql))
 
-    return {name: one(name) for name in SQL} | {name: framed(make) for name, make in gates.FRAMES.items()} | windows.QUERIES
+    return {name: one(name) for name in SQL} | {name: framed(make) for name, make in FRAMES.items()} | windows.QUERIES
 
 
 def oracles() -> dict[str, str]:
-    return {name: with_views(make(DUCK), DUCK) for name, make in SQL.items()} | windows.ORACLE_SQL
+    return {name: with_views(make(DUCK), DUCK) for name, make in SQL.items()} | {name: with_views(sql, DUCK) for name, sql in wired.ORACLES.items()} | windows.ORACLE_SQL

@@ -11,7 +11,7 @@ import re
 from segmenta.plans.dialect import LETTER, SENTENCE, WORD, Spark
 
 # A glossary with required, forbidden, overlapping and unenforced entries.
-GLOSSARY = [(0, "the", "le", "", "error"), (1, "of the", "du", "de le", "error"), (2, "under", "sous", "", "warn"), (3, "that", "que", "trash", "warn"), (4, "erer", "", "", "off"), (5, "with", "avec", "worthless", "error")]
+GLOSSARY = [(0, "the", "le", "trash", "error"), (1, "of the", "du", "de le", "error"), (2, "under", "sous", "", "warn"), (3, "that", "que", "trash", "warn"), (4, "erer", "", "", "off"), (5, "with", "avec", "worthless", "error")]
 # English function words that betray an untranslated target.
 LEFTOVERS = "the and of to in that is was for with".split()
 
@@ -39,7 +39,8 @@ def v_spans(d: Spark) -> str:
 def v_candidates(d: Spark) -> str:
     return (
         "SELECT doc_id, profile, record_pos, record_id, chapter_no, chunk_id, source, source_words, 1 AS version, 1 AS subversion, '1.1' AS version_ref, source AS target, CASE WHEN record_pos % 17 = 0 THEN 'rejected' ELSE 'accepted' END AS status FROM v_records WHERE record_pos % 3 <> 0 "
-        "UNION ALL SELECT doc_id, profile, record_pos, record_id, chapter_no, chunk_id, source, source_words, 1, 2, '1.2', concat(source, ' B'), CASE WHEN record_pos % 17 = 0 THEN 'rejected' ELSE 'accepted' END FROM v_records WHERE record_pos % 3 <> 0 AND record_pos % 4 = 0"
+        "UNION ALL SELECT doc_id, profile, record_pos, record_id, chapter_no, chunk_id, source, source_words, 1, 2, '1.2', concat(source, ' B'), CASE WHEN record_pos % 17 = 0 THEN 'rejected' ELSE 'accepted' END FROM v_records WHERE record_pos % 3 <> 0 AND record_pos % 4 = 0 "
+        "UNION ALL SELECT doc_id, profile, record_pos, record_id, chapter_no, chunk_id, source, source_words, 1, 10, '1.10', concat(source, ' C'), CASE WHEN record_pos % 17 = 0 THEN 'rejected' ELSE 'accepted' END FROM v_records WHERE record_pos % 3 <> 0 AND record_pos % 28 = 0"
     )
 
 
@@ -64,14 +65,16 @@ def v_ledger(d: Spark) -> str:
     return "SELECT '1.1' AS version_ref"
 
 
+def v_bases(d: Spark) -> str:
+    """What a review may stand on: versions and reviews under their refs, which never coincide."""
+    return f"SELECT doc_id, record_pos, version_ref AS ref, target AS base_target, {d.sha('target')} AS base_sha, CAST(NULL AS STRING) AS second_ref FROM v_candidates UNION ALL SELECT doc_id, record_pos, review_ref, target, {d.sha('target')}, base_ref FROM v_reviews"
+
+
 def v_chain(d: Spark) -> str:
-    """Reviews with direct and inherited staleness; chains are at most three long here."""
+    """Reviews with direct staleness; chains are at most three long here."""
     return (
-        "SELECT r.*, CASE WHEN r.base_kind = 'version' THEN c.target ELSE b.target END AS base_target, "
-        f"CASE WHEN r.base_kind = 'version' THEN c.target IS NULL OR {d.sha('c.target')} <> r.base_target_sha256 ELSE b.target IS NULL OR {d.sha('b.target')} <> r.base_target_sha256 END AS direct_stale, "
-        "b.base_ref AS second_ref FROM v_reviews r "
-        "LEFT JOIN v_candidates c ON r.base_kind = 'version' AND c.doc_id = r.doc_id AND c.record_pos = r.record_pos AND c.version_ref = r.base_ref "
-        "LEFT JOIN v_reviews b ON r.base_kind = 'review' AND b.doc_id = r.doc_id AND b.record_pos = r.record_pos AND b.review_ref = r.base_ref"
+        "SELECT r.*, b.base_target, b.base_sha IS NULL OR b.base_sha <> r.base_target_sha256 AS direct_stale, b.second_ref FROM v_reviews r "
+        "LEFT JOIN v_bases b ON b.doc_id = r.doc_id AND b.record_pos = r.record_pos AND b.ref = r.base_ref"
     )
 
 
@@ -104,19 +107,11 @@ def v_glossary(d: Spark) -> str:
     return " UNION ALL ".join(f"SELECT {i} AS entry_index, '{s}' AS source_term, '{t}' AS target_term, '{f}' AS forbidden, '{e}' AS enforce" for i, s, t, f, e in GLOSSARY)
 
 
-def v_term_hits(d: Spark) -> str:
-    """Entries whose term stands at word boundaries in a record; the glossary is a handful of literal rows."""
-    tests = " UNION ALL ".join(
-        f"SELECT doc_id, profile, record_pos, record_id, source, target, {i} AS entry_index FROM v_progress WHERE {d.found('lower(source)', rf'(^|[^\p{{L}}\p{{N}}_]){s}($|[^\p{{L}}\p{{N}}_])')}" for i, s, *_ in GLOSSARY
-    )
-    return tests
-
-
 def v_tokens(d: Spark) -> str:
     return f"SELECT doc_id, profile, record_pos, record_id, chapter_no, pos AS token_pos, piece AS token FROM ({d.elements('v_records', 'doc_id, profile, record_pos, record_id, chapter_no', d.matches('source', LETTER + '+'))}) t"
 
 
-VIEWS = {f.__name__: f for f in (v_records, v_spans, v_candidates, v_store, v_reviews, v_legacy, v_ledger, v_chain, v_stale, v_effective, v_progress, v_glossary, v_term_hits, v_tokens)}
+VIEWS = {f.__name__: f for f in (v_records, v_spans, v_candidates, v_store, v_reviews, v_legacy, v_ledger, v_bases, v_chain, v_stale, v_effective, v_progress, v_glossary, v_tokens)}
 
 
 def with_views(sql: str, d: Spark) -> str:
