@@ -168,7 +168,10 @@ def case_bucket(surface: Column) -> Column:
     capitals = F.regexp_count(surface, F.lit(r"\p{Lu}"))
     letters = F.regexp_count(surface, F.lit(r"\p{L}"))
     first = F.regexp_like(surface, F.lit(r"^[^\p{L}]*\p{Lu}"))
-    return F.when(letters == 0, "lower").when(capitals == letters, "upper").when((capitals == 1) & first, "title").when(capitals == 0, "lower").otherwise("mixed")
+    # most words are plain: letters of ASCII need no pattern
+    ascii_letters = F.octet_length(surface) == F.length(surface)
+    plain = F.when(ascii_letters & (surface == F.lower(surface)), "lower").when(ascii_letters & (F.length(surface) > 1) & (surface == F.initcap(surface)) & ~surface.contains("-"), "title")
+    return plain.when(letters == 0, "lower").when(capitals == letters, "upper").when((capitals == 1) & first, "title").when(capitals == 0, "lower").otherwise("mixed")
 
 
 def candidate_id(language: Column, normalized: Column, tokens: Column, bucket: Column) -> Column:
@@ -177,31 +180,31 @@ def candidate_id(language: Column, normalized: Column, tokens: Column, bucket: C
     return F.concat(F.lit("CAND-"), F.upper(F.substring(F.sha2(F.to_json(payload), 256), 1, 16)))
 
 
-def _counted(found: DataFrame, identity: list[str]) -> DataFrame:
-    """Occurrences, records, chapters and documents by identity, distinct counts by grouping in steps: no row is multiplied.
+def _counted(found: DataFrame, identity: list[str], surface: bool) -> DataFrame:
+    """Occurrences, records and chapters by identity, distinct counts by grouping in steps: no row is multiplied.
 
-    Rows with a count `n` are one for each identity and record already.
+    Rows with a count `n` are one for each identity and record already. The least surface form, if asked for, comes
+    from the distinct forms by a join: as an aggregate of strings it would make every step sort instead of hash.
     """
-    if "n" not in found.columns:
-        found = found.groupBy(*identity, "doc_id", "chapter_no", "record_pos").agg(F.count("*").alias("n"), F.min("surface").alias("surface"))
-    by_chapter = found.groupBy(*identity, "doc_id", "chapter_no").agg(F.sum("n").alias("n"), F.count("*").alias("records"), F.min("surface").alias("surface"))
-    by_document = by_chapter.groupBy(*identity, "doc_id").agg(F.sum("n").alias("n"), F.sum("records").alias("records"), F.count("*").alias("chapters"), F.min("surface").alias("surface"))
-    return by_document.groupBy(*identity).agg(F.sum("n").alias("occurrences"), F.sum("records").alias("records"), F.sum("chapters").alias("chapters"), F.count("*").alias("documents"), F.min("surface").alias("surface"))
+    rows = found if "n" in found.columns else found.groupBy(*identity, "doc_id", "chapter_no", "record_pos").agg(F.count("*").alias("n"))
+    by_chapter = rows.groupBy(*identity, "doc_id", "chapter_no").agg(F.sum("n").alias("n"), F.count("*").alias("records"))
+    out = by_chapter.groupBy(*identity).agg(F.sum("n").alias("occurrences"), F.sum("records").alias("records"), F.count("*").alias("chapters"))
+    return out.join(found.select(*identity, "surface").distinct().groupBy(*identity).agg(F.min("surface").alias("surface")), identity) if surface else out
 
 
-def words(records: DataFrame) -> DataFrame:
+def words(records: DataFrame, surface: bool = False) -> DataFrame:
     """DT1, GR11: single words by (normalized, bucket)."""
     found = records.select("doc_id", "chapter_no", "record_pos", F.explode(F.regexp_extract_all("source", F.lit(f"{LETTER}+"), F.lit(0))).alias("surface"))
     found = found.select("*", F.lower("surface").alias("normalized"), case_bucket(F.col("surface")).alias("bucket"))
     kind = F.when(F.col("bucket") == "title", "proper_name").otherwise("word")
-    return _counted(found, ["normalized", "bucket"]).select("*", kind.alias("kind"), F.array("normalized").alias("tokens"))
+    return _counted(found, ["normalized", "bucket"], surface).select("*", kind.alias("kind"), F.array("normalized").alias("tokens"))
 
 
-def compounds(records: DataFrame) -> DataFrame:
+def compounds(records: DataFrame, surface: bool = False) -> DataFrame:
     """DT2: words joined by hyphens."""
     found = records.select("doc_id", "chapter_no", "record_pos", F.explode(F.regexp_extract_all("source", F.lit(HYPHENATED), F.lit(0))).alias("surface"))
     found = found.select("*", F.lower("surface").alias("normalized"), case_bucket(F.col("surface")).alias("bucket"))
-    return _counted(found, ["normalized", "bucket"]).select("*", F.lit("hyphenated_term").alias("kind"), F.split("normalized", "-").alias("tokens"))
+    return _counted(found, ["normalized", "bucket"], surface).select("*", F.lit("hyphenated_term").alias("kind"), F.split("normalized", "-").alias("tokens"))
 
 
 def bucket_of(surface: str) -> str:
@@ -242,7 +245,7 @@ def phrases_of(source: str, common: set[str], longest: int) -> Iterator[tuple[st
                 yield " ".join(run), " ".join(run).lower(), bucket, windows
 
 
-def phrases(records: DataFrame, common: list[str], longest: int = 4) -> DataFrame:
+def phrases(records: DataFrame, common: list[str], longest: int = 4, surface: bool = False) -> DataFrame:
     """DT3, WN15: windows of 2 to `longest` words between hard marks, common and one-letter words trimmed off their edges.
 
     A window counts for what it is trimmed to, so a phrase beside common words counts once for each window that
@@ -266,7 +269,7 @@ def phrases(records: DataFrame, common: list[str], longest: int = 4) -> DataFram
 
     found = records.select("doc_id", F.col("chapter_no").cast("long"), "record_pos", "source").mapInArrow(run, "doc_id long, chapter_no long, record_pos long, surface string, normalized string, bucket string, n long")
     kind = F.when(F.col("bucket") == "title", "title_candidate").otherwise("phrase")
-    return _counted(found, ["normalized", "bucket"]).select("*", kind.alias("kind"), F.split("normalized", " ").alias("tokens"))
+    return _counted(found, ["normalized", "bucket"], surface).select("*", kind.alias("kind"), F.split("normalized", " ").alias("tokens"))
 
 
 def scored(candidates: DataFrame, common: list[str], generic: list[str], morphemes: list[str], include: str | None = None, exclude: str | None = None, min_count: int = 2, min_risk: float = 3.0, singletons: bool = True) -> DataFrame:
@@ -325,4 +328,4 @@ def scored(candidates: DataFrame, common: list[str], generic: list[str], morphem
     df = df.withColumn("review_bucket", at_first)
     df = df.withColumn("review_bucket", F.when((n < min_count) & ~c("lone"), no).otherwise(c("review_bucket")))
     df = df.withColumn("review_bucket", F.when(c("review_bucket").isin("domain_phrase", "maybe") & (c("risk") < min_risk), no).otherwise(c("review_bucket")))
-    return df.select("normalized", "bucket", "kind", "token_count", "occurrences", "records", "chapters", "documents", F.round("genericity", 6).alias("genericity"), "rarity", F.round("risk", 6).alias("risk"), F.round("score", 6).alias("score"), "lone", "review_bucket")
+    return df.select("normalized", "bucket", "kind", "token_count", "occurrences", "records", "chapters", F.round("genericity", 6).alias("genericity"), "rarity", F.round("risk", 6).alias("risk"), F.round("score", 6).alias("score"), "lone", "review_bucket")

@@ -22,7 +22,7 @@ INCLUDE, EXCLUDE = "^Onth", "xx"
 
 def mined(over: Over) -> DataFrame:
     rows = over("SELECT doc_id, chapter_no, record_pos, source FROM v_records")
-    return T.words(rows).unionByName(T.compounds(rows)).unionByName(T.phrases(rows, LEFTOVERS))
+    return T.words(rows, surface=True).unionByName(T.compounds(rows, surface=True)).unionByName(T.phrases(rows, LEFTOVERS, surface=True))
 
 
 def risks(over: Over) -> DataFrame:
@@ -170,7 +170,7 @@ def _bucket(s: str) -> str:
 
 
 def _counts(found: str, kind: str) -> str:
-    return f"SELECT lower(surface) AS normalized, bucket, {kind} AS kind, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT (doc_id, record_pos)) AS records, count(DISTINCT (doc_id, chapter_no)) AS chapters, count(DISTINCT doc_id) AS documents, min(surface) AS surface FROM ({found}) f GROUP BY lower(surface), bucket"
+    return f"SELECT lower(surface) AS normalized, bucket, {kind} AS kind, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT (doc_id, record_pos)) AS records, count(DISTINCT (doc_id, chapter_no)) AS chapters, min(surface) AS surface FROM ({found}) f GROUP BY lower(surface), bucket"
 
 
 _WORDS = _counts(f"SELECT *, {_bucket('surface')} AS bucket FROM (SELECT doc_id, record_pos, chapter_no, 1 AS n, unnest(regexp_extract_all(source, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS surface FROM v_records) w", "CASE WHEN bucket = 'title' THEN 'proper_name' ELSE 'word' END")
@@ -186,7 +186,7 @@ _RUNS = f"""SELECT doc_id, record_pos, chapter_no, array_to_string(list_slice(w,
 _KINDS = f"list_transform(run, lambda x: {_bucket('x')})"
 _PHRASES = _counts(f"SELECT *, CASE WHEN len(list_filter({_KINDS}, lambda k: k NOT IN ('title', 'upper'))) = 0 THEN 'title' WHEN len(list_filter({_KINDS}, lambda k: k <> 'lower')) = 0 THEN 'lower' ELSE 'mixed' END AS bucket FROM ({_RUNS}) r", "CASE WHEN bucket = 'title' THEN 'title_candidate' ELSE 'phrase' END")
 _DULL = "[" + ", ".join(f"'{w}'" for w in GENERIC) + "]"
-_RISK = f"""SELECT normalized, bucket, kind, CAST(size AS INT) AS token_count, occurrences, records, chapters, documents, round(genericity, 6) AS genericity, rarity, round(risk, 6) AS risk,
+_RISK = f"""SELECT normalized, bucket, kind, CAST(size AS INT) AS token_count, occurrences, records, chapters, round(genericity, 6) AS genericity, rarity, round(risk, 6) AS risk,
  round(ln(1 + occurrences) * (1 + ln(1 + chapters)) * (CASE WHEN dull THEN 0.2::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN kind IN ('phrase', 'title_candidate', 'hyphenated_term') THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END), 6) AS score, lone,
  CASE WHEN first_bucket = 'no_action' OR (occurrences < 2 AND NOT lone) THEN 'no_action' WHEN first_bucket IN ('domain_phrase', 'maybe') AND risk < 3 THEN 'no_action' ELSE first_bucket END AS review_bucket
  FROM (SELECT *, CASE WHEN excluded OR (size = 1 AND length(normalized) <= 1) OR (size = 1 AND lemma AND NOT world AND NOT included) THEN 'no_action'
@@ -219,9 +219,9 @@ ORACLES: dict[str, str] = {
     "term_audit": f"SELECT CAST(entry_index AS BIGINT) AS entry_index, count(*) AS records, count(CASE WHEN {_BAD} THEN 1 END) AS forbidden, count(CASE WHEN {_GOOD} THEN 1 END) AS approved, count(CASE WHEN NOT {_BAD} AND NOT {_GOOD} THEN 1 END) AS missing FROM (" + " UNION ALL ".join(f"SELECT *, {k} AS entry_index FROM v_progress WHERE target IS NOT NULL AND {_has(_WIDE, w)}" for k, w in enumerate(["the", "of  the", "under", "that", "erer", "with"])) + ") t GROUP BY entry_index",
     "profile_glossary_divergence": "SELECT CAST(entry_index AS BIGINT) AS entry_index, count(DISTINCT profile) AS profiles, count(DISTINCT CASE WHEN target IS NOT NULL THEN profile END) AS translated_profiles FROM (" + _applies("v_progress") + ") t GROUP BY entry_index",
     "audit_block": "SELECT doc_id, CAST(entry_index AS BIGINT) AS entry_index, string_agg('>>> ' || record_id, '|' ORDER BY record_id) AS block FROM (" + _applies("v_progress") + ") t WHERE target IS NOT NULL GROUP BY doc_id, entry_index",
-    "token_candidates": _WORDS,
-    "hyphenated_candidates": _COMPOUNDS,
-    "phrase_candidates": _PHRASES,
+    "token_candidates": f"SELECT * EXCLUDE (surface) FROM ({_WORDS}) t",
+    "hyphenated_candidates": f"SELECT * EXCLUDE (surface) FROM ({_COMPOUNDS}) t",
+    "phrase_candidates": f"SELECT * EXCLUDE (surface) FROM ({_PHRASES}) t",
     "candidate_ids": "SELECT normalized, bucket, 'CAND-' || upper(substr(sha256('{\"case_bucket\":\"' || bucket || '\",\"identity_ruleset_version\":\"1\",\"normalized\":\"' || normalized || '\",\"source_language\":\"en\",\"token_count\":1,\"tokens\":[\"' || normalized || '\"]}'), 1, 16)) AS candidate_id FROM (" + _WORDS + ") w",
     "candidate_scores": _RISK,
     "bucket_topk": f"SELECT review_bucket, normalized, bucket, kind, occurrences, risk FROM (SELECT *, row_number() OVER (PARTITION BY review_bucket ORDER BY risk DESC, occurrences DESC, normalized, bucket, kind) AS k FROM ({_RISK}) s WHERE review_bucket <> 'no_action') t WHERE k <= 80 ORDER BY risk DESC, occurrences DESC, normalized, bucket, kind LIMIT 200",

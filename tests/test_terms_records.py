@@ -106,7 +106,7 @@ def test_case_buckets_and_ids(spark):
 
 def test_risk_by_hand(spark):
     rows = [("ten-day", "lower", "hyphenated_term", ["ten", "day"], 3, 2), ("the", "lower", "word", ["the"], 50, 9), ("wasp", "title", "proper_name", ["wasp"], 1, 1), ("low lands", "lower", "phrase", ["low", "lands"], 1, 1), ("low lands", "lower", "phrase", ["low", "lands"], 9, 5)]
-    made = spark.createDataFrame([(n, b, k, t, o, o, c, 1, n) for n, b, k, t, o, c in rows], "normalized string, bucket string, kind string, tokens array<string>, occurrences long, records long, chapters long, documents long, surface string")
+    made = spark.createDataFrame([(n, b, k, t, o, o, c, n) for n, b, k, t, o, c in rows], "normalized string, bucket string, kind string, tokens array<string>, occurrences long, records long, chapters long, surface string")
     got = {(r["normalized"], r["occurrences"]): r for r in T.scored(made, ["the", "of"], ["day"], []).collect()}
     import math
 
