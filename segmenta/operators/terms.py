@@ -218,31 +218,46 @@ def bucket_of(surface: str) -> str:
     return "mixed" if capitals else "lower"
 
 
+class _Bits(dict):
+    """1 for title and upper case, 2 for lower, 4 for mixed; forgets all once there are many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = bits = {"title": 1, "upper": 1, "lower": 2, "mixed": 4}[bucket_of(word)]
+        return bits
+
+
+_BITS = _Bits()
+
+
 def phrases_of(source: str, common: set[str], longest: int) -> Iterator[tuple[str, str, str, int]]:
     """(surface, normalized, bucket, windows) of each run of words in a record that windows are trimmed to."""
     for unit in _HARD.split(source):
         words = _PHRASE_TOKEN.findall(unit)
-        edge = [w.lower() in common or len(w) <= 1 for w in words]
         n = len(words)
-        for i in range(n):
+        if n < 2:
+            continue
+        low = [w.lower() for w in words]
+        edge = [w in common or len(w) <= 1 for w in low]
+        for i in range(n - 1):
+            if edge[i] or "-" in words[i]:
+                continue
             # words trimmed off on the left and right of a run
             left = 0
-            while left < longest - 2 and i - left > 0 and edge[i - left - 1]:
+            while left < longest - 2 and i > left and edge[i - left - 1]:
                 left += 1
-            for j in range(i, min(n, i + longest)):
+            bits = _BITS[words[i]]
+            for j in range(i + 1, min(n, i + longest)):
                 if edge[j] or "-" in words[j]:
                     break
-                size = j - i + 1
-                if size < 2:
-                    continue
+                spare = longest - (j - i + 1)
                 right = 0
-                while right < longest - size and j + right + 1 < n and edge[j + right + 1]:
+                while right < spare and j + right + 1 < n and edge[j + right + 1]:
                     right += 1
-                windows = sum(1 for a in range(left + 1) for b in range(right + 1) if a + b <= longest - size)
-                run = words[i : j + 1]
-                kinds = {bucket_of(w) for w in run}
-                bucket = "title" if kinds <= {"title", "upper"} else "lower" if kinds == {"lower"} else "mixed"
-                yield " ".join(run), " ".join(run).lower(), bucket, windows
+                bits |= _BITS[words[j]]
+                windows = sum(min(right, spare - k) + 1 for k in range(min(left, spare) + 1)) if left or right else 1
+                yield " ".join(words[i : j + 1]), " ".join(low[i : j + 1]), "title" if bits == 1 else "lower" if bits == 2 else "mixed", windows
 
 
 def phrases(records: DataFrame, common: list[str], longest: int = 4, surface: bool = False) -> DataFrame:
