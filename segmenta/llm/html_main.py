@@ -43,6 +43,8 @@ MARKS = set(
 )
 #: Where a pair shares more than this part of a page's characters, the other neighbour is asked too.
 COPY = 0.8
+#: Pages that lose lines are broadcast up to this number; beyond, they and the texts meet by a shuffle.
+BROADCAST_ROWS = 500_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -221,24 +223,24 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_shared, n_deleted) for each page: lines shared with its nearest page, and deleted for it."""
+    """(id, url, text, n_deleted) for each page: the lines that differencing deleted are counted."""
     parsed = stored(parse(df, id_col, url_col, html_col))
     near = neighbours(parsed.select("row", "host", "path", "hashes", "sizes"))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [difference(r["path"], r["hashes"], r["sizes"], r["before"], r["after"]) for r in batch.to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([g for _, g in found], pa.list_(pa.int32()))], names=["row", "n_shared", "gone"])
+            gone = [difference(r["path"], r["hashes"], r["sizes"], r["before"], r["after"])[1] for r in batch.to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["row", "gone"])
 
         return step
 
-    # pages that share nothing need no row here
-    gone = map_batches(near, make, "row long, n_shared long, gone array<int>").where("n_shared > 0")
-    both = parsed.select("row", "id", "url", "lines").join(gone, "row", "left")
+    # only pages that lose lines have a row here; texts are shuffled for them only if they are many
+    gone = stored(map_batches(near, make, "row long, gone array<int>").where(F.size("gone") > 0))
+    both = parsed.select("row", "id", "url", "lines").join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "row", "left")
     left = F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i))
-    text = F.array_join(F.when(F.size("gone") > 0, left).otherwise(F.col("lines")), "\n")
-    none = F.lit(0).cast("long")
-    return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.coalesce("n_shared", none).alias("n_shared"), F.greatest(F.coalesce(F.size("gone"), F.lit(0)), F.lit(0)).cast("long").alias("n_deleted"))
+    text = F.array_join(F.when(F.col("gone").isNotNull(), left).otherwise(F.col("lines")), "\n")
+    deleted = F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0).cast("long")
+    return both.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), deleted.alias("n_deleted"))
 
 
 def difference(path: str, hashes: list[int], sizes: list[int], before: dict | None, after: dict | None) -> tuple[int, list[int]]:

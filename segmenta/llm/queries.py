@@ -53,7 +53,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_main.main_text(table(spark, sf_dir, "pages"))
-    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_deleted")
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_deleted")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

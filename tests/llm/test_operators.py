@@ -365,8 +365,8 @@ def test_differencing_inside_marked_articles(spark):
         return f"<nav>Menu</nav><article><div>Posted by the desk</div><h1>Title {k}</h1><p>Quoted by all.</p><p>Own text {k}.</p><div>More from us</div></article><footer>f</footer>"
 
     rows = [(k, f"http://h.example/{k}.html", page(k)) for k in range(40)]
-    got = {r["page_id"]: (r["text"], r["n_shared"], r["n_deleted"]) for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {k: (f"Title {k}\nQuoted by all.\nOwn text {k}.", 3, 2) for k in range(40)}
+    got = {r["page_id"]: (r["text"], r["n_deleted"]) for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: (f"Title {k}\nQuoted by all.\nOwn text {k}.", 2) for k in range(40)}
 
 
 def test_differencing_asks_the_other_neighbour():
