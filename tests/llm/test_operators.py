@@ -126,7 +126,7 @@ def test_toxicity_learns_exception_phrases():
 
 
 def test_toxicity_held_out():
-    """Of 144 held-out toxic rows 8 have no mark at all (their labels outlived a rewriting of the text), so the AUC's bound is about 0.97."""
+    """Of 144 held-out toxic rows 9 have no mark at all (their labels outlived a rewriting of the text), so the AUC's bound is about 0.97."""
     import duckdb
 
     rows = duckdb.sql("select d.doc_id, text, toxic from '/root/testdata/sf0.1/documents.parquet' d join '/root/testdata/sf0.1/labels.parquet' l using (doc_id) where text is not null and toxic is not null").fetchall()
