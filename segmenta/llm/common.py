@@ -78,13 +78,19 @@ def stored(df: DataFrame) -> DataFrame:
 def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
     """As `stored`, with the table's path, for `remove` once nothing reads it any more."""
     spark = df.sparkSession
-    durable_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = shared_path(spark, "table")
     df.write.parquet(path)
-    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def shared_path(spark: SparkSession, kind: str) -> str:
+    """A new place in the shared checkpoint folder; what is written there is removed at exit."""
+    durable_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{kind}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
 def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows joined with groups (one row a key, `size` its rows of `total`) on `key`, without a task for a hot key.
 

@@ -7,16 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.llm import bpe, html_main, langid, lm, mixing, multiset, pii, pivots, simhash, toxicity
-from segmenta.llm.common import crc_mod, table
+from segmenta.llm import bpe, html_main, langid, lm, mixing, multiset, pii, pivots, simhash, token_files, toxicity
+from segmenta.llm.common import crc_mod, shared_path, table
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def hex_sha256(text) -> F.Column:
@@ -112,6 +112,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_hits")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "ids")
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path(BYTE_TOKENIZER), end=0)
+    back = token_files.read(spark, path)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.length("ids").cast("long").alias("n_bytes"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -123,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_token_files": op11_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
