@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A Python worker holds one Arrow batch at a time; texts may be long, so batches are short and of bounded size.
@@ -21,12 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most_bytes: int = BATCH_BYTES) -> None:
     """Bound Arrow batches by rows and bytes, in this session; plans read the limits when they run, so they stay set.
 
     Limits below these, set by the user, are left alone.
     """
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", most_bytes)):
         key = f"spark.sql.execution.arrow.{key}"
         now = spark.conf.get(key).lower().removesuffix("b")
         if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
@@ -102,6 +102,29 @@ def spread_join(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return there.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
 
 
+def running(df: DataFrame, keys: list[str], order: list, sums: list[str]) -> DataFrame:
+    """df with `rank`, a row's place from 1 on in its group by `order`, and the running totals of `sums`, however long a group.
+
+    Rows are dealt by ranges, so a long group lies in several parts; what stands before the first group of a part is
+    one row a part and is broadcast. Rows that tie in `order` take any order.
+    """
+    spark = df.sparkSession
+    by = [*(F.col(k).asc_nulls_first() for k in keys), *order, "_place"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.withColumn("_place", F.monotonically_increasing_id()).repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    at = stored(dealt.select(*df.columns, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")))
+    inside = Window.partitionBy("_part", *keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    local = at.select(*df.columns, "_part", F.count("*").over(inside).alias("rank"), *(F.sum(s).over(inside).alias(f"_{s}") for s in sums))
+    totals = at.groupBy("_part", *keys).agg(F.count("*").alias("_n"), *(F.sum(s).alias(f"_t{s}") for s in sums))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("_part", *(F.col(k).alias(f"_k{k}") for k in keys), F.sum("_n").over(before).alias("_n"), *(F.sum(f"_t{s}").over(before).alias(f"_t{s}") for s in sums)).where("_n IS NOT NULL")
+    carried = carried.withColumnRenamed("_part", "_p")
+    same = [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in keys)]
+    met = local.join(F.broadcast(carried), same, "left")
+    own = [c for c in df.columns if c not in sums]
+    return met.select(*own, (F.col("rank") + F.coalesce("_n", F.lit(0))).alias("rank"), *((F.col(f"_{s}") + F.coalesce(f"_t{s}", F.lit(0))).alias(s) for s in sums))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None:
         jvm = spark.sparkContext._jvm

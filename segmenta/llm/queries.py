@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.llm import bpe, html_main, langid, lm, mixing, multiset, pii, pivots, simhash, token_files, toxicity
+from segmenta.llm import bpe, html_main, langid, lm, mixing, multiset, pii, pivots, simhash, token_files, toxicity, trie
 from segmenta.llm.common import crc_mod, shared_path, table
 
 TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -119,6 +119,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.length("ids").cast("long").alias("n_bytes"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations")).drop("key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -131,6 +135,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_token_files": op11_token_files,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of an ASCII text, bit by bit."""
+    step = "list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda v, i: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)), lambda a, b: {step}), 4294967295)"
+
+
+TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS content, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, content) AS i FROM t),
+n AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base, {crc32_sql('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM r GROUP BY conv_id),
+c AS (SELECT n.*, least(n.h, coalesce(b.n, 0)) AS k FROM n LEFT JOIN n b ON b.conv_id = n.base),
+a AS (SELECT c.conv_id, r.i AS pos, content, words FROM c JOIN r ON r.conv_id = c.base AND r.i <= c.h UNION ALL SELECT c.conv_id, r.i - c.h + c.k, content, words FROM c JOIN r ON r.conv_id = c.conv_id AND r.i > c.h),
+m AS (SELECT conv_id, pos AS depth, words, sha256(array_to_string(list(content) OVER (PARTITION BY conv_id ORDER BY pos), ',')) AS key FROM a UNION ALL SELECT conv_id, 0, 0, 'root' FROM c),
+x AS (SELECT key, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words FROM m GROUP BY key, depth),
+p AS (SELECT x.*, m.key AS parent, q.conv_id AS parent_conv_id FROM x LEFT JOIN m ON m.conv_id = x.conv_id AND m.depth = x.depth - 1 LEFT JOIN x q ON q.key = m.key),
+d AS (SELECT p.*, (SELECT count(*) FROM p o WHERE o.parent = p.key) AS n_children FROM p),
+s AS (SELECT m.key, count(CASE WHEN d.n_children = 0 THEN 1 END) AS n_leaves, sum((d.n_convs - 1) * d.words) AS saved FROM d JOIN m ON m.conv_id = d.conv_id AND m.depth <= d.depth GROUP BY m.key),
+e AS (SELECT key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(key, depth) AS key FROM m GROUP BY conv_id) l GROUP BY key)
+SELECT d.conv_id, CAST(d.depth AS BIGINT) AS depth, d.parent_conv_id, d.n_convs, d.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM d JOIN s ON s.key = d.key LEFT JOIN e ON e.key = d.key
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_prefix_trie": TRIE_SQL}
