@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from segmenta.llm.bpe import byte_symbols
@@ -44,9 +44,11 @@ from segmenta.llm.common import small_batches
 
 MAGIC = b"SEGMIDS1"
 HEAD, TAIL = struct.Struct("<8sI32s"), struct.Struct(">QQQQQ8s")
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 3000, 4096, 1 << 16
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 2000, 4096, 1 << 16
 #: Compressed bytes after which a shard is closed, and text bytes of a range.
-SHARD_BYTES, RANGE_BYTES = 8 << 20, 32 << 20
+SHARD_BYTES, RANGE_BYTES = 4 << 20, 16 << 20
+#: Bytes of texts or shards that a worker is handed at once.
+BATCH_BYTES = 8 << 20
 LEVEL = 3
 #: Shards whose totals are summed together before the sums are.
 BLOCK = 1024
@@ -59,15 +61,18 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 def encoder(content: bytes) -> tuple[Callable[[str], list[int]], int]:
     """A function from text to ids for a byte-level tokenizer file, and the bytes an id takes."""
     import tiktoken
-    from tokenizers import Tokenizer
 
-    library = Tokenizer.from_buffer(content)
+    library: list = []
     spec = json.loads(content)
     vocab, specials = spec["model"]["vocab"], [t["content"] for t in spec["added_tokens"]]
     width = 2 if max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) < 1 << 16 else 4
 
     def whole(text: str) -> list[int]:
-        return library.encode(text, add_special_tokens=False).ids
+        if not library:
+            from tokenizers import Tokenizer
+
+            library.append(Tokenizer.from_buffer(content))
+        return library[0].encode(text, add_special_tokens=False).ids
 
     merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
     plain = spec["normalizer"] is None and not spec["pre_tokenizer"].get("add_prefix_space") and spec["pre_tokenizer"].get("type") == "ByteLevel"
@@ -161,15 +166,17 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int = 0, id_col:
     with open(tokenizer_path, "rb") as file:
         content = spark.sparkContext.broadcast(file.read())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text", "id"))
-    seen = Observation()
+    seen = rows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     at = F.lit(1) + F.pmod("mark", F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS))
     window = F.substring(F.col("text"), at.cast("int"), F.lit(SAMPLE_CHARS)).alias("window")
-    sampled = rows.observe(seen, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"), F.count("*").alias("rows")).select("mark", window).orderBy("mark").limit(SAMPLE_DOCS).collect()
+    # the documents least by hash, about SAMPLE_DOCS of them, twice as many at most
+    least = F.shiftright("mark", 2) <= int((SAMPLE_DOCS / max(1, seen["rows"]) - 0.5) * (1 << 62))
+    sampled = rows.where(least).select(window).limit(2 * SAMPLE_DOCS).collect()
     encode, width = encoder(content.value)
     trained = train([packed(encode(r.window), width) for r in sampled])
     dictionary, digest = spark.sparkContext.broadcast(trained), hashlib.sha256(trained).digest()
     _place(spark.createDataFrame([(bytearray(trained),)], "content binary"), f"{path}/dictionary")
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(seen.get["bytes"] / RANGE_BYTES))
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(seen["bytes"] / RANGE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, width = _encoder(content.value)
@@ -187,7 +194,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int = 0, id_col:
         if shard:
             yield pa.RecordBatch.from_arrays([pa.array([shard.close(part, number)], pa.binary())], names=["content"])
 
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     order = [F.col("id").asc_nulls_first(), "mark", "place"]
     dealt = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     _place(dealt.select("id", "text").mapInArrow(run, "content binary"), f"{path}/shards")
@@ -237,7 +244,7 @@ def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> Da
                     columns = [pa.array(shard.ids[at], pa.int64(), mask=shard.none[at]), *(pa.array(np.full(len(at), x), pa.int64()) for x in (shard.part, shard.number)), pa.array(shard.first[at], pa.int64()), pa.array(raw, pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "number", "within", "ids"])
 
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     found = shards.select("content").mapInArrow(run, "doc_id long, part long, number long, within long, ids binary")
     rows = found.select("doc_id", "part", "number", "within", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
     starts = _starts(shards)
