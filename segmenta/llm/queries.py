@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.llm import bpe, html_main, langid, lm, mixing, multiset, pii, pivots, simhash, token_files, toxicity, trie
+from segmenta.llm import bpe, html_main, langid, lm, mixing, multiset, pii, pivots, repair, simhash, token_files, toxicity, trie
 from segmenta.llm.common import crc_mod, shared_path, table
 
 TOKENIZER, BYTE_TOKENIZER = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -123,6 +123,10 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations")).drop("key")
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_langid": op2_langid,
@@ -136,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_token_files": op11_token_files,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_repair": op13_repair,
 }
 
 
@@ -162,4 +167,37 @@ SELECT d.conv_id, CAST(d.depth AS BIGINT) AS depth, d.parent_conv_id, d.n_convs,
 FROM d JOIN s ON s.key = d.key LEFT JOIN e ON e.key = d.key
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_prefix_trie": TRIE_SQL}
+def _cheapest() -> str:
+    """DuckDB: the four states' cheapest (cost, audit) before a row from those behind it; insertions last."""
+    to = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+
+    def then(cost: str, letter: str, state: str) -> str:
+        return f"{{'c': {cost} + {state}.c, 'a': '{letter}' || {state}.a}}"
+
+    row = []
+    for q, goes in to.items():
+        other = next(t for r, t in goes.items() if r != "s")
+        keep = " ".join(f"WHEN ini = '{r}' THEN {then('cut', 'K', f's{t}')}" for r, t in goes.items())
+        row.append(f"list_min([{then('2', 'D', f's{q}')}, CASE WHEN fault IN (1, 2) THEN NULL {keep} END, CASE WHEN fault IN (0, 3) THEN {then('1 + cut', 'R', f's{other}')} END]) AS g{q}")
+    put = ["list_min([g0, " + then("5", "I", "g2") + ", " + then("10", "II", "g3") + "]) AS s0", "list_min([g1, " + then("5", "I", "g2") + ", " + then("10", "II", "g3") + "]) AS s1"]
+    put += ["list_min([g2, " + then("5", "I", "g3") + "]) AS s2", "list_min([g3, " + then("5", "I", "g2") + "]) AS s3"]
+    return f"SELECT conv_id, i - 1, {', '.join(put)} FROM (SELECT f.conv_id, f.i, {', '.join(row)} FROM f JOIN o ON o.conv_id IS NOT DISTINCT FROM f.conv_id AND o.i = f.i) w"
+
+
+REPAIR_SQL = f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+o AS (SELECT *, CASE WHEN fault = 3 THEN 5 ELSE 0 END AS cut, left(role, 1) AS ini FROM (SELECT conv_id, turn, role, text, i, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 3 ELSE 0 END AS fault FROM p) q),
+n AS (SELECT c.conv_id, count(o.i) AS n, count(CASE WHEN fault = 1 THEN 1 END) AS blank, count(CASE WHEN fault = 2 THEN 1 END) AS duplicate, count(CASE WHEN fault = 3 THEN 1 END) AS truncated, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+l AS (SELECT conv_id, count(*) AS illegal FROM (SELECT conv_id, i, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS pair FROM o) x WHERE i > 1 AND pair NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+f AS (SELECT conv_id, n AS i, {{'c': 0, 'a': ''}} AS s0, {{'c': 10, 'a': 'II'}} AS s1, {{'c': 5, 'a': 'I'}} AS s2, {{'c': 0, 'a': ''}} AS s3 FROM n UNION ALL {_cheapest()}),
+a AS (SELECT conv_id, s0.c AS cost, s0.a AS audit FROM f WHERE i = 0),
+e AS (SELECT conv_id, step, letter, count(CASE WHEN letter <> 'I' THEN 1 END) OVER w AS i, count(CASE WHEN letter <> 'D' THEN 1 END) OVER w AS put FROM (SELECT conv_id, unnest(range(1, length(audit) + 1)) AS step, unnest(string_split(audit, '')) AS letter FROM a WHERE audit <> '') u WINDOW w AS (PARTITION BY conv_id ORDER BY step)),
+r AS (SELECT e.conv_id, step, letter, put, o.role, o.text, max(CASE WHEN put = 1 AND letter = 'K' AND o.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS system FROM e LEFT JOIN o ON o.conv_id IS NOT DISTINCT FROM e.conv_id AND o.i = e.i WHERE letter <> 'D'),
+h AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (put - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY step) AS lines FROM r GROUP BY conv_id)
+SELECT n.conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM n JOIN a ON a.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM n.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM n.conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_prefix_trie": TRIE_SQL, "op13_repair": REPAIR_SQL}
