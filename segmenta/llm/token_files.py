@@ -170,7 +170,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end: int = 0, id_col:
     at = F.lit(1) + F.pmod("mark", F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS))
     window = F.substring(F.col("text"), at.cast("int"), F.lit(SAMPLE_CHARS)).alias("window")
     # the documents least by hash, about SAMPLE_DOCS of them, twice as many at most
-    least = F.shiftright("mark", 2) <= int((SAMPLE_DOCS / max(1, seen["rows"]) - 0.5) * (1 << 62))
+    least = F.shiftright("mark", 2) <= int((min(1.0, SAMPLE_DOCS / max(1, seen["rows"])) - 0.5) * (1 << 62))
     sampled = rows.where(least).select(window).limit(2 * SAMPLE_DOCS).collect()
     encode, width = encoder(content.value)
     trained = train([packed(encode(r.window), width) for r in sampled])
