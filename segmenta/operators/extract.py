@@ -15,11 +15,12 @@ def ordinal(title: str, d: Spark) -> str:
     return f"CAST(CASE WHEN {d.found(bare, '^[0-9]{1,6}$')} THEN CAST({bare} AS INT) {words} {roman} END AS BIGINT)"
 
 
-def literal(column: str, values: list[str]) -> str:
-    return " UNION ALL ".join(f"SELECT {i} AS seq, '{v}' AS {column}" for i, v in enumerate(values))
-
-
-LINES = ["# note: first", ">>> 0001-000001", "Ein Satz.", "# keep me", "Noch einer.", "", "# tail", ">>> 0001-000002", "Zwei.", ">>> 0001-000003", "", "Drei.", ""]
+#: Chapters of documents with titles of every kind; some numbers are left out.
+TITLED = (
+    "SELECT doc_id, chapter_no, CASE chapter_no % 6 WHEN 0 THEN CAST(chapter_no AS STRING) WHEN 1 THEN concat('Chapter ', CAST(chapter_no AS STRING), ':') "
+    + "".join(f"WHEN {k} THEN CASE chapter_no " + " ".join(f"WHEN {n} THEN '{t}'" for n, t in enumerate(titles.split(), 1)) + " ELSE 'Prologue' END " for k, titles in ((2, "I II III IV V VI VII VIII IX X XI XII"), (3, "one TWO Three four five six seven eight nine ten eleven twelve")))
+    + "WHEN 4 THEN concat('Part ', CAST(chapter_no AS STRING)) ELSE '' END AS title FROM (SELECT DISTINCT doc_id, chapter_no FROM v_records) c WHERE (doc_id + chapter_no) % 5 <> 0"
+)
 
 QUERIES = {
     # SC2, SC3: non-blank lines as spans
@@ -46,13 +47,13 @@ QUERIES = {
     # JN6: as-of boundary, by a running maximum instead of a range join
     "chapter_of_record": lambda d: "SELECT doc_id, record_id, CAST(max(CASE WHEN record_pos % 20 = 0 THEN floor(record_pos / 20) + 1 END) OVER (PARTITION BY doc_id ORDER BY record_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS chapter_no FROM v_records",
     # PR24
-    "chapter_ordinal": lambda d: f"SELECT title, {ordinal('title', d)} AS ordinal FROM (" + literal("title", ["12", "XII", "TWELVE", "Chapter 3", "Part iv", "Prologue", "", "Book Seven:"]) + ") t",
+    "chapter_ordinal": lambda d: f"SELECT doc_id, chapter_no, title, {ordinal('title', d)} AS ordinal FROM ({TITLED}) t",
     # WN8
-    "chapter_gaps": lambda d: f"SELECT title, ordinal, next_ordinal - ordinal - 1 AS missing FROM (SELECT title, ordinal, lead(ordinal) OVER (ORDER BY ordinal) AS next_ordinal FROM (SELECT title, {ordinal('title', d)} AS ordinal FROM (" + literal("title", ["1", "II", "Chapter 5", "nine", "10"]) + ") t) o) g WHERE next_ordinal - ordinal > 1",
+    "chapter_gaps": lambda d: f"SELECT doc_id, title, ordinal, next_ordinal - ordinal - 1 AS missing FROM (SELECT doc_id, title, ordinal, lead(ordinal) OVER (PARTITION BY doc_id ORDER BY ordinal) AS next_ordinal FROM (SELECT doc_id, title, {ordinal('title', d)} AS ordinal FROM ({TITLED}) t) o WHERE ordinal IS NOT NULL) g WHERE next_ordinal - ordinal > 1",
     # WN9
     "transition_boundaries": lambda d: "SELECT doc_id, record_pos, chapter_no FROM (SELECT *, lag(chapter_no) OVER (PARTITION BY doc_id ORDER BY record_pos) AS before FROM v_records) t WHERE before IS NULL OR before <> chapter_no",
     # WN10: one boundary a span, titled first
-    "boundary_merge": lambda d: "SELECT span_index, title FROM (SELECT *, row_number() OVER (PARTITION BY span_index ORDER BY CASE WHEN title IS NULL THEN 1 ELSE 0 END, seq) AS k FROM (SELECT seq, CAST(seq % 3 AS BIGINT) AS span_index, nullif(title, '') AS title FROM (" + literal("title", ["", "B", "C", "A", "", "D"]) + ") x) t) u WHERE k = 1",
+    "boundary_merge": lambda d: "SELECT doc_id, span_index, title FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, span_index ORDER BY CASE WHEN title IS NULL THEN 1 ELSE 0 END, record_pos) AS k FROM (SELECT doc_id, record_pos, CAST(floor(record_pos / 3) AS BIGINT) AS span_index, CASE WHEN source_words < 6 THEN source END AS title FROM v_records) t) u WHERE k = 1",
     # WN16: records before each span
     "span_record_starts": lambda d: "SELECT doc_id, chunk_id, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY chunk_id) - n AS BIGINT) AS starts_at FROM (SELECT doc_id, chunk_id, count(*) AS n FROM v_records GROUP BY doc_id, chunk_id) c",
     # JN18: first record at or after a position

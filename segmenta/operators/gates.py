@@ -8,10 +8,6 @@ from segmenta.functions.fragments import fragment_findings
 from segmenta.operators import glossary
 from segmenta.plans.dialect import TOKEN, Spark
 
-FILES = ['{"a": 1}', ' {"a": [1, 2]} ', 'Here it is: {"a": 1}', '{"a": 1} done', '{"a": 1} {"b": 2}', '{"a": 1}, {"b": 2}', '{"a": ', '[1]', '']
-#: (member, source, target, forbidden, require_target, mandatory, enforce)
-PACK = [(0, "tenday", "Dekade", "Zehntag", 1, 1, "error"), (1, "", "Leer", "", 0, 0, "warn"), (2, "wasp", "Wespe", "Wespe", 0, 0, "warn"), (3, "ant", "", "", 1, 0, "warn"), (4, "bee", "Biene", "", 0, 1, "off"), (5, "Tenday", "Woche", "", 0, 0, "warn")]
-
 #: Numbered chapters of each document: which of them the contents list, the chapter map, the spans and the navigation have.
 CHAPTERS = (
     "SELECT doc_id, chapter_no AS ordinal, CASE WHEN chapter_no % 7 <> 5 THEN 1 ELSE 0 END AS listed, CASE WHEN chapter_no % 5 <> 0 THEN 1 ELSE 0 END AS mapped, "
@@ -20,10 +16,6 @@ CHAPTERS = (
 )
 
 
-def literal(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 def toc_audit(d: Spark) -> str:
     one = f"SELECT doc_id, CASE WHEN extracted = 1 THEN 'error' ELSE 'warning' END AS severity, CASE WHEN extracted = 1 THEN 'epub_toc_href_extracted_but_unmapped' ELSE 'epub_toc_href_missing_from_extracted_spans' END AS rule, ordinal FROM ({CHAPTERS}) c WHERE listed = 1 AND mapped = 0"
     sums = f"SELECT doc_id, sum(listed * (1 - mapped)) AS unmapped, sum(navigated) AS navigated, sum(navigated * (1 - greatest(headed, listed))) AS nav_only, sum(greatest(headed, listed) * (1 - navigated)) AS signal_only, sum(listed) AS listed, max(CASE WHEN listed = 1 THEN ordinal END) - min(CASE WHEN listed = 1 THEN ordinal END) + 1 AS width FROM ({CHAPTERS}) c GROUP BY doc_id"
@@ -31,24 +23,25 @@ def toc_audit(d: Spark) -> str:
     return " UNION ALL ".join([one, *[f"SELECT doc_id, 'warning' AS severity, '{rule}' AS rule, CAST(0 AS BIGINT) AS ordinal FROM ({sums}) s WHERE {where}" for rule, where in whole]])
 
 
-def files() -> str:
-    return " UNION ALL ".join(f"SELECT {i} AS file_no, {literal(t)} AS content" for i, t in enumerate(FILES))
-
-
-def pack() -> str:
-    return " UNION ALL ".join(f"SELECT {i} AS member, '{s}' AS source, '{t}' AS target, '{f}' AS forbidden, {r} AS required, {m} AS mandatory, '{e}' AS enforce" for i, s, t, f, r, m, e in PACK)
-
+#: A file for each chunk, with commentary around its object, two objects, or a cut end.
+FILES = (
+    "SELECT doc_id, chunk_id, CASE (doc_id + CAST(chunk_id AS BIGINT)) % 8 WHEN 1 THEN concat('Here it is: ', body) WHEN 2 THEN concat(body, ' done') WHEN 3 THEN concat(body, ' ', body) WHEN 4 THEN concat(body, ', ', body) "
+    "WHEN 5 THEN substr(body, 1, length(body) - 1) WHEN 6 THEN concat('[', body, ']') WHEN 7 THEN '' ELSE concat('  ', body, ' ') END AS content "
+    "FROM (SELECT doc_id, chunk_id, concat('{\"chunk\": \"', chunk_id, '\", \"records\": ', CAST(count(*) AS STRING), '}') AS body FROM v_records GROUP BY doc_id, chunk_id) b"
+)
+#: A pack of each document's capitalised words.
+PACK = "(SELECT doc_id, source_term AS source, target_term AS target, CASE WHEN length(source_term) % 7 = 0 THEN target_term ELSE forbidden END AS forbidden, CASE WHEN enforce = 'error' THEN 1 ELSE 0 END AS required, CASE WHEN length(source_term) % 2 = 1 THEN 1 ELSE 0 END AS mandatory, enforce FROM (" + glossary.ENTRIES + ") e) p"
 
 PACK_RULES = {"empty_member": "source = ''", "approved_and_forbidden": "target <> '' AND target = forbidden", "require_without_target": "required = 1 AND target = ''", "mandatory_but_off": "mandatory = 1 AND enforce = 'off'", "duplicate_identity": "source <> '' AND same > 1"}
 
 #: A review handed in again for each review row; some with another text, some on another base.
-REVIEW_IN = "SELECT doc_id, record_pos, record_id, review_ref, direct_stale, CASE WHEN record_pos % 35 = 5 THEN '9.9' ELSE base_ref END AS base_ref, base_target, target AS held, CASE WHEN record_pos % 15 = 0 THEN concat(target, ' !') ELSE target END AS target FROM v_stale"
+REVIEW_IN = "SELECT doc_id, record_pos, record_id, review_ref, direct_stale, CASE WHEN record_pos % 35 = 5 THEN '9.9' ELSE base_ref END AS base_ref, has_base, target AS held, CASE WHEN record_pos % 15 = 0 THEN concat(target, ' !') ELSE target END AS target FROM v_chains"
 #: A judge's decision for each translated record: label, its text, and the text that the candidate has now.
 DECISIONS = "SELECT doc_id, record_id, record_pos, CASE WHEN record_pos % 9 = 1 THEN 'C' WHEN record_pos % 9 = 2 THEN 'edited' ELSE 'A' END AS decision, target AS now, CASE WHEN record_pos % 4 = 0 THEN concat(target, chr(13)) WHEN record_pos % 11 = 0 THEN concat(target, ' x') ELSE target END AS text, CASE WHEN record_pos % 13 = 0 THEN '0.0' ELSE ref END AS seen_ref, ref FROM v_progress WHERE ref IS NOT NULL"
 
 QUERIES = {
     # SC12, V20: a file is one JSON object, without anything around it
-    "rule_invalid_json": lambda d: f"SELECT file_no, 'error' AS severity, 'invalid_json_or_commentary' AS rule FROM ({files()}) f WHERE NOT ({d.found('content', r'^\s*\{')} AND {d.one_json('content')})",
+    "rule_invalid_json": lambda d: f"SELECT doc_id, chunk_id, 'error' AS severity, 'invalid_json_or_commentary' AS rule FROM ({FILES}) f WHERE NOT ({d.found('content', r'^\s*\{')} AND {d.one_json('content')})",
     # V16
     "rule_chunk_id_changed": lambda d: "SELECT doc_id, chunk_id, file_chunk_id, 'error' AS severity FROM (SELECT DISTINCT doc_id, chunk_id, CASE WHEN (doc_id + CAST(chunk_id AS BIGINT)) % 6 = 0 THEN concat('9', substr(chunk_id, 2)) ELSE chunk_id END AS file_chunk_id FROM v_records) f WHERE file_chunk_id <> chunk_id",
     # V21, JN3: translated files whose source chunk is gone
@@ -60,11 +53,11 @@ QUERIES = {
     # V49-V53
     "rule_toc_audit": toc_audit,
     # V61
-    "review_acceptance": lambda d: f"SELECT i.doc_id, i.record_id, i.review_ref, CASE WHEN s.source_sha256 <> {d.sha('s.source')} THEN 'source_drift' WHEN i.base_ref = '9.9' OR i.base_target IS NULL THEN 'base_missing' WHEN i.direct_stale THEN 'base_drift' WHEN i.target <> i.held THEN 'ref_conflict' ELSE 'unchanged' END AS gate FROM ({REVIEW_IN}) i JOIN v_store s ON s.doc_id = i.doc_id AND s.record_pos = i.record_pos",
+    "review_acceptance": lambda d: f"SELECT i.doc_id, i.record_id, i.review_ref, CASE WHEN s.source_sha256 <> {d.sha('s.source')} THEN 'source_drift' WHEN i.base_ref = '9.9' OR NOT i.has_base THEN 'base_missing' WHEN i.direct_stale THEN 'base_drift' WHEN i.target <> i.held THEN 'ref_conflict' ELSE 'unchanged' END AS gate FROM ({REVIEW_IN}) i JOIN v_store s ON s.doc_id = i.doc_id AND s.record_pos = i.record_pos",
     # Carriage returns do not count
     "judge_acceptance": lambda d: f"SELECT doc_id, record_id, CASE WHEN decision NOT IN ('A', 'B', 'edited') THEN 'unknown_label' WHEN seen_ref <> ref THEN 'candidate_drift' WHEN decision <> 'edited' AND {d.replace_all('text', chr(92) + 'r', '')} <> {d.replace_all('now', chr(92) + 'r', '')} THEN 'copy_differs' ELSE 'ok' END AS gate FROM ({DECISIONS}) j",
     # V63
-    "pack_rules": lambda d: " UNION ALL ".join(f"SELECT member, '{rule}' AS rule FROM (SELECT *, count(*) OVER (PARTITION BY lower(source)) AS same FROM ({pack()}) p) t WHERE {where}" for rule, where in PACK_RULES.items()),
+    "pack_rules": lambda d: " UNION ALL ".join(f"SELECT doc_id, source, '{rule}' AS rule FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, lower(source)) AS same FROM {PACK}) t WHERE {where}" for rule, where in PACK_RULES.items()),
     # Coverage of every block and the text rules of its rows, in one pass
     "block_lint": lambda d: f"SELECT doc_id, chunk_id, record_id, CASE WHEN target IS NULL THEN 'missing' WHEN {d.replace_all('target', r'^\s+|\s+$', '')} = '' THEN 'empty_target' WHEN {d.except_(d.matches('source', TOKEN), d.matches('target', TOKEN))} <> '' THEN 'placeholders' ELSE 'ok' END AS lint FROM (SELECT doc_id, chunk_id, record_id, source, CASE WHEN record_pos % 7 = 3 THEN ' ' WHEN record_pos % 7 <> 5 THEN source END AS target FROM v_records) b",
 }

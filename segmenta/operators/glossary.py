@@ -1,19 +1,18 @@
-"""Glossary: boundary matches, longest-match suppression, required and forbidden terms, audits (GL, JN11, JN19-20, V5-V7)."""
+"""Glossaries: fingerprints, term sets, binding entries (GL2, GL7, FI14, SO6). Each document's glossary is made of its capitalised words."""
 
 from __future__ import annotations
 
-SPANS = [(r, e, t, s, n, p) for r in range(3) for e, t, s, n, p in [(0, "the", 0 + r, 3 + r, 1), (1, "of the", 0, 6 + r, 1), (2, "the end", 3, 10, 1), (1, "der", 3, 6, 0), (4, "end", 7, 10, 1), (5, "the end now", 3 + r, 14 - r, 1)]]
-
-
-def spans() -> str:
-    return " UNION ALL ".join(f"SELECT {r} AS record, {e} AS entry, '{t}' AS term, {s} AS start_at, {n} AS end_at, {p} AS is_primary" for r, e, t, s, n, p in SPANS)
-
+#: A document's glossary: each capitalised word with a target, a forbidden word and an enforcement that follow from its letters.
+ENTRIES = (
+    "SELECT doc_id, token AS source_term, CASE WHEN length(token) % 3 = 0 THEN '' ELSE lower(token) END AS target_term, CASE WHEN length(token) % 4 = 0 THEN token ELSE '' END AS forbidden, "
+    "CASE length(token) % 5 WHEN 0 THEN 'off' WHEN 1 THEN 'warn' ELSE 'error' END AS enforce, min(record_pos * 1000 + token_pos) AS place FROM v_tokens WHERE token <> lower(token) GROUP BY doc_id, token"
+)
 
 QUERIES = {
-    # GL7, DT13
-    "glossary_fingerprint": lambda d: "SELECT " + d.sha(d.joined("concat(source_term, '=', target_term, '/', forbidden, '/', enforce)", "source_term", ";")) + " AS fingerprint FROM v_glossary WHERE enforce <> 'off'",
-    # GL2, SO6: trimmed, first spelling wins
-    "term_sets": lambda d: "SELECT entry, term, min(rank_no) AS rank_no FROM (SELECT entry, trim(term) AS term, is_primary * -1 AS rank_no FROM (" + spans() + ") s) t WHERE term <> '' GROUP BY entry, term",
+    # GL7, DT13: enforced entries in order of source term
+    "glossary_fingerprint": lambda d: "SELECT doc_id, " + d.sha(d.joined("concat(source_term, '=', target_term, '/', forbidden, '/', enforce)", "source_term", ";")) + f" AS fingerprint FROM ({ENTRIES}) e WHERE enforce <> 'off' GROUP BY doc_id",
+    # GL2, SO6: terms that differ in case only are one, in the spelling that comes first
+    "term_sets": lambda d: f"SELECT doc_id, lower(source_term) AS term, min_by(source_term, place) AS spelling, count(*) AS spellings FROM ({ENTRIES}) e GROUP BY doc_id, lower(source_term)",
     # FI14
-    "binding_entries": lambda d: "SELECT entry_index, enforce <> 'off' AND (target_term <> '' OR forbidden <> '') AS binding FROM v_glossary",
+    "binding_entries": lambda d: f"SELECT doc_id, source_term, enforce <> 'off' AND (target_term <> '' OR forbidden <> '') AS binding FROM ({ENTRIES}) e",
 }

@@ -14,7 +14,7 @@ def by(keys: str) -> str:
 
 
 def snapshot(keys: str) -> str:
-    per = "SELECT e.doc_id, e.record_pos, e.chapter_no, p.pass_number, max(CASE WHEN r.status = 'accepted' AND NOT r.chain_stale THEN 1 ELSE 0 END) AS reviewed, max(CASE WHEN r.chain_stale THEN 1 ELSE 0 END) AS stale FROM v_effective e CROSS JOIN (SELECT 1 AS pass_number UNION ALL SELECT 2) p LEFT JOIN v_stale r ON r.doc_id = e.doc_id AND r.record_pos = e.record_pos AND r.pass_number = p.pass_number WHERE e.target IS NOT NULL GROUP BY e.doc_id, e.record_pos, e.chapter_no, p.pass_number"
+    per = "SELECT e.doc_id, e.record_pos, e.chapter_no, p.pass_number, max(CASE WHEN r.status = 'accepted' AND NOT r.chain_stale THEN 1 ELSE 0 END) AS reviewed, max(CASE WHEN r.chain_stale THEN 1 ELSE 0 END) AS stale FROM v_effective e CROSS JOIN (SELECT 1 AS pass_number UNION ALL SELECT 2) p LEFT JOIN v_chains r ON r.doc_id = e.doc_id AND r.record_pos = e.record_pos AND r.pass_number = p.pass_number WHERE e.target IS NOT NULL GROUP BY e.doc_id, e.record_pos, e.chapter_no, p.pass_number"
     return f"SELECT {keys}, pass_number, count(*) AS eligible, CAST(sum(reviewed) AS BIGINT) AS reviewed, CAST(sum(CASE WHEN reviewed = 0 THEN stale ELSE 0 END) AS BIGINT) AS stale, CAST(sum(CASE WHEN reviewed = 0 AND stale = 0 THEN 1 ELSE 0 END) AS BIGINT) AS missing, min(CASE WHEN reviewed = 0 THEN record_pos END) AS first_gap FROM ({per}) s GROUP BY {keys}, pass_number"
 
 
@@ -47,9 +47,9 @@ QUERIES = {
     # JN4
     "pending_records": lambda d: "SELECT doc_id, record_id FROM v_progress WHERE target IS NULL",
     # FI9
-    "review_missing": lambda d: "SELECT e.doc_id, e.record_id FROM v_effective e LEFT JOIN (SELECT DISTINCT doc_id, record_pos FROM v_stale WHERE pass_number = 1) r ON r.doc_id = e.doc_id AND r.record_pos = e.record_pos WHERE r.doc_id IS NULL",
-    "review_stale": lambda d: "SELECT DISTINCT doc_id, record_id, pass_number FROM v_stale WHERE chain_stale",
-    "review_changed_base": lambda d: "SELECT doc_id, record_id, review_ref FROM v_stale WHERE direct_stale AND base_target IS NOT NULL",
+    "review_missing": lambda d: "SELECT e.doc_id, e.record_id FROM v_effective e LEFT JOIN (SELECT DISTINCT doc_id, record_pos FROM v_chains WHERE pass_number = 1) r ON r.doc_id = e.doc_id AND r.record_pos = e.record_pos WHERE r.doc_id IS NULL",
+    "review_stale": lambda d: "SELECT DISTINCT doc_id, record_id, pass_number FROM v_chains WHERE chain_stale",
+    "review_changed_base": lambda d: "SELECT doc_id, record_id, review_ref FROM v_chains WHERE direct_stale AND has_base",
     # GR6, GR7
     "review_snapshot": lambda d: snapshot("doc_id"),
     "review_gap_index": lambda d: "SELECT doc_id, chapter_no, pass_number, stale + missing AS gap FROM (" + snapshot("doc_id, chapter_no") + ") s WHERE stale + missing > 0",

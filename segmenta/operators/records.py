@@ -16,32 +16,31 @@ KEYS = ["doc_id", "record_pos"]
 
 
 def chains(reviews: DataFrame, candidates: DataFrame) -> DataFrame:
-    """EF2-EF5: each review with direct_stale, chain_stale and, if it is fresh, the refs from its base version on.
+    """EF2-EF5: each review with has_base, direct_stale, chain_stale and, if it is fresh, the chain of refs from its base version on.
 
     Bases are followed by their refs, one fold over a record's reviews in order of pass and run: a base comes
     before its review, so a missing, later or circular base is stale. Bases are compared by their hash as stored.
     """
-    one = F.struct("pass_number", "run_number", "review_ref", "base_ref", "base_target_sha256", F.sha2("target", 256).alias("sha"))
+    rest = [c for c in reviews.columns if c not in KEYS]
+    one = F.struct("pass_number", "run_number", "review_ref", *(c for c in rest if c not in ("pass_number", "run_number", "review_ref")))
     by_record = reviews.groupBy(*KEYS).agg(F.array_sort(F.collect_list(one)).alias("r"))
     versions = candidates.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("version_ref", F.sha2("target", 256)))).alias("v"))
-    both = by_record.join(versions, KEYS, "left")
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    both = both.select(*KEYS, "r", F.coalesce("v", none).alias("v"))
-    both = both.withColumn("known", F.map_concat("v", F.map_from_entries(F.transform("r", lambda x: F.struct(x["review_ref"], x["sha"])))))
-    out_type = "array<struct<review_ref:string,direct_stale:boolean,chain_stale:boolean,chain:string>>"
-    start = F.struct(F.transform_values("v", lambda k, _: k).alias("path"), F.array().cast(out_type).alias("out"))
+    both = by_record.join(versions, KEYS, "left").select(*KEYS, "r", F.coalesce("v", none).alias("v"))
+    both = both.withColumn("known", F.map_concat("v", F.map_from_entries(F.transform("r", lambda x: F.struct(x["review_ref"], F.sha2(x["target"], 256))))))
+    start = F.struct(F.transform_values("v", lambda k, _: k).alias("path"), F.array().cast("array<struct<has_base:boolean,direct_stale:boolean,chain_stale:boolean,chain:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        base = F.try_element_at(F.col("known"), x["base_ref"])
+        base, path = F.try_element_at(F.col("known"), x["base_ref"]), F.try_element_at(acc["path"], x["base_ref"])
         stale = ~F.coalesce(base == x["base_target_sha256"], F.lit(False))
-        path = F.try_element_at(acc["path"], x["base_ref"])
         fresh = ~stale & path.isNotNull()
         chain = F.when(fresh, F.concat(path, F.lit(">"), x["review_ref"]))
-        row = F.struct(x["review_ref"].alias("review_ref"), stale.alias("direct_stale"), (~fresh).alias("chain_stale"), chain.alias("chain"))
+        row = F.struct(base.isNotNull().alias("has_base"), stale.alias("direct_stale"), (~fresh).alias("chain_stale"), chain.alias("chain"))
         paths = F.when(fresh, F.map_concat(acc["path"], F.create_map(x["review_ref"], F.coalesce(chain, F.lit(""))))).otherwise(acc["path"])
         return F.struct(paths.alias("path"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    return both.select(*KEYS, F.inline(F.aggregate("r", start, step)["out"]))
+    folded = both.select(*KEYS, F.explode(F.arrays_zip("r", F.aggregate("r", start, step)["out"].alias("out"))).alias("x"))
+    return folded.select(*KEYS, *(F.col(f"x.r.{c}").alias(c) for c in rest), "x.out.*")
 
 
 def newest(candidates: DataFrame) -> DataFrame:

@@ -21,5 +21,5 @@ QUERIES = {
     # JN24
     "staged_overlay": lambda d: "SELECT p.doc_id, p.record_id, coalesce(CASE WHEN p.record_pos % 6 = 0 THEN concat(p.source, ' S') END, p.target) AS target FROM v_progress p",
     # FI10: base of a review of pass 2
-    "review_base": lambda d: "SELECT e.doc_id, e.record_id, e.ref AS active_base, r.review_ref AS pass_base FROM v_effective e LEFT JOIN (SELECT doc_id, record_pos, min_by(review_ref, -run_number) AS review_ref FROM v_stale WHERE pass_number = 1 AND status = 'accepted' AND NOT chain_stale GROUP BY doc_id, record_pos) r ON r.doc_id = e.doc_id AND r.record_pos = e.record_pos",
+    "review_base": lambda d: "SELECT e.doc_id, e.record_id, e.ref AS active_base, r.review_ref AS pass_base FROM v_effective e LEFT JOIN (SELECT doc_id, record_pos, min_by(review_ref, -run_number) AS review_ref FROM v_chains WHERE pass_number = 1 AND status = 'accepted' AND NOT chain_stale GROUP BY doc_id, record_pos) r ON r.doc_id = e.doc_id AND r.record_pos = e.record_pos",
 }

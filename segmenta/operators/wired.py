@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from segmenta.operators import records as R
 from segmenta.operators import terms as T
-from segmenta.sources import texts
+from segmenta.sources import segments, texts
 from segmenta.sources.views import GLOSSARY, LEFTOVERS
 
 Over = Callable[[str], DataFrame]
@@ -137,7 +137,7 @@ FRAMES: dict[str, Callable[[SparkSession, Over], DataFrame]] = {
     # SC4
     "xhtml_blocks": lambda spark, over: texts.explode_texts(over("SELECT page_id, html FROM pages"), {"page_id": "long"}, ["html"], {"element": "string", "block": "string", "tags": "array<string>"}, texts.xhtml_blocks),
     # PR7, PR8
-    "sentence_segments": lambda spark, over: texts.explode_texts(over("SELECT doc_id, text, lang FROM documents"), {"doc_id": "long"}, ["text", "lang"], {"sentence": "string"}, lambda t, lang: [(s,) for s in texts.sentences(t, lang)]),
+    "sentence_segments": lambda spark, over: texts.explode_texts(over("SELECT doc_id, text, lang FROM documents"), {"doc_id": "long"}, ["text", "lang"], {"sentence": "string"}, lambda t, lang: [(s,) for s in segments.sentences(t, lang)]),
     # PR1, PR5
     "hidden_inline": lambda spark, over: texts.explode_texts(over("SELECT page_id, html FROM pages"), {"page_id": "long"}, ["html"], {"token_count": "long", "hidden_chars": "long", "restored": "string"}, lambda t: [(len(k), len(t) - len(h), texts.restore(h, k)) for h, k in [texts.hide_inline(t)]]).select("page_id", (F.col("token_count") > 0).alias("hides"), F.sha2("restored", 256).alias("restored_sha256")),
 }

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 
 class Spark:
+    #: Words of a WITH clause: that views may be recursive, and that each is computed once.
+    RECURSIVE, ONCE = "", ""
+    ANTI = "LEFT ANTI JOIN"
+
     def rx(self, pattern: str) -> str:
         return "r'" + pattern + "'"
 
@@ -16,6 +20,16 @@ class Spark:
     def replace_all(self, text: str, pattern: str, by: str) -> str:
         return f"regexp_replace({text}, {self.rx(pattern)}, '{by}')"
 
+    def group(self, n: int) -> str:
+        """A group of the pattern in the text that replaces it."""
+        return f"${n}"
+
+    def struct(self, **fields: str) -> str:
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+
+    def array(self, *items: str) -> str:
+        return "array(" + ", ".join(items) + ")"
+
     def sha(self, text: str) -> str:
         return f"sha2({text}, 256)"
 
@@ -48,11 +62,18 @@ class Spark:
     def words(self, *values: str) -> str:
         return "array(" + ", ".join(f"'{v}'" for v in values) + ")"
 
+    def before(self, text: str, sep: str) -> str:
+        """The text up to the first `sep`, or all of it."""
+        return f"split_part({text}, '{sep}', 1)"
+
     def at(self, needle: str, text: str) -> str:
         return f"instr({text}, {needle})"
 
 
 class Duck(Spark):
+    RECURSIVE, ONCE = "RECURSIVE ", "MATERIALIZED "
+    ANTI = "ANTI JOIN"
+
     def rx(self, pattern: str) -> str:
         return "'" + pattern + "'"
 
@@ -65,6 +86,15 @@ class Duck(Spark):
     def replace_all(self, text: str, pattern: str, by: str) -> str:
         return f"regexp_replace({text}, {self.rx(pattern)}, '{by}', 'g')"
 
+    def group(self, n: int) -> str:
+        return f"\\{n}"
+
+    def struct(self, **fields: str) -> str:
+        return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
+
+    def array(self, *items: str) -> str:
+        return "[" + ", ".join(items) + "]"
+
     def sha(self, text: str) -> str:
         return f"sha256({text})"
 
@@ -100,9 +130,8 @@ class Duck(Spark):
 SPARK, DUCK = Spark(), Duck()
 
 # The white space that trimming takes, and what counts as a word.
-TRIM = r"^\s+|\s+$"
+TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
 LETTER = r"[\p{L}\p{Nl}\p{No}]"
 WORD = rf"{LETTER}+(?:[\x27’\-]{LETTER}+)*|\p{{Nd}}+(?:[.,]\p{{Nd}}+)?"
-SENTENCE = r"[^.!?\n]+[.!?]*"
 TOKEN = r"__(?:NAME|TAG)_\d+__"
 HYPHENATED = rf"{LETTER}+(?:-{LETTER}+)+"

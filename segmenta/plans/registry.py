@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segmenta.operators import extract, gates, glossary, mining, progress, state, validate, wired
+from segmenta.operators import extract, gates, glossary, mining, progress, records, state, validate, wired
 from segmenta.plans.dialect import DUCK, SPARK
-from segmenta.sources.views import with_views
+from segmenta.plans.shared import written
+from segmenta.sources.views import named, times, with_views
 from segmenta.streaming import windows
 
 TABLES = ("documents", "pages", "labels", "conversations", "benchmark", "embeddings", "events")
@@ -17,20 +18,32 @@ SQL = extract.QUERIES | state.QUERIES | validate.QUERIES | glossary.QUERIES | pr
 FRAMES = gates.FRAMES | wired.FRAMES
 
 
+#: Reads of the sentences from which on a query segments the texts once, into the shared folder.
+STORED_FROM = 3
+
+
 def plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named query over the Parquet tables of a folder."""
     return over(spark, sf_dir, SQL[name](SPARK))
 
 
-def over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """SQL over a folder's tables and the logical views; only tables that it names are opened."""
-    sql = with_views(sql, SPARK)
-    frames = {}
+def over(spark: SparkSession, sf_dir: str, sql: str, kept: dict[str, DataFrame] | None = None) -> DataFrame:
+    """SQL over a folder's tables and the logical views; only tables that it names are opened.
+
+    kept: views that one query has computed already, shared by its parts.
+    """
+    kept = {} if kept is None else kept
+    names = named(sql, SPARK)
+    if "v_sentences" not in kept and "v_sentences" in names and times(sql, SPARK, "v_sentences") >= STORED_FROM:
+        kept["v_sentences"] = written(over(spark, sf_dir, "SELECT * FROM v_sentences"), "sentences")
+    if "v_chains" not in kept and "v_chains" in names:
+        kept["v_chains"] = records.chains(over(spark, sf_dir, "SELECT * FROM v_reviews", kept), over(spark, sf_dir, "SELECT * FROM v_candidates", kept))
+    sql = with_views(sql, SPARK, kept.keys())
     for t in TABLES:
         if re.search(rf"\b{t}\b", sql):
-            frames[t] = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    for t, frame in frames.items():
-        frame.createOrReplaceTempView(t)
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    for name, frame in kept.items():
+        frame.createOrReplaceTempView(name)
     return spark.sql(sql)
 
 
@@ -39,7 +52,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         return lambda spark, sf_dir: plan(spark, sf_dir, name)
 
     def framed(make: Callable) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: make(spark, lambda sql: over(spark, sf_dir, sql))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            kept: dict[str, DataFrame] = {}
+            return make(spark, lambda sql: over(spark, sf_dir, sql, kept))
+
+        return run
 
     return {name: one(name) for name in SQL} | {name: framed(make) for name, make in FRAMES.items()} | windows.QUERIES
 

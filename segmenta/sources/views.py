@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 
-from segmenta.plans.dialect import LETTER, SENTENCE, WORD, Spark
+from segmenta.plans.dialect import LETTER, WORD, Spark
+from segmenta.sources import segments
 
 # A glossary with required, forbidden, overlapping and unenforced entries.
 GLOSSARY = [(0, "the", "le", "trash", "error"), (1, "of the", "du", "de le", "error"), (2, "under", "sous", "", "warn"), (3, "that", "que", "trash", "warn"), (4, "erer", "", "", "off"), (5, "with", "avec", "worthless", "error")]
@@ -21,13 +22,18 @@ EMPTY = "x <> ''"
 DRIFT = "'drift'"
 
 
+def v_sentences(d: Spark) -> str:
+    """Sentences of documents, numbered: the only view that segments texts."""
+    pieces = d.elements("documents", "doc_id, source AS profile, lang", d.trimmed(segments.split(d, "coalesce(text, '')", "coalesce(lang, 'en')")), EMPTY)
+    return f"SELECT doc_id, profile, lang, pos AS record_pos, piece AS source, {d.size(d.matches('piece', WORD))} AS source_words FROM ({pieces}) p"
+
+
 def v_records(d: Spark) -> str:
-    pieces = d.elements("documents", "doc_id, source AS profile, lang", d.trimmed(d.matches("coalesce(text, '')", SENTENCE)), EMPTY)
     return (
-        f"SELECT doc_id, profile, lang, pos AS record_pos, piece AS source, {d.size(d.matches('piece', WORD))} AS source_words, {d.sha('piece')} AS source_sha256, "
-        "lpad(CAST(CAST(floor(pos / 50) AS BIGINT) + 1 AS STRING), 4, '0') AS chunk_id, "
-        "concat(lpad(CAST(CAST(floor(pos / 50) AS BIGINT) + 1 AS STRING), 4, '0'), '-', lpad(CAST(pos % 50 + 1 AS STRING), 6, '0')) AS record_id, "
-        f"CAST(floor(pos / 20) AS BIGINT) + 1 AS chapter_no FROM ({pieces}) p"
+        f"SELECT doc_id, profile, lang, record_pos, source, source_words, {d.sha('source')} AS source_sha256, "
+        "lpad(CAST(CAST(floor(record_pos / 50) AS BIGINT) + 1 AS STRING), 4, '0') AS chunk_id, "
+        "concat(lpad(CAST(CAST(floor(record_pos / 50) AS BIGINT) + 1 AS STRING), 4, '0'), '-', lpad(CAST(record_pos % 50 + 1 AS STRING), 6, '0')) AS record_id, "
+        "CAST(floor(record_pos / 20) AS BIGINT) + 1 AS chapter_no FROM v_sentences"
     )
 
 
@@ -37,24 +43,36 @@ def v_spans(d: Spark) -> str:
 
 
 def v_candidates(d: Spark) -> str:
-    return (
-        "SELECT doc_id, profile, record_pos, record_id, chapter_no, chunk_id, source, source_words, 1 AS version, 1 AS subversion, '1.1' AS version_ref, source AS target, CASE WHEN record_pos % 17 = 0 THEN 'rejected' ELSE 'accepted' END AS status FROM v_records WHERE record_pos % 3 <> 0 "
-        "UNION ALL SELECT doc_id, profile, record_pos, record_id, chapter_no, chunk_id, source, source_words, 1, 2, '1.2', concat(source, ' B'), CASE WHEN record_pos % 17 = 0 THEN 'rejected' ELSE 'accepted' END FROM v_records WHERE record_pos % 3 <> 0 AND record_pos % 4 = 0 "
-        "UNION ALL SELECT doc_id, profile, record_pos, record_id, chapter_no, chunk_id, source, source_words, 1, 10, '1.10', concat(source, ' C'), CASE WHEN record_pos % 17 = 0 THEN 'rejected' ELSE 'accepted' END FROM v_records WHERE record_pos % 3 <> 0 AND record_pos % 28 = 0"
-    )
+    """Versions 1.1, 1.2 and 1.10 of translated records, from one scan of them."""
+    made = ((1, "true", "source"), (2, "record_pos % 4 = 0", "concat(source, ' B')"), (10, "record_pos % 28 = 0", "concat(source, ' C')"))
+    versions = d.array(*(f"CASE WHEN {where} THEN {d.struct(subversion=str(n), version_ref=f"'1.{n}'", target=target)} END" for n, where, target in made))
+    keys = "doc_id, profile, record_pos, record_id, chapter_no, chunk_id, source, source_words"
+    rows = d.elements("(SELECT * FROM v_records WHERE record_pos % 3 <> 0) r", keys, versions, "x IS NOT NULL")
+    return f"SELECT {keys}, 1 AS version, piece.subversion AS subversion, piece.version_ref AS version_ref, piece.target AS target, CASE WHEN record_pos % 17 = 0 THEN 'rejected' ELSE 'accepted' END AS status FROM ({rows}) v"
 
 
 def v_store(d: Spark) -> str:
-    return f"SELECT doc_id, profile, record_pos, record_id, chunk_id, chapter_no, source, source_words, CASE WHEN record_pos % 8 = 0 THEN '1.2' ELSE '1.1' END AS active_version, CASE WHEN record_pos % 41 = 0 THEN {d.sha(DRIFT)} ELSE source_sha256 END AS source_sha256, CASE WHEN record_pos % 20 = 0 THEN 'R2.1' WHEN record_pos % 10 = 0 THEN 'R1.2' WHEN record_pos % 5 = 0 THEN 'R1.1' END AS active_review FROM v_records WHERE record_pos % 3 <> 0"
+    """Translated records; some hold another source's hash, some name a version that is not there or stand in another chunk."""
+    return (
+        "SELECT doc_id, profile, record_pos, record_id, CASE WHEN record_pos % 43 = 0 THEN '0000' ELSE chunk_id END AS chunk_id, chapter_no, source, source_words, "
+        f"CASE WHEN record_pos % 37 = 0 THEN '9.9' WHEN record_pos % 8 = 0 THEN '1.2' ELSE '1.1' END AS active_version, CASE WHEN record_pos % 41 = 0 THEN {d.sha(DRIFT)} ELSE source_sha256 END AS source_sha256, "
+        "CASE WHEN record_pos % 25 = 0 THEN 'R1.3' WHEN record_pos % 20 = 0 THEN 'R2.1' WHEN record_pos % 10 = 0 THEN 'R1.2' WHEN record_pos % 5 = 0 THEN 'R1.1' WHEN record_pos % 47 = 1 THEN 'R9.9' END AS active_review FROM v_records WHERE record_pos % 3 <> 0"
+    )
 
 
 def v_reviews(d: Spark) -> str:
-    def one(ref: str, pass_no: int, run: int, kind: str, base: str, base_target: str, every: int) -> str:
-        return f"SELECT doc_id, record_pos, record_id, chapter_no, '{ref}' AS review_ref, {pass_no} AS pass_number, {run} AS run_number, '{kind}' AS base_kind, '{base}' AS base_ref, {base_target} AS base_target_sha256, concat(source, ' {ref}') AS target, CASE WHEN record_pos % 35 = 0 THEN 'rejected' ELSE 'accepted' END AS status FROM v_records WHERE record_pos % 3 <> 0 AND record_pos % {every} = 0"
-
+    """Reviews on a version or on another review, from one scan. R1.1 is stale where R1.3, on the same version, is fresh."""
     wrong = d.sha("'wrong'")
-    first = f"CASE WHEN record_pos % 25 = 0 THEN {wrong} ELSE source_sha256 END"
-    return " UNION ALL ".join([one("R1.1", 1, 1, "version", "1.1", first, 5), one("R1.2", 1, 2, "review", "R1.1", d.sha("concat(source, ' R1.1')"), 10), one("R2.1", 2, 1, "review", "R1.2", d.sha("concat(source, ' R1.2')"), 20)])
+    made = [
+        ("R1.1", 1, 1, "version", "1.1", f"CASE WHEN record_pos % 25 = 0 THEN {wrong} ELSE source_sha256 END", 5),
+        ("R1.2", 1, 2, "review", "R1.1", f"CASE WHEN record_pos % 70 = 10 THEN {wrong} ELSE {d.sha("concat(source, ' R1.1')")} END", 10),
+        ("R1.3", 1, 3, "version", "1.1", "source_sha256", 25),
+        ("R2.1", 2, 1, "review", "R1.2", d.sha("concat(source, ' R1.2')"), 20),
+    ]
+    reviews = d.array(*(f"CASE WHEN record_pos % {every} = 0 THEN {d.struct(review_ref=f"'{ref}'", pass_number=str(p), run_number=str(run), base_kind=f"'{kind}'", base_ref=f"'{base}'", base_target_sha256=sha)} END" for ref, p, run, kind, base, sha, every in made))
+    rows = d.elements("(SELECT * FROM v_records WHERE record_pos % 3 <> 0) r", "doc_id, record_pos, record_id, chapter_no, source", reviews, "x IS NOT NULL")
+    fields = ", ".join(f"piece.{f} AS {f}" for f in "review_ref pass_number run_number base_kind base_ref base_target_sha256".split())
+    return f"SELECT doc_id, record_pos, record_id, chapter_no, {fields}, concat(source, ' ', piece.review_ref) AS target, CASE WHEN record_pos % 35 = 0 THEN 'rejected' ELSE 'accepted' END AS status FROM ({rows}) v"
 
 
 def v_legacy(d: Spark) -> str:
@@ -62,25 +80,23 @@ def v_legacy(d: Spark) -> str:
 
 
 def v_ledger(d: Spark) -> str:
-    return "SELECT '1.1' AS version_ref"
-
+    """The versions that each profile has registered; some have 1.1 only."""
+    versions = f"CASE WHEN length(profile) % 2 = 0 THEN {d.words('1.1', '1.2')} ELSE {d.words('1.1')} END"
+    return f"SELECT profile, piece AS version_ref FROM ({d.elements('(SELECT DISTINCT source AS profile FROM documents) p', 'profile', versions)}) v"
 
-def v_bases(d: Spark) -> str:
-    """What a review may stand on: versions and reviews under their refs, which never coincide."""
-    return f"SELECT doc_id, record_pos, version_ref AS ref, target AS base_target, {d.sha('target')} AS base_sha, CAST(NULL AS STRING) AS second_ref FROM v_candidates UNION ALL SELECT doc_id, record_pos, review_ref, target, {d.sha('target')}, base_ref FROM v_reviews"
 
+def v_chains(d: Spark) -> str:
+    """Reviews with direct_stale, chain_stale and has_base, for DuckDB: what is fresh is reached from the versions, base by base.
 
-def v_chain(d: Spark) -> str:
-    """Reviews with direct staleness; chains are at most three long here."""
-    return (
-        "SELECT r.*, b.base_target, b.base_sha IS NULL OR b.base_sha <> r.base_target_sha256 AS direct_stale, b.second_ref FROM v_reviews r "
-        "LEFT JOIN v_bases b ON b.doc_id = r.doc_id AND b.record_pos = r.record_pos AND b.ref = r.base_ref"
+    In Spark the view is `records.chains`, see `registry`.
+    """
+    base = f"SELECT doc_id, record_pos, version_ref AS ref, {d.sha('target')} AS sha FROM v_candidates UNION ALL SELECT doc_id, record_pos, review_ref, {d.sha('target')} FROM v_reviews"
+    direct = f"SELECT r.*, b.ref IS NOT NULL AS has_base, coalesce(b.sha <> r.base_target_sha256, true) AS direct_stale FROM v_reviews r LEFT JOIN ({base}) b ON b.doc_id = r.doc_id AND b.record_pos = r.record_pos AND b.ref = r.base_ref"
+    fresh = (
+        f"WITH RECURSIVE direct AS MATERIALIZED ({direct}), fresh AS (SELECT doc_id, record_pos, review_ref FROM direct WHERE NOT direct_stale AND base_kind = 'version' "
+        "UNION ALL SELECT n.doc_id, n.record_pos, n.review_ref FROM direct n JOIN fresh f ON f.doc_id = n.doc_id AND f.record_pos = n.record_pos AND f.review_ref = n.base_ref WHERE NOT n.direct_stale)"
     )
-
-
-def v_stale(d: Spark) -> str:
-    """A review is stale if it or any ancestor is: a running OR along (pass, run)."""
-    return "SELECT *, max(CASE WHEN direct_stale THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, record_pos ORDER BY pass_number, run_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 1 AS chain_stale FROM v_chain"
+    return f"{fresh} SELECT d.*, f.review_ref IS NULL AS chain_stale FROM direct d LEFT JOIN fresh f ON f.doc_id = d.doc_id AND f.record_pos = d.record_pos AND f.review_ref = d.review_ref"
 
 
 def v_effective(d: Spark) -> str:
@@ -90,7 +106,7 @@ def v_effective(d: Spark) -> str:
         "CASE WHEN r.status = 'accepted' AND NOT r.chain_stale THEN r.review_ref WHEN c.target IS NOT NULL THEN s.active_version END AS ref, "
         "CASE WHEN r.status = 'accepted' AND NOT r.chain_stale THEN r.target ELSE c.target END AS target FROM v_store s "
         "LEFT JOIN v_candidates c ON c.doc_id = s.doc_id AND c.record_pos = s.record_pos AND c.version_ref = s.active_version "
-        "LEFT JOIN v_stale r ON r.doc_id = s.doc_id AND r.record_pos = s.record_pos AND r.review_ref = s.active_review"
+        "LEFT JOIN v_chains r ON r.doc_id = s.doc_id AND r.record_pos = s.record_pos AND r.review_ref = s.active_review"
     )
 
 
@@ -111,19 +127,36 @@ def v_tokens(d: Spark) -> str:
     return f"SELECT doc_id, profile, record_pos, record_id, chapter_no, pos AS token_pos, piece AS token FROM ({d.elements('v_records', 'doc_id, profile, record_pos, record_id, chapter_no', d.matches('source', LETTER + '+'))}) t"
 
 
-VIEWS = {f.__name__: f for f in (v_records, v_spans, v_candidates, v_store, v_reviews, v_legacy, v_ledger, v_bases, v_chain, v_stale, v_effective, v_progress, v_glossary, v_tokens)}
+VIEWS = {f.__name__: f for f in (v_sentences, v_records, v_spans, v_candidates, v_store, v_reviews, v_legacy, v_ledger, v_chains, v_effective, v_progress, v_glossary, v_tokens)}
 
 
-def with_views(sql: str, d: Spark) -> str:
-    """The query behind the views that it names, in order of need."""
+def with_views(sql: str, d: Spark, given: frozenset[str] | set[str] = frozenset()) -> str:
+    """The query behind the views that it names, in order of need; `given` views are there already."""
     text: dict[str, str] = {}
 
     def need(body: str) -> None:
         for name in re.findall(r"\bv_\w+", body):
-            if name in VIEWS and name not in text:
+            if name in VIEWS and name not in text and name not in given:
                 view = VIEWS[name](d)
                 need(view)
                 text[name] = view
 
     need(sql)
-    return ("WITH " + ",\n".join(f"{k} AS ({v})" for k, v in text.items()) + "\n" if text else "") + sql
+    return (f"WITH {d.RECURSIVE}" + ",\n".join(f"{k} AS {d.ONCE}({v})" for k, v in text.items()) + "\n" if text else "") + sql
+
+
+def named(sql: str, d: Spark) -> set[str]:
+    """The views that the query needs, by whatever way."""
+    found: set[str] = set()
+    todo = [sql]
+    while todo:
+        for name in re.findall(r"\bv_\w+", todo.pop()):
+            if name in VIEWS and name not in found:
+                found.add(name)
+                todo.append(VIEWS[name](d))
+    return found
+
+
+def times(sql: str, d: Spark, view: str) -> int:
+    """How often a plan reads the view, if no view is computed once for all."""
+    return sum(1 if name == view else times(VIEWS[name](d), d, view) for name in re.findall(r"\bv_\w+", sql) if name in VIEWS)

@@ -7,12 +7,11 @@ window and type, and reads the written table.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segmenta.plans.shared import shared_path
+
 LATE = "10 minutes"
 WIDTH = "1 hour"
 
@@ -24,17 +23,10 @@ def windowed(events: DataFrame, late: str = LATE, width: str = WIDTH) -> DataFra
     return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "events", "top_value", "first_id")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a local one only where the session names none."""
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    return sc.getConf().get("spark.checkpoint.dir") or (held.get() if held.isDefined() else tempfile.mkdtemp(prefix="segmenta-"))
-
-
 def counted(spark: SparkSession, path: str) -> DataFrame:
     """Windowed counts of all events that lie at `path` (a file or folder) now; each batch replaces the table."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    place = shared_path(spark, "stream")
     # a pattern: a stream takes a plain path for a folder, and the table may be a single file
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 

@@ -56,7 +56,9 @@ def test_inline_rule_over_the_table(spark):
 
 
 def test_invalid_files(spark):
-    assert sorted(r["file_no"] for r in registry.queries()["rule_invalid_json"](spark, SF).collect()) == [2, 3, 4, 5, 6, 7, 8]
+    chunks = registry.queries()["chunk_packing"](spark, SF).select("doc_id", "chunk_id").collect()
+    found = {(r["doc_id"], r["chunk_id"]) for r in registry.queries()["rule_invalid_json"](spark, SF).collect()}
+    assert found == {(r["doc_id"], r["chunk_id"]) for r in chunks if (r["doc_id"] + int(r["chunk_id"])) % 8}
 
 
 def test_windows_leave_out_events_without_time(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from segmenta.operators import records as R
 from segmenta.operators import terms as T
-from segmenta.sources import texts
+from segmenta.sources import segments, texts
 
 ENTRIES = [T.Entry("the", target="le", require=True, forbidden=("trash",)), T.Entry("of the", ("of  the",), "du", forbidden=("de le",), enforce="warn"), T.Entry("Wasp", target="Wespe", require=True, case_sensitive=True), T.Entry("C++", target="C++", require=True), T.Entry("day", enforce="off", require=True, target="Tag")]
 
@@ -211,7 +211,7 @@ def test_hidden_inline_is_restored():
     ],
 )
 def test_sentences(text, language, want):
-    assert texts.sentences(text, language) == want
+    assert segments.sentences(text, language) == want
 
 
 def test_submissions():
