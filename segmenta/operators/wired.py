@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from segmenta.operators import records as R
 from segmenta.operators import terms as T
-from segmenta.sources import segments, texts
+from segmenta.sources import segments, texts, xhtml
 from segmenta.sources.views import GLOSSARY, LEFTOVERS
 
 Over = Callable[[str], DataFrame]
@@ -59,6 +59,24 @@ def parsed(df: DataFrame, parse: Callable) -> DataFrame:
     return rows.select("doc_id", "record_id", "target", "error")
 
 
+def rebuilt_both(rows: DataFrame, key: str, same, target) -> DataFrame:
+    """The texts rebuilt as they were and with targets, from one reading of the spans."""
+    both = F.struct(F.concat("before", F.coalesce(same, F.lit(""))).alias("same"), F.concat("before", F.coalesce(target, F.lit(""))).alias("target"))
+    whole = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", both.alias("b")))).alias("p"))
+    return whole.select(key, F.sha2(F.array_join("p.b.same", ""), 256).alias("same_sha256"), F.sha2(F.array_join("p.b.target", ""), 256).alias("translated_sha256"))
+
+
+def translated_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose blocks come back with a mark at either end."""
+
+    def rows(page: str) -> list[tuple]:
+        found = [(before, xhtml.refill(f"«{block}»", tokens, tags, xhtml_forms) if block is not None else "") for block, before, tokens, tags, xhtml_forms in xhtml.with_forms(page)]
+        return found
+
+    made = texts.explode_texts(pages, {"doc_id": "long"}, ["text"], {"before": "string", "content": "string"}, rows)
+    return texts.rebuilt(made, ["doc_id"], F.col("content")).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 def json_lines(ordered):
     return F.concat(F.lit('{"records": ['), F.array_join(ordered, ", "), F.lit("]}"))
 
@@ -133,7 +151,16 @@ FRAMES: dict[str, Callable[[SparkSession, Over], DataFrame]] = {
     # SC21
     "judge_submission_parse": lambda spark, over: parsed(submitted(over, "concat('## ', record_id, '\\nDECISION: copy\\nTARGET:\\n', source, '\\n')", lambda x: F.array_join(x, "\n")), lambda t: [(i, target, d) for i, d, target in texts.judge_submission(t)]).withColumnRenamed("error", "decision"),
     # SC2, SC3
-    "markdown_blocks": lambda spark, over: texts.explode_texts(over("SELECT doc_id, text FROM documents"), {"doc_id": "long"}, ["text"], {"kind": "string", "block": "string"}, texts.markdown_blocks),
+    "markdown_blocks": lambda spark, over: texts.markdown_spans(over("SELECT * FROM v_markdown"), {"doc_id": "long"}, "text").where("kind <> 'tail'").select("doc_id", "pos", "kind", "block"),
+    # PR11, SK2: the text put together again from its spans, as they were and translated
+    "markdown_rebuild": lambda spark, over: rebuilt_both(texts.markdown_spans(over("SELECT * FROM v_markdown"), {"doc_id": "long"}, "text"), "doc_id", texts.relined(F.col("block"), F.col("joints")), texts.relined(F.concat(F.lit("«"), "block", F.lit("»")), F.col("joints"))),
+    "document_rebuild_markdown": lambda spark, over: texts.rebuilt(texts.markdown_spans(over("SELECT doc_id, text FROM documents"), {"doc_id": "long"}, "text"), ["doc_id"], texts.relined(F.col("block"), F.col("joints"))).select("doc_id", F.sha2("text", 256).alias("text_sha256")),
+    # SC4, PR12
+    "xhtml_made_blocks": lambda spark, over: texts.xhtml_spans(over("SELECT * FROM v_xhtml"), {"doc_id": "long"}, "text").where("element <> 'tail'").select("doc_id", "pos", "element", "block", F.array_join("tags", "|").alias("tags")),
+    "xhtml_rebuild": lambda spark, over: texts.rebuilt(texts.xhtml_spans(over("SELECT page_id, html FROM pages"), {"page_id": "long"}, "html"), ["page_id"], F.col("content")).select("page_id", F.sha2("text", 256).alias("html_sha256")),
+    "xhtml_translated": lambda spark, over: translated_pages(over("SELECT * FROM v_xhtml")),
+    # PR1, PR3, PR5
+    "inline_tokens": lambda spark, over: texts.explode_texts(over("SELECT doc_id, span_index, line FROM v_inline"), {"doc_id": "long", "span_index": "long"}, ["line"], {"hidden": "string", "tokens": "string", "restored": "string"}, lambda t: [(h, "|".join(f"{a}={b}" for a, b in k), texts.restore(h, k)) for h, k in [texts.hide_inline(t)]]).drop("pos"),
     # SC4
     "xhtml_blocks": lambda spark, over: texts.explode_texts(over("SELECT page_id, html FROM pages"), {"page_id": "long"}, ["html"], {"element": "string", "block": "string", "tags": "array<string>"}, texts.xhtml_blocks),
     # PR7, PR8
@@ -210,7 +237,31 @@ _RISK = f"""SELECT normalized, bucket, kind, CAST(size AS INT) AS token_count, o
 _FRESH = "WITH RECURSIVE f AS (SELECT doc_id, record_pos, version_ref AS ref, version_ref AS chain, sha256(target) AS sha FROM v_candidates UNION ALL SELECT r.doc_id, r.record_pos, r.review_ref, f.chain || '>' || r.review_ref, sha256(r.target) FROM v_reviews r JOIN f ON f.doc_id = r.doc_id AND f.record_pos = r.record_pos AND f.ref = r.base_ref AND f.sha = r.base_target_sha256) SELECT * FROM f"
 _POS = "CAST(substr(record_id, 1, 4) AS BIGINT) * 50 - 50 + CAST(substr(record_id, 6) AS BIGINT) - 1"
 
+
+
+def _turns(lists: list[str]) -> str:
+    """Blocks of v_markdown or v_xhtml as the turns of their making say: a list of structs for each line, numbered within the document."""
+    cases = " ".join(f"WHEN {k} THEN [{items}]" for k, items in enumerate(lists) if items)
+    return f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY span_index, k) - 1 AS pos, b FROM (SELECT doc_id, span_index, unnest(range(len(l))) AS k, unnest(l) AS b FROM (SELECT doc_id, span_index, CASE span_index % {len(lists)} {cases} END AS l FROM (SELECT doc_id, span_index, 'x ' || replace(span, '|', '/') || ' x' AS c FROM v_spans) s) t WHERE l IS NOT NULL) u"
+
+
+def _block(kind: str, text: str, tags: str = "") -> str:
+    return f"{{'kind': '{kind}', 'block': {text}, 'tags': '{tags}'}}"
+
+
+_FOLDED = r"regexp_replace(c, '[ \t\n\f\r]+', ' ', 'g')"
+_MARKDOWN = _turns([_block("heading", "c"), _block("quote", "c || chr(10) || 'more'"), _block("item", "c || chr(10) || 'two'"), "", ", ".join([_block("cell", "'a'"), _block("cell", "c"), _block("cell", "'b'")]), "", _block("paragraph", "c"), _block("paragraph", "c")])
+_XHTML = _turns([_block("p", _FOLDED), _block("h2", _FOLDED), _block("li", f"'a __TAG_001__' || {_FOLDED} || '__TAG_002____TAG_003__z'", "<b>|</b>|<br/>"), _block("p", f"'x __TAG_001__ ' || {_FOLDED}", "<code>k<i>j</i></code>"), "", _block("td", f"{_FOLDED} || '__TAG_001__ & so'", "<!-- note -->")])
+_TAGS = [f"'__TAG_00' || (CASE WHEN span_index % 7 = 0 THEN {k + 1} ELSE {k} END)::VARCHAR || '__'" for k in range(1, 5)]
+
 ORACLES: dict[str, str] = {
+    "markdown_blocks": f"SELECT doc_id, pos, b.kind AS kind, b.block AS block FROM ({_MARKDOWN}) m",
+    "markdown_rebuild": "SELECT m.doc_id, sha256(m.text) AS same_sha256, sha256(t.text) AS translated_sha256 FROM v_markdown m JOIN v_markdown_translated t ON t.doc_id = m.doc_id",
+    "document_rebuild_markdown": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+    "xhtml_made_blocks": f"SELECT doc_id, pos, b.kind AS element, b.block AS block, b.tags AS tags FROM ({_XHTML}) m",
+    "xhtml_rebuild": "SELECT page_id, sha256(coalesce(html, '')) AS html_sha256 FROM pages",
+    "xhtml_translated": "SELECT doc_id, sha256(text) AS text_sha256 FROM v_xhtml_translated",
+    "inline_tokens": f"SELECT doc_id, span_index, CASE WHEN span_index % 7 = 0 THEN '__TAG_001__ ' ELSE '' END || 'a ' || {_TAGS[1]} || ' b [x](' || {_TAGS[0]} || ' \"t\") ' || {_TAGS[3]} || c || {_TAGS[2]} || ' ' || {_TAGS[1]} AS hidden, {_TAGS[0]} || '=http://h/' || n || '|' || {_TAGS[1]} || '=`k' || n || '`|' || {_TAGS[2]} || '=</b>|' || {_TAGS[3]} || '=<b>' AS tokens, line AS restored FROM v_inline",
     "normalised_block": r"SELECT doc_id, span_index, regexp_replace(array_to_string(regexp_extract_all(span, '\S+'), ' '), ' ([.,;:!?])', '\1', 'g') AS block FROM v_spans",
     "term_matches": "SELECT doc_id, record_id, CAST(entry_index AS BIGINT) AS entry_index FROM (" + _applies("v_records") + ") t",
     "rule_alignment_ambiguous": f"SELECT doc_id, record_id, CAST(0 AS BIGINT) AS entry_index FROM v_records WHERE {_has(_OPEN, 'the')} AND {_has(_WIDE, 'of  the')}",

@@ -127,7 +127,64 @@ def v_tokens(d: Spark) -> str:
     return f"SELECT doc_id, profile, record_pos, record_id, chapter_no, pos AS token_pos, piece AS token FROM ({d.elements('v_records', 'doc_id, profile, record_pos, record_id, chapter_no', d.matches('source', LETTER + '+'))}) t"
 
 
-VIEWS = {f.__name__: f for f in (v_sentences, v_records, v_spans, v_candidates, v_store, v_reviews, v_legacy, v_ledger, v_chains, v_effective, v_progress, v_glossary, v_tokens)}
+def _made(d: Spark, kinds: tuple[str, ...], sep: str, mark: str) -> str:
+    """Texts made of each document's lines by turns of `kinds`; {c} is the line, {o} and {e} what a translation puts around it."""
+    o, e = ("«", "»") if mark else ("", "")
+    turns = " ".join(f"WHEN {k} THEN concat({kind.format(c='c', o=f"'{o}'", e=f"'{e}'")})" for k, kind in enumerate(kinds))
+    return f"SELECT doc_id, {d.joined('piece', 'span_index', sep)} AS text FROM (SELECT doc_id, span_index, CASE span_index % {len(kinds)} {turns} END AS piece FROM (SELECT doc_id, span_index, concat('x ', replace(span, '|', '/'), ' x') AS c FROM v_spans) l) m GROUP BY doc_id"
+
+
+#: Markdown of every kind: heading, quote, item, fence, table, HTML, a definition before a paragraph, paragraph.
+MARKDOWN = (
+    "'# ', {o}, {c}, {e}",
+    "'> ', {o}, {c}, '\n> more', {e}",
+    "'- ', {o}, {c}, '\n  two', {e}",
+    "'```\n', {c}, '\n\n', {c}, '\n```'",
+    "'| ', {o}, 'a', {e}, ' | ', {o}, {c}, {e}, ' |\n|---|---|\n| ', {o}, 'b', {e}, ' |  |'",
+    "'<div>\n', {c}, '\n</div>'",
+    "'[r]: http://x.org\n', {o}, {c}, {e}",
+    "{o}, {c}, {e}",
+)
+#: XHTML of every kind: paragraph, heading, item with inline tags, opaque element with a tag inside, script, comment.
+XHTML = (
+    "'<p>', {o}, {c}, {e}, '</p>'",
+    "'<h2 id=\"a\">\n ', {o}, {c}, {e}, '</h2>'",
+    "'<ul><li>', {o}, 'a <b>', {c}, '</b><br/>z', {e}, '</li></ul>'",
+    "'<div><p>', {o}, 'x <code>k<i>j</i></code> ', {c}, {e}, '</p></div>'",
+    "'<script>', {c}, '</script>'",
+    "'<td>', {o}, {c}, '<!-- note -->', ' &amp; so', {e}, '</td>'",
+)
+
+
+def v_markdown(d: Spark) -> str:
+    return _made(d, MARKDOWN, "\n\n", "")
+
+
+def v_markdown_translated(d: Spark) -> str:
+    return _made(d, MARKDOWN, "\n\n", "«»")
+
+
+def _escaped(kinds: tuple[str, ...]) -> tuple[str, ...]:
+    return tuple(k.replace("{c}", "replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')") for k in kinds)
+
+
+def v_xhtml(d: Spark) -> str:
+    return _made(d, _escaped(XHTML), "\n", "")
+
+
+def v_xhtml_translated(d: Spark) -> str:
+    return _made(d, _escaped(XHTML), "\n", "«»")
+
+
+def v_inline(d: Spark) -> str:
+    """Lines with inline code, a link and raw HTML; some hold a token already."""
+    return (
+        "SELECT doc_id, span_index, concat(CASE WHEN span_index % 7 = 0 THEN '__TAG_001__ ' ELSE '' END, 'a `k', n, '` b [x](http://h/', n, ' \"t\") <b>', c, '</b> `k', n, '`') AS line, c, n "
+        f"FROM (SELECT doc_id, span_index, CAST(span_index AS STRING) AS n, {d.replace_all('span', r'[`<>\[\]()_]', '')} AS c FROM v_spans) s"
+    )
+
+
+VIEWS = {f.__name__: f for f in (v_sentences, v_records, v_spans, v_candidates, v_store, v_reviews, v_legacy, v_ledger, v_chains, v_effective, v_progress, v_glossary, v_tokens, v_markdown, v_markdown_translated, v_xhtml, v_xhtml_translated, v_inline)}
 
 
 def with_views(sql: str, d: Spark, given: frozenset[str] | set[str] = frozenset()) -> str:
