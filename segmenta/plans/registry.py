@@ -6,11 +6,13 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from segmenta.operators import extract, gates, glossary, mining, progress, project, records, state, validate, wired
-from segmenta.plans.dialect import DUCK, SPARK
+from segmenta.plans.dialect import DUCK, SPARK, WORD
 from segmenta.plans.shared import written
-from segmenta.sources.views import named, times, with_views
+from segmenta.sources import segments, texts
+from segmenta.sources.views import VIEWS, named, times, with_views
 from segmenta.streaming import windows
 
 TABLES = ("documents", "pages", "labels", "conversations", "benchmark", "embeddings", "events")
@@ -22,6 +24,18 @@ FRAMES = gates.FRAMES | wired.FRAMES | project.FRAMES
 STORED_FROM = 3
 
 
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """v_sentences in Spark: texts segmented in Arrow batches, words counted in the JVM; DuckDB has the same in SQL.
+
+    A table of fewer splits than the cluster has cores is dealt out first; a large one never is.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("profile"), "lang", "text", F.col("lang").alias("tag"))
+    cores = spark.sparkContext.defaultParallelism
+    docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+    rows = texts.explode_texts(docs, {"doc_id": "long", "profile": "string", "lang": "string"}, ["text", "tag"], {"source": "string"}, lambda text, tag: [(s,) for s in segments.sentences(text, tag)])
+    return rows.select("doc_id", "profile", "lang", F.col("pos").alias("record_pos"), "source", F.size(F.regexp_extract_all("source", F.lit(f"({WORD})"), 1)).cast("long").alias("source_words"))
+
+
 def plan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named query over the Parquet tables of a folder."""
     return over(spark, sf_dir, SQL[name](SPARK))
@@ -34,16 +48,18 @@ def over(spark: SparkSession, sf_dir: str, sql: str, kept: dict[str, DataFrame]
     """
     kept = {} if kept is None else kept
     names = named(sql, SPARK)
-    if "v_sentences" not in kept and "v_sentences" in names and times(sql, SPARK, "v_sentences") >= STORED_FROM:
-        kept["v_sentences"] = written(over(spark, sf_dir, "SELECT * FROM v_sentences"), "sentences")
+    if "v_sentences" in names and ("v_sentences" not in kept or times(sql, SPARK, "v_sentences") >= STORED_FROM and "stored" not in kept):
+        kept["v_sentences"] = sentences(spark, sf_dir)
+        if times(sql, SPARK, "v_sentences") >= STORED_FROM:
+            kept["v_sentences"] = kept["stored"] = written(kept["v_sentences"], "sentences")
     if "v_chains" not in kept and "v_chains" in names:
         kept["v_chains"] = records.chains(over(spark, sf_dir, "SELECT * FROM v_reviews", kept), over(spark, sf_dir, "SELECT * FROM v_candidates", kept))
     sql = with_views(sql, SPARK, kept.keys())
     for t in TABLES:
         if re.search(rf"\b{t}\b", sql):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    for name, frame in kept.items():
-        frame.createOrReplaceTempView(name)
+    for name in kept.keys() & set(VIEWS):
+        kept[name].createOrReplaceTempView(name)
     return spark.sql(sql)
 
 

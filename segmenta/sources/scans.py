@@ -122,5 +122,9 @@ def store_findings(files: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def json_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the files of a folder or pattern, one row a file, empty ones too."""
-    return spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("content"))
+    """(path, content) of the files of a pattern, one row a file; empty ones, which Spark's readers pass over, are listed apart."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    listed = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place) or []
+    empty = [(f.getPath().toString(), "") for f in listed if f.isFile() and f.getLen() == 0]
+    rows = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("content"))
+    return rows.unionByName(spark.createDataFrame(empty, "path string, content string"))
