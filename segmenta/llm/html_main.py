@@ -21,9 +21,9 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -137,27 +137,47 @@ def lines_of(page: str) -> tuple[bool, list[str], list[str], list[bool]]:
     return has, inside, outside, prose
 
 
+def _reach(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of `a` and each prefix of `b`, with b's places as the bits of one number."""
+    masks: dict[int, int] = {}
+    for j, x in enumerate(b):
+        masks[x] = masks.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        u = v & masks.get(x, 0)
+        v = (v + u | v - u) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def common(a: list[int], b: list[int]) -> list[int]:
-    """Positions in `a` of a longest common subsequence of both."""
-    places: dict[int, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        places.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    ends: list[tuple[int, tuple | None]] = []
-    for i, x in enumerate(a):
-        for j in places.get(x, ()):
-            k = bisect_left(tails, j)
-            link = (i, ends[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                ends.append(link)
-            else:
-                tails[k], ends[k] = j, link
-    out, link = [], ends[-1] if ends else None
-    while link:
-        out.append(link[0])
-        link = link[1]
-    return out[::-1]
+    """Positions in `a` of a longest common subsequence of both.
+
+    Halves of `a` are met with the parts of `b` where their lengths add up to most (Hirschberg), lengths are found bit-parallel,
+    so repeated lines cost no more than others: memory is linear, time a 64th of the product of what both share.
+    """
+    shared = set(a) & set(b)
+    places = [i for i, x in enumerate(a) if x in shared]
+    out: list[int] = []
+    todo = [(0, [a[i] for i in places], [x for x in b if x in shared])]
+    while todo:
+        at, x, y = todo.pop()
+        start = 0
+        while start < min(len(x), len(y)) and x[start] == y[start]:
+            start += 1
+        end = 0
+        while end < min(len(x), len(y)) - start and x[-1 - end] == y[-1 - end]:
+            end += 1
+        out += [*range(at, at + start), *range(at + len(x) - end, at + len(x))]
+        at, x, y = at + start, x[start : len(x) - end], y[start : len(y) - end]
+        if len(x) == 1:
+            out += [at] if x[0] in y else []
+        elif x and y:
+            half = len(x) // 2
+            k = int(np.argmax(_reach(x[:half], y) + _reach(x[half:][::-1], y[::-1])[::-1]))
+            todo += [(at, x[:half], y[:k]), (at + half, x[half:], y[k:])]
+    return [places[i] for i in sorted(out)]
 
 
 def address(url: str | None) -> tuple[str, str]:

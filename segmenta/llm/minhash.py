@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmenta.llm import simhash
-from segmenta.llm.common import map_batches, small_batches, stored
+from segmenta.llm.common import map_batches, small_batches, spread_join, stored
 from segmenta.llm.components import components
 from segmenta.llm.pivots import runs
 
@@ -131,11 +131,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     texts = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     roots = components(links(texts.select("node", "text"), words, similarity, distance))
-    marked = texts.select(id_col, "node").join(roots, "node", "left").select(id_col, "node", F.coalesce("root", "node").alias("root"))
+    marked = stored(texts.select(id_col, "node").join(roots, "node", "left").select(id_col, "node", F.coalesce("root", "node").alias("root")))
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("node").alias("node"))
-    least = marked.groupBy("root").agg(F.min(order).alias("least"))
+    least = marked.groupBy("root").agg(F.min(order).alias("least"), F.count("*").alias("n"))
     own = F.col(id_col).eqNullSafe(F.col("least")["id"]) & (F.col("node") == F.col("least")["node"])
-    found = marked.join(least, "root").select(id_col, "node", F.xxhash64(id_col, "node").alias("mark"), F.col("least")["id"].alias("component_id"), own.alias("first"))
+    found = spread_join(marked, least, "root", "n", marked.count()).select(id_col, "node", F.xxhash64(id_col, "node").alias("mark"), F.col("least")["id"].alias("component_id"), own.alias("first"))
     return stored(found)
 
 

@@ -9,7 +9,7 @@ double precision. A pair that meets in several lists counts in the first of them
 Lists longer than `block` are dealt into blocks, and each pair of blocks is its own unit of work, so no list
 lands in one task whole. A unit of work returns counts and each vector's least reachable one, never all pairs.
 
-Every vector is indexed; the number of pivots grows with the root of their number, up to MAX_PIVOTS.
+Every vector is indexed; the number of pivots grows with the root of their number, and so do the pivots' bytes, which are broadcast.
 Defined results: null or zero vectors, and those with null, non-finite or missing components, link with
 nothing and are their own component; vectors of different lengths never link; rows with equal vec_id are
 one vector if equal, and never count each other; an empty table gives an empty result.
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from segmenta.llm.common import durable, small_batches
 from segmenta.llm.components import components
 
-MIN_PIVOTS, MAX_PIVOTS = 24, 2048
+MIN_PIVOTS = 24
+#: So many pivots are chosen far from each other; more, where there are over 8 million vectors, as their hashes fall.
+FAR_PIVOTS = 2048
 #: Pivots closer than this would rank linked vectors at random.
 PIVOT_COSINE = 0.8
 
@@ -107,10 +109,12 @@ def link(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosi
     own = rows.select("id")
     if not n:
         return own.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    m = int(min(MAX_PIVOTS, max(MIN_PIVOTS, (n / 2) ** 0.5)))
-    picked = good.orderBy(F.xxhash64("id", "v"), "id").limit(m * sample).collect()
+    m = int(max(MIN_PIVOTS, (n / 2) ** 0.5))
+    far = min(m, FAR_PIVOTS)
+    picked = good.orderBy(F.xxhash64("id", "v"), "id").limit(far * sample + m - far).collect()
     width = max(set(map(len, (r["v"] for r in picked))), key=[len(r["v"]) for r in picked].count)
-    pivots = farthest_first(np.stack([unit(r["v"]) for r in picked if len(r["v"]) == width]), m)
+    units = [unit(r["v"]) for r in picked if len(r["v"]) == width]
+    pivots = np.concatenate([farthest_first(np.stack(units[: far * sample]), far), *(u[None] for u in units[far * sample :])])
     held = spark.sparkContext.broadcast(pivots)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
