@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmenta.llm import bpe, langid, minhash, mixing, pii, queries
-from segmenta.llm.common import crc_mod, stored, table
+from segmenta.llm.common import crc_mod, remove, stored_at, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -60,9 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
-    return docs
+    """The stages one after another; each stage's table goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        docs, path = stored_at(stage(spark, docs, sf_dir))
+        if before:
+            remove(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)
