@@ -88,13 +88,15 @@ class Matcher:
         return out
 
 
-def _each(df: DataFrame, columns: list[str], schema: str, fields: list[str], rows_of) -> DataFrame:
-    """One scan: rows_of(row's columns) gives the rows that follow its key columns."""
+def _each(df: DataFrame, columns: list[str], schema: str, fields: list[str], rows_of, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One scan: rows_of(row's columns) gives the rows that follow its key columns and those to keep."""
+    held = [*KEYS, *keep]
+    schema = ", ".join([_KEY_SCHEMA, *(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep), *schema.split(", ")[len(KEYS) :]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = rows_of()
         for batch in batches:
-            keys, rest = batch.columns[: len(KEYS)], [c.to_pylist() for c in batch.columns[len(KEYS) :]]
+            keys, rest = batch.columns[: len(held)], [c.to_pylist() for c in batch.columns[len(held) :]]
             at, out = [], []
             for k, values in enumerate(zip(*rest, strict=True)):
                 for row in work(*values):
@@ -104,25 +106,25 @@ def _each(df: DataFrame, columns: list[str], schema: str, fields: list[str], row
             made = [pa.array([r[i] for r in out], pa.type_for_alias(t)) for i, t in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([*(c.take(take) for c in keys), *made], names=[n.split()[0] for n in schema.split(", ")])
 
-    return df.select(*KEYS, *columns).mapInArrow(run, schema)
+    return df.select(*held, *columns).mapInArrow(run, schema)
 
 
 _KEY_SCHEMA = "doc_id long, record_pos long, record_id string"
 
 
-def term_spans(records: DataFrame, glossary: list[Entry]) -> DataFrame:
-    """GL1-GL3: every occurrence of every term (entry_index, term, start_at, end_at, shadowed)."""
+def term_spans(records: DataFrame, glossary: list[Entry], keep: tuple[str, ...] = ()) -> DataFrame:
+    """GL1-GL3: every occurrence of every term (entry_index, term, start_at, end_at, shadowed), with the record's columns to keep."""
 
     def make():
         matcher = Matcher(glossary)
         return lambda source: matcher.spans(source or "")
 
-    return _each(records, ["source"], f"{_KEY_SCHEMA}, entry_index long, term string, start_at long, end_at long, shadowed boolean", ["int64", "string", "int64", "int64", "bool"], make)
+    return _each(records, ["source"], f"{_KEY_SCHEMA}, entry_index long, term string, start_at long, end_at long, shadowed boolean", ["int64", "string", "int64", "int64", "bool"], make, keep)
 
 
-def applicable(records: DataFrame, glossary: list[Entry]) -> DataFrame:
+def applicable(records: DataFrame, glossary: list[Entry], keep: tuple[str, ...] = ()) -> DataFrame:
     """GL4: the entries with an unshadowed span, record by record."""
-    return term_spans(records, glossary).where("not shadowed").select(*KEYS, "entry_index").distinct()
+    return term_spans(records, glossary, keep).where("not shadowed").select(*KEYS, *keep, "entry_index").distinct()
 
 
 def glossary_findings(pairs: DataFrame, glossary: list[Entry]) -> DataFrame:
@@ -287,6 +289,20 @@ def phrases(records: DataFrame, common: list[str], longest: int = 4, surface: bo
     return _counted(found, ["normalized", "bucket"], surface).select("*", kind.alias("kind"), F.split("normalized", " ").alias("tokens"))
 
 
+# What features add to a candidate's genericity, and the rarity of so many occurrences at most.
+GENERICITY = {"common": 1.0, "lemma": 1.2, "lemma_in_phrase": 0.5, "dull": 0.8, "dull_each": 0.6, "dull_most": 1.4, "common_first": 0.6, "dull_last": 0.8, "plain_word": 0.4}
+RARITY, COMMONPLACE = {1: 1.6, 2: 1.4, 4: 1.0, 8: 0.7}, 0.3
+# Priorities of kinds, and what form, naming and termhood count.
+PRIORITY = {"hyphenated": 1.6, "world": 1.4, "name": 1.2, "phrase": 0.6, "other": 0.2}
+FORM = {"hyphen": 1.4, "world": 1.2, "included": 1.0, "mixed": 0.8, "title": 0.6}
+NAMING = {"name": 1.6, "title": 0.8}
+TERMHOOD = {"any": 0.4, "phrase": 0.6, "kind": 0.5}
+# The features' weights in the risk, the score's factors, and from what genericity on candidates are dropped.
+RISK = {"priority": 4.0, "rarity": 2.5, "form": 2.0, "naming": 2.0, "termhood": 1.5, "often_most": 2.0, "chapters": 0.5, "chapters_most": 3, "genericity": 3.0, "fragment": 2.0}
+SCORE = {"common": 0.2, "kind": 1.5}
+GENERIC_FROM, DULL_FROM = 1.0, 1.2
+
+
 def scored(candidates: DataFrame, common: list[str], generic: list[str], morphemes: list[str], include: str | None = None, exclude: str | None = None, min_count: int = 2, min_risk: float = 3.0, singletons: bool = True) -> DataFrame:
     """DT7-DT11: features, compatibility score, genericity, rarity, risk and review bucket of each candidate."""
     plain, dull = F.array(*[F.lit(w) for w in common]), F.array(*[F.lit(w) for w in generic])
@@ -314,31 +330,36 @@ def scored(candidates: DataFrame, common: list[str], generic: list[str], morphem
             out = out + F.when(when, value if isinstance(value, Column) else F.lit(value)).otherwise(0.0)
         return out
 
+    g = GENERICITY
     genericity = points(
-        (c("is_common"), 1.0), (c("in_lemmas"), F.when(single, 1.2).otherwise(0.5)), (c("dull_tokens") > 0, F.when(single, 0.8).otherwise(F.least(F.lit(1.4), 0.6 * c("dull_tokens")))),
-        (~single & F.array_contains(plain, F.element_at(token, 1)), 0.6), (~single & F.array_contains(dull, F.element_at(token, -1)), 0.8), (single & (kind == "word"), 0.4),
+        (c("is_common"), g["common"]), (c("in_lemmas"), F.when(single, g["lemma"]).otherwise(g["lemma_in_phrase"])),
+        (c("dull_tokens") > 0, F.when(single, g["dull"]).otherwise(F.least(F.lit(g["dull_most"]), g["dull_each"] * c("dull_tokens")))),
+        (~single & F.array_contains(plain, F.element_at(token, 1)), g["common_first"]), (~single & F.array_contains(dull, F.element_at(token, -1)), g["dull_last"]), (single & (kind == "word"), g["plain_word"]),
     )
-    rarity = F.when(n <= 1, 1.6).when(n == 2, 1.4).when(n <= 4, 1.0).when(n <= 8, 0.7).otherwise(0.3)
-    priority = F.when(kind == "hyphenated_term", 1.6).when(c("included") | c("world"), 1.4).when(name, 1.2).when(kind == "phrase", 0.6).otherwise(0.2)
-    morphology = points((c("has_hyphen"), 1.4), (c("world"), 1.2), (c("included"), 1.0), (bucket == "mixed", 0.8), (bucket == "title", 0.6))
-    naming = points((name, 1.6), (bucket == "title", 0.8))
-    termhood = F.lit(0.4) + points((~single, 0.6), (kind.isin("hyphenated_term", "title_candidate"), 0.5))
+    rarity = F.lit(COMMONPLACE)
+    for most, value in sorted(RARITY.items(), reverse=True):
+        rarity = F.when(n <= most, value).otherwise(rarity)
+    priority = F.when(kind == "hyphenated_term", PRIORITY["hyphenated"]).when(c("included") | c("world"), PRIORITY["world"]).when(name, PRIORITY["name"]).when(kind == "phrase", PRIORITY["phrase"]).otherwise(PRIORITY["other"])
+    form = points((c("has_hyphen"), FORM["hyphen"]), (c("world"), FORM["world"]), (c("included"), FORM["included"]), (bucket == "mixed", FORM["mixed"]), (bucket == "title", FORM["title"]))
+    naming = points((name, NAMING["name"]), (bucket == "title", NAMING["title"]))
+    termhood = F.lit(TERMHOOD["any"]) + points((~single, TERMHOOD["phrase"]), (kind.isin("hyphenated_term", "title_candidate"), TERMHOOD["kind"]))
     fragment = single & (F.length("normalized") <= 1)
-    risk = 4.0 * priority + 2.5 * rarity + 2.0 * morphology + 2.0 * naming + 1.5 * termhood + F.least(F.log1p(n), F.lit(2.0)) + 0.5 * F.least(c("chapters"), F.lit(3)) / 3.0 - 3.0 * c("genericity") - 2.0 * F.when(fragment, 1.0).otherwise(0.0)
-    bonus = F.when(kind.isin("phrase", "title_candidate", "hyphenated_term"), 1.5).otherwise(1.0)
-    score = F.log1p(n) * (1 + F.log1p("chapters")) * F.when(c("is_common"), 0.2).otherwise(1.0) * bonus
+    often, spread = F.least(F.log1p(n), F.lit(RISK["often_most"])), F.least(c("chapters"), F.lit(RISK["chapters_most"])) / float(RISK["chapters_most"])
+    risk = RISK["priority"] * priority + RISK["rarity"] * rarity + RISK["form"] * form + RISK["naming"] * naming + RISK["termhood"] * termhood + often + RISK["chapters"] * spread - RISK["genericity"] * c("genericity") - RISK["fragment"] * F.when(fragment, 1.0).otherwise(0.0)
+    bonus = F.when(kind.isin("phrase", "title_candidate", "hyphenated_term"), SCORE["kind"]).otherwise(1.0)
+    score = F.log1p(n) * (1 + F.log1p("chapters")) * F.when(c("is_common"), SCORE["common"]).otherwise(1.0) * bonus
     df = df.withColumn("genericity", genericity)
-    lone = (kind == "hyphenated_term") | (kind.isin("proper_name", "place_name") & ~c("in_lemmas")) | ((kind == "title_candidate") & (c("genericity") < 1.0) & (c("token_count") <= 2)) | c("world") | c("included") | ((bucket == "mixed") & single)
+    lone = (kind == "hyphenated_term") | (kind.isin("proper_name", "place_name") & ~c("in_lemmas")) | ((kind == "title_candidate") & (c("genericity") < GENERIC_FROM) & (c("token_count") <= 2)) | c("world") | c("included") | ((bucket == "mixed") & single)
     df = df.select("*", rarity.alias("rarity"), risk.alias("risk"), score.alias("score"), (F.lit(singletons) & (n == 1) & (kind != "phrase") & lone).alias("lone"))
     spared = c("world") | c("included")
     no = F.lit("no_action")
     at_first = (
         F.when(c("excluded") | fragment | (single & c("in_lemmas") & ~spared), no).when(kind == "hyphenated_term", "binding_glossary")
         .when(name & ~(single & c("in_lemmas")), "name_policy").when(c("included") | c("lone"), "invented_or_rare")
-        .when((kind == "phrase") & ~single & (c("genericity") < 1.0), "domain_phrase")
+        .when((kind == "phrase") & ~single & (c("genericity") < GENERIC_FROM), "domain_phrase")
         .when((kind == "phrase") & (c("token_count") <= 2) & F.arrays_overlap(token, dull) & ~spared, no)
-        .when((kind == "phrase") & (c("token_count") <= 3) & (c("genericity") >= 1.2), no)
-        .when((c("genericity") >= 1.0) & single, no).otherwise("maybe")
+        .when((kind == "phrase") & (c("token_count") <= 3) & (c("genericity") >= DULL_FROM), no)
+        .when((c("genericity") >= GENERIC_FROM) & single, no).otherwise("maybe")
     )
     df = df.withColumn("review_bucket", at_first)
     df = df.withColumn("review_bucket", F.when((n < min_count) & ~c("lone"), no).otherwise(c("review_bucket")))

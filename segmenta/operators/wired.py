@@ -97,7 +97,7 @@ FRAMES: dict[str, Callable[[SparkSession, Over], DataFrame]] = {
     # GL5, GL6, GL8, GR14
     "term_audit": lambda spark, over: T.term_audit(over("SELECT * FROM v_progress"), ENTRIES),
     # JN20
-    "profile_glossary_divergence": lambda spark, over: T.applicable(over("SELECT * FROM v_progress"), ENTRIES).join(over("SELECT doc_id, record_pos, profile, target FROM v_progress"), R.KEYS).groupBy("entry_index").agg(F.count_distinct("profile").alias("profiles"), F.count_distinct(F.when(F.col("target").isNotNull(), F.col("profile"))).alias("translated_profiles")),
+    "profile_glossary_divergence": lambda spark, over: T.term_spans(over("SELECT *, target IS NOT NULL AS translated FROM v_progress"), ENTRIES, ("profile", "translated")).where("not shadowed").groupBy("entry_index").agg(F.count_distinct("profile").alias("profiles"), F.count_distinct(F.when(F.col("translated"), F.col("profile"))).alias("translated_profiles")),
     # GL9
     "audit_block": lambda spark, over: T.applicable(over("SELECT * FROM v_progress WHERE target IS NOT NULL"), ENTRIES).groupBy("doc_id", "entry_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list("record_id")), lambda r: F.concat(F.lit(">>> "), r)), "|").alias("block")),
     # DT1, GR11
