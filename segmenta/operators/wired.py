@@ -239,10 +239,10 @@ _POS = "CAST(substr(record_id, 1, 4) AS BIGINT) * 50 - 50 + CAST(substr(record_i
 
 
 
-def _turns(lists: list[str]) -> str:
-    """Blocks of v_markdown or v_xhtml as the turns of their making say: a list of structs for each line, numbered within the document."""
+def _turns(lists: list[str], by: str = "doc_id") -> str:
+    """Blocks of v_markdown or v_xhtml as the turns of their making say: a list of structs for each line, numbered within the document or chapter."""
     cases = " ".join(f"WHEN {k} THEN [{items}]" for k, items in enumerate(lists) if items)
-    return f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY span_index, k) - 1 AS pos, b FROM (SELECT doc_id, span_index, unnest(range(len(l))) AS k, unnest(l) AS b FROM (SELECT doc_id, span_index, CASE span_index % {len(lists)} {cases} END AS l FROM (SELECT doc_id, span_index, 'x ' || replace(span, '|', '/') || ' x' AS c FROM v_spans) s) t WHERE l IS NOT NULL) u"
+    return f"SELECT doc_id, chapter, row_number() OVER (PARTITION BY {by} ORDER BY span_index, k) - 1 AS pos, b FROM (SELECT doc_id, chapter, span_index, unnest(range(len(l))) AS k, unnest(l) AS b FROM (SELECT doc_id, span_index // 12 AS chapter, span_index, CASE span_index % {len(lists)} {cases} END AS l FROM (SELECT doc_id, span_index, 'x ' || replace(span, '|', '/') || ' x' AS c FROM v_spans) s) t WHERE l IS NOT NULL) u"
 
 
 def _block(kind: str, text: str, tags: str = "") -> str:
@@ -251,9 +251,15 @@ def _block(kind: str, text: str, tags: str = "") -> str:
 
 _FOLDED = r"regexp_replace(c, '[ \t\n\f\r]+', ' ', 'g')"
 _MARKDOWN = _turns([_block("heading", "c"), _block("quote", "c || chr(10) || 'more'"), _block("item", "c || chr(10) || 'two'"), "", ", ".join([_block("cell", "'a'"), _block("cell", "c"), _block("cell", "'b'")]), "", _block("paragraph", "c"), _block("paragraph", "c")])
-_XHTML = _turns([_block("p", _FOLDED), _block("h2", _FOLDED), _block("li", f"'a __TAG_001__' || {_FOLDED} || '__TAG_002____TAG_003__z'", "<b>|</b>|<br/>"), _block("p", f"'x __TAG_001__ ' || {_FOLDED}", "<code>k<i>j</i></code>"), "", _block("td", f"{_FOLDED} || '__TAG_001__ & so'", "<!-- note -->")])
+_XHTML_TURNS = [_block("p", _FOLDED), _block("h2", _FOLDED), _block("li", f"'a __TAG_001__' || {_FOLDED} || '__TAG_002____TAG_003__z'", "<b>|</b>|<br/>"), _block("p", f"'x __TAG_001__ ' || {_FOLDED}", "<code>k<i>j</i></code>"), "", _block("td", f"{_FOLDED} || '__TAG_001__ & so'", "<!-- note -->")]
+_XHTML = _turns(_XHTML_TURNS)
 _TAGS = [f"'__TAG_00' || (CASE WHEN span_index % 7 = 0 THEN {k + 1} ELSE {k} END)::VARCHAR || '__'" for k in range(1, 5)]
 
+
+def xhtml_turns(by: str) -> str:
+    return _turns(_XHTML_TURNS, by)
+
+
 ORACLES: dict[str, str] = {
     "markdown_blocks": f"SELECT doc_id, pos, b.kind AS kind, b.block AS block FROM ({_MARKDOWN}) m",
     "markdown_rebuild": "SELECT m.doc_id, sha256(m.text) AS same_sha256, sha256(t.text) AS translated_sha256 FROM v_markdown m JOIN v_markdown_translated t ON t.doc_id = m.doc_id",

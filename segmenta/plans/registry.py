@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.operators import extract, gates, glossary, mining, progress, project, records, state, validate, wired
+from segmenta.operators import books, extract, gates, glossary, mining, progress, project, records, state, validate, wired
 from segmenta.plans.dialect import DUCK, SPARK, WORD
 from segmenta.plans.shared import written
 from segmenta.sources import segments, texts
@@ -17,7 +17,7 @@ from segmenta.streaming import windows
 
 TABLES = ("documents", "pages", "labels", "conversations", "benchmark", "embeddings", "events")
 SQL = extract.QUERIES | state.QUERIES | validate.QUERIES | glossary.QUERIES | progress.QUERIES | mining.QUERIES | gates.QUERIES
-FRAMES = gates.FRAMES | wired.FRAMES | project.FRAMES
+FRAMES = gates.FRAMES | wired.FRAMES | project.FRAMES | books.FRAMES
 
 
 #: Reads of the sentences from which on a query segments the texts once, into the shared folder.
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    return {name: with_views(make(DUCK), DUCK) for name, make in SQL.items()} | {name: with_views(sql, DUCK) for name, sql in (wired.ORACLES | project.ORACLES).items()} | windows.ORACLE_SQL
+    return {name: with_views(make(DUCK), DUCK) for name, make in SQL.items()} | {name: with_views(sql, DUCK) for name, sql in (wired.ORACLES | project.ORACLES | books.ORACLES).items()} | windows.ORACLE_SQL

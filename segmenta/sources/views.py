@@ -127,11 +127,11 @@ def v_tokens(d: Spark) -> str:
     return f"SELECT doc_id, profile, record_pos, record_id, chapter_no, pos AS token_pos, piece AS token FROM ({d.elements('v_records', 'doc_id, profile, record_pos, record_id, chapter_no', d.matches('source', LETTER + '+'))}) t"
 
 
-def _made(d: Spark, kinds: tuple[str, ...], sep: str, mark: str) -> str:
+def _made(d: Spark, kinds: tuple[str, ...], sep: str, mark: str, by: str = "") -> str:
     """Texts made of each document's lines by turns of `kinds`; {c} is the line, {o} and {e} what a translation puts around it."""
     o, e = ("«", "»") if mark else ("", "")
     turns = " ".join(f"WHEN {k} THEN concat({kind.format(c='c', o=f"'{o}'", e=f"'{e}'")})" for k, kind in enumerate(kinds))
-    return f"SELECT doc_id, {d.joined('piece', 'span_index', sep)} AS text FROM (SELECT doc_id, span_index, CASE span_index % {len(kinds)} {turns} END AS piece FROM (SELECT doc_id, span_index, concat('x ', replace(span, '|', '/'), ' x') AS c FROM v_spans) l) m GROUP BY doc_id"
+    return f"SELECT doc_id{by}, {d.joined('piece', 'span_index', sep)} AS text FROM (SELECT doc_id, span_index, CAST(floor(span_index / 12) AS BIGINT) AS chapter, CASE span_index % {len(kinds)} {turns} END AS piece FROM (SELECT doc_id, span_index, concat('x ', replace(span, '|', '/'), ' x') AS c FROM v_spans) l) m GROUP BY doc_id{by}"
 
 
 #: Markdown of every kind: heading, quote, item, fence, table, HTML, a definition before a paragraph, paragraph.
@@ -176,6 +176,15 @@ def v_xhtml_translated(d: Spark) -> str:
     return _made(d, _escaped(XHTML), "\n", "«»")
 
 
+def v_chapters(d: Spark) -> str:
+    """XHTML of each document by chapters of twelve lines."""
+    return _made(d, _escaped(XHTML), "\n", "", ", chapter")
+
+
+def v_chapters_translated(d: Spark) -> str:
+    return _made(d, _escaped(XHTML), "\n", "«»", ", chapter")
+
+
 def v_inline(d: Spark) -> str:
     """Lines with inline code, a link and raw HTML; some hold a token already."""
     return (
@@ -184,7 +193,7 @@ def v_inline(d: Spark) -> str:
     )
 
 
-VIEWS = {f.__name__: f for f in (v_sentences, v_records, v_spans, v_candidates, v_store, v_reviews, v_legacy, v_ledger, v_chains, v_effective, v_progress, v_glossary, v_tokens, v_markdown, v_markdown_translated, v_xhtml, v_xhtml_translated, v_inline)}
+VIEWS = {f.__name__: f for f in (v_sentences, v_records, v_spans, v_candidates, v_store, v_reviews, v_legacy, v_ledger, v_chains, v_effective, v_progress, v_glossary, v_tokens, v_markdown, v_markdown_translated, v_xhtml, v_xhtml_translated, v_chapters, v_chapters_translated, v_inline)}
 
 
 def with_views(sql: str, d: Spark, given: frozenset[str] | set[str] = frozenset()) -> str:
