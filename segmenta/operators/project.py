@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segmenta.functions import migrate
 from segmenta.operators import gates, glossary, merging, preflight, writes
 from segmenta.plans.shared import shared_path, written
 from segmenta.plans.snapshots import Snapshots
@@ -174,7 +175,23 @@ def made_words(over: Over) -> DataFrame:
     return words.groupBy("doc_id", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
 
 
+#: Pairs whose target lost its only element, by record_pos % 6: all of it, a phrase, a phrase that stands twice, nothing, two elements, a phrase inside a tag.
+_TEXT = "replace(replace(source, '&', '&amp;'), '<', '&lt;')"
+_LOST = f"""SELECT doc_id, record_id, CASE record_pos % 6 WHEN 0 THEN concat('<em class="a">', {_TEXT}, '</em>') WHEN 3 THEN {_TEXT} WHEN 4 THEN concat('<b>ten-day</b> <i>', {_TEXT}, '</i>') ELSE concat({_TEXT}, ' <b>ten-day</b>.') END AS source,
+ CASE record_pos % 6 WHEN 1 THEN concat('ten-day: ', {_TEXT}) WHEN 2 THEN concat('ten-day ten-day ', {_TEXT}) WHEN 4 THEN concat('ten-day ', {_TEXT}) WHEN 5 THEN concat({_TEXT}, ' <b>no</b> ten-day') ELSE {_TEXT} END AS target FROM v_records"""
+
+
+def protected_fragments(over: Over) -> DataFrame:
+    """PR4: lines with a name in an attribute and in the text."""
+    rows = over("SELECT doc_id, span_index, concat('<a title=\"Anna\">', c, ' Anna</a> Anna Maria, Anna') AS fragment FROM v_inline")
+    return texts.explode_texts(rows, {"doc_id": "long", "span_index": "long"}, ["fragment"], {"protected": "string", "tokens": "string"}, lambda t: [(p, "|".join(f"{a}={b}" for a, b in k)) for p, k in [migrate.protect_names_in_text(t, ["Anna", "Anna Maria"])]]).drop("pos")
+
+
 FRAMES: dict[str, Callable[[SparkSession, Over], DataFrame]] = {
+    # SK18
+    "fragment_migrations": lambda spark, over: migrate.migrations(over(_LOST), {"doc_id": "long", "record_id": "string"}),
+    # PR2, PR4
+    "protected_fragments": lambda spark, over: protected_fragments(over),
     # SC11, V20, V41
     "chunk_scan_findings": lambda spark, over: scans.chunk_findings(chunk_files(over), ["doc_id", "chunk_id"]),
     # SC9
@@ -247,6 +264,8 @@ _DISPOSED = f"SELECT left(sha256(normalized), 16) AS candidate_id, normalized, C
 _TEXT_WORDS = r"[\p{L}]+(?:[’\x27-][\p{L}]+)*"
 
 ORACLES: dict[str, str] = {
+    "fragment_migrations": f"SELECT doc_id, record_id, CASE record_pos % 6 WHEN 0 THEN '<em class=\"a\">' || {_TEXT} || '</em>' WHEN 1 THEN '<b>ten-day</b>: ' || {_TEXT} END AS new_target, CASE WHEN record_pos % 6 < 2 THEN 'mapped' ELSE 'review' END AS action FROM v_records WHERE record_pos % 6 IN (0, 1, 2, 4)",
+    "protected_fragments": "SELECT doc_id, span_index, '<a title=\"Anna\">' || c || ' __NAME_001__</a> __NAME_002__, __NAME_003__' AS protected, '__NAME_001__=Anna|__NAME_002__=Anna Maria|__NAME_003__=Anna' AS tokens FROM v_inline",
     "chunk_scan_findings": "SELECT doc_id, chunk_id, 'error' AS severity, CASE k WHEN 7 THEN 'unsupported_chunk_schema_version' ELSE 'invalid_source_chunk' END AS rule, CASE k " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in _FAULTS.items()) + f" ELSE 'version 9' END AS detail FROM (SELECT DISTINCT doc_id, chunk_id, {_DAMAGE} AS k FROM v_records) c WHERE k BETWEEN 1 AND 8",
     "chunk_scan_records": f"SELECT doc_id, chunk_id, record_pos % 50 AS pos, record_id, source FROM v_records WHERE {_DAMAGE} IN (0, 7, 9)",
     "store_scan": "SELECT c.doc_id, c.record_id, c.version_ref, c.target, c.status, c.version_ref = s.active_version AS active FROM v_candidates c JOIN v_store s ON s.doc_id = c.doc_id AND s.record_pos = c.record_pos WHERE c.doc_id % 5 < 2 UNION ALL SELECT doc_id, record_id, '1.1', target, 'accepted', true FROM v_legacy WHERE doc_id % 5 = 2",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from segmenta.operators import records as R
 from segmenta.operators import terms as T
+from segmenta.plans.shared import written
 from segmenta.sources import segments, texts, xhtml
 from segmenta.sources.views import GLOSSARY, LEFTOVERS
 
@@ -21,7 +22,8 @@ INCLUDE, EXCLUDE = "^Onth", "xx"
 
 
 def mined(over: Over) -> DataFrame:
-    rows = over("SELECT doc_id, chapter_no, record_pos, source FROM v_records")
+    # read for each kind of candidate and its surface forms
+    rows = written(over("SELECT doc_id, chapter_no, record_pos, source FROM v_records"), "records")
     return T.words(rows, surface=True).unionByName(T.compounds(rows, surface=True)).unionByName(T.phrases(rows, LEFTOVERS, surface=True))
 
 

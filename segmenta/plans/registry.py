@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segmenta.operators import books, extract, gates, glossary, mining, progress, project, records, state, validate, wired
+from segmenta.operators import books, extract, gates, glossary, mining, progress, project, records, report, state, validate, wired
 from segmenta.plans.dialect import DUCK, SPARK, WORD
 from segmenta.plans.shared import written
 from segmenta.sources import segments, texts
@@ -16,7 +16,7 @@ from segmenta.sources.views import VIEWS, named, times, with_views
 from segmenta.streaming import windows
 
 TABLES = ("documents", "pages", "labels", "conversations", "benchmark", "embeddings", "events")
-SQL = extract.QUERIES | state.QUERIES | validate.QUERIES | glossary.QUERIES | progress.QUERIES | mining.QUERIES | gates.QUERIES
+SQL = extract.QUERIES | state.QUERIES | validate.QUERIES | glossary.QUERIES | progress.QUERIES | mining.QUERIES | gates.QUERIES | report.QUERIES
 FRAMES = gates.FRAMES | wired.FRAMES | project.FRAMES | books.FRAMES
 
 
