@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmenta.functions import migrate
-from segmenta.operators import gates, glossary, merging, preflight, writes
+from segmenta.operators import gates, glossary, merging, preflight, sinks, writes
 from segmenta.plans.shared import shared_path, written
 from segmenta.plans.snapshots import Snapshots
 from segmenta.sources import analysis, scans, texts
@@ -187,7 +187,28 @@ def protected_fragments(over: Over) -> DataFrame:
     return texts.explode_texts(rows, {"doc_id": "long", "span_index": "long"}, ["fragment"], {"protected": "string", "tokens": "string"}, lambda t: [(p, "|".join(f"{a}={b}" for a, b in k)) for p, k in [migrate.protect_names_in_text(t, ["Anna", "Anna Maria"])]]).drop("pos")
 
 
+# --- sinks ---------------------------------------------------------------------------------------
+
+_INDEXED = f"SELECT doc_id, record_pos, record_id, source_words, source, target, ref, CASE WHEN record_pos % 3 = 1 THEN kind WHEN record_pos % 3 = 2 THEN '' END AS origin FROM v_progress"
+_RUNS = "SELECT source AS project, doc_id AS seq, lang AS actor, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('h', CAST(doc_id % 2 AS STRING)) END AS harness, 'm' AS model, concat('b', CAST(doc_id % 5 AS STRING)) AS baseline FROM documents WHERE doc_id IS NOT NULL AND source IS NOT NULL"
+
+
+def task_round_trip(over: Over) -> DataFrame:
+    """SK7, SC20: tasks filled in and read again."""
+    rows = over("SELECT doc_id, chunk_id, record_pos, record_id, source, concat('T ', source) AS target FROM v_records")
+    text = sinks.filled(sinks.task_files(rows), rows)
+    back = texts.explode_texts(text, {"doc_id": "long", "chunk_id": "string"}, ["text"], {"record_id": "string", "target": "string", "error": "string"}, texts.block_submission)
+    return back.select("doc_id", "chunk_id", "record_id", "target", "error")
+
+
 FRAMES: dict[str, Callable[[SparkSession, Over], DataFrame]] = {
+    # SK5, PR20
+    "editor_index": lambda spark, over: sinks.index_lines(over(_INDEXED), "source-target", ["source_words", "source", "target"], ["ref", "origin"], over("SELECT doc_id FROM documents WHERE doc_id % 9 = 4")),
+    # SK7
+    "task_files": lambda spark, over: sinks.task_files(over("SELECT doc_id, chunk_id, record_pos, record_id, source FROM v_records")),
+    "task_round_trip": lambda spark, over: task_round_trip(over),
+    # SK12, QV5
+    "run_versions": lambda spark, over: sinks.versions(over(_RUNS)),
     # SK18
     "fragment_migrations": lambda spark, over: migrate.migrations(over(_LOST), {"doc_id": "long", "record_id": "string"}),
     # PR2, PR4
@@ -263,7 +284,16 @@ _TODO_STATES = f"""SELECT todo_id, CASE WHEN current IS NULL THEN 'complete' WHE
 _DISPOSED = f"SELECT left(sha256(normalized), 16) AS candidate_id, normalized, CASE WHEN length(normalized) % 6 = 0 THEN 'ignore' WHEN length(normalized) % 4 = 1 THEN 'approve' WHEN normalized IN (SELECT lower(source_term) FROM ({glossary.ENTRIES}) g WHERE length(source_term) % 5 = 0) THEN 'in_glossary' ELSE 'open' END AS disposition FROM ({_CANDIDATES}) c"
 _TEXT_WORDS = r"[\p{L}]+(?:[’\x27-][\p{L}]+)*"
 
+_CORE = "'{\"source_words\":' || source_words::VARCHAR || ',\"source\":' || to_json(source)::VARCHAR || ',\"target\":' || coalesce(to_json(target)::VARCHAR, 'null')"
+_KEPT = "CASE WHEN ref IS NOT NULL THEN ',\"ref\":\"' || ref || '\"' ELSE '' END || CASE WHEN origin <> '' THEN ',\"origin\":\"' || origin || '\"' ELSE '' END || '}'"
+_INDEX_ROWS = f"SELECT *, max(record_pos) OVER (PARTITION BY doc_id) AS last FROM ({_INDEXED}) i WHERE doc_id % 9 <> 4"
+
 ORACLES: dict[str, str] = {
+    "editor_index": f"""SELECT doc_id, record_pos AS line_no, '    \"' || record_id || '\": ' || {_CORE} || {_KEPT} || CASE WHEN record_pos < last THEN ',' ELSE '' END AS line FROM ({_INDEX_ROWS}) r
+ UNION ALL SELECT DISTINCT doc_id, -1, '{{' || chr(10) || '  \"kind\": \"source-target\",' || chr(10) || '  \"records\": {{' FROM ({_INDEX_ROWS}) h UNION ALL SELECT DISTINCT doc_id, {sinks.FOOT}, '  }}' || chr(10) || '}}' FROM ({_INDEX_ROWS}) f""",
+    "task_files": "SELECT doc_id, chunk_id, string_agg('# ' || source || chr(10) || '>>> ' || record_id || chr(10), chr(10) ORDER BY record_pos) AS block, string_agg(record_id || chr(9) || replace(source, chr(9), ' '), chr(10) ORDER BY record_pos) AS tsv FROM v_records GROUP BY doc_id, chunk_id",
+    "task_round_trip": "SELECT doc_id, chunk_id, record_id, 'T ' || source AS target, '' AS error FROM v_records",
+    "run_versions": f"WITH r AS (SELECT project, seq, coalesce(actor, '') || '/' || coalesce(harness, '') AS who, baseline FROM ({_RUNS}) x), f AS (SELECT *, min(seq) OVER (PARTITION BY project, who) AS opened, min(seq) OVER (PARTITION BY project, who, baseline) AS begun FROM r), v AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY project ORDER BY opened) AS INT) AS version, CAST(dense_rank() OVER (PARTITION BY project, who ORDER BY begun) AS INT) AS subversion FROM f) SELECT project, seq, version, subversion, version::VARCHAR || '.' || subversion::VARCHAR AS version_ref, seq = opened AS new_track, seq = begun AS new_subversion FROM v",
     "fragment_migrations": f"SELECT doc_id, record_id, CASE record_pos % 6 WHEN 0 THEN '<em class=\"a\">' || {_TEXT} || '</em>' WHEN 1 THEN '<b>ten-day</b>: ' || {_TEXT} END AS new_target, CASE WHEN record_pos % 6 < 2 THEN 'mapped' ELSE 'review' END AS action FROM v_records WHERE record_pos % 6 IN (0, 1, 2, 4)",
     "protected_fragments": "SELECT doc_id, span_index, '<a title=\"Anna\">' || c || ' __NAME_001__</a> __NAME_002__, __NAME_003__' AS protected, '__NAME_001__=Anna|__NAME_002__=Anna Maria|__NAME_003__=Anna' AS tokens FROM v_inline",
     "chunk_scan_findings": "SELECT doc_id, chunk_id, 'error' AS severity, CASE k WHEN 7 THEN 'unsupported_chunk_schema_version' ELSE 'invalid_source_chunk' END AS rule, CASE k " + " ".join(f"WHEN {k} THEN '{f}'" for k, f in _FAULTS.items()) + f" ELSE 'version 9' END AS detail FROM (SELECT DISTINCT doc_id, chunk_id, {_DAMAGE} AS k FROM v_records) c WHERE k BETWEEN 1 AND 8",
