@@ -14,18 +14,21 @@ from segmenta.plans.shared import shared_path
 
 LATE = "10 minutes"
 WIDTH = "1 hour"
+EPOCH = "1970-01-01 00:00:00"
 
 
 def windowed(events: DataFrame, late: str = LATE, width: str = WIDTH) -> DataFrame:
     """Events, largest value and first id for each window and type; events without a time are left out."""
-    timed = events.where("ts IS NOT NULL").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    # local times as if of UTC, whatever the session's zone: a watermark needs instants
+    epoch = F.lit(EPOCH).cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", epoch, F.col("ts").cast("timestamp_ntz"))
+    timed = events.where("ts IS NOT NULL").withColumn("at", F.timestamp_micros(micros)).withWatermark("at", late)
     grouped = timed.groupBy(F.window("at", width).alias("w"), "event_type").agg(F.count("*").alias("events"), F.max("value").alias("top_value"), F.min("event_id").alias("first_id"))
-    return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "events", "top_value", "first_id")
+    return grouped.select(F.timestamp_add("MICROSECOND", F.unix_micros("w.start"), epoch).alias("window_start"), "event_type", "events", "top_value", "first_id")
 
 
 def counted(spark: SparkSession, path: str) -> DataFrame:
     """Windowed counts of all events that lie at `path` (a file or folder) now; each batch replaces the table."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     place = shared_path(spark, "stream")
     # a pattern: a stream takes a plain path for a folder, and the table may be a single file
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
