@@ -247,7 +247,7 @@ FRAMES: dict[str, Callable[[SparkSession, Over], DataFrame]] = {
     # JN22, JN23
     "candidate_dispositions": lambda spark, over: merging.resolved(*candidates(over)),
     # DT16
-    "open_candidates": lambda spark, over: merging.still_open(*candidates(over)),
+    "undecided_candidates": lambda spark, over: merging.still_open(*candidates(over)),
     # JN8
     "span_records": lambda spark, over: preflight.span_records(over(_SPANS), over(_PLACED)).select("doc_id", "record_id", "start"),
     # V48
@@ -314,7 +314,7 @@ ORACLES: dict[str, str] = {
     "chapter_note_append": _notes("append"),
     "chapter_note_conflicts": _notes("conflict"),
     "candidate_dispositions": _DISPOSED,
-    "open_candidates": f"SELECT candidate_id, normalized FROM ({_DISPOSED}) d WHERE disposition = 'open'",
+    "undecided_candidates": f"SELECT candidate_id, normalized FROM ({_DISPOSED}) d WHERE disposition = 'open'",
     "span_records": f"SELECT r.doc_id, r.record_id, s.span_index AS start FROM ({_PLACED}) r ASOF JOIN ({_SPANS}) s ON s.doc_id = r.doc_id AND r.span_index >= s.span_index",
     "made_words": f"SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, lower(unnest(regexp_extract_all(CASE span_index % 6 WHEN 2 THEN 'a ' || c || 'z' WHEN 3 THEN 'x  ' || c WHEN 5 THEN c || ' & so' ELSE c END, '{_TEXT_WORDS}'))) AS word FROM (SELECT doc_id, span_index, 'x ' || replace(span, '|', '/') || ' x' AS c FROM v_spans WHERE span_index % 6 <> 4) s) w GROUP BY doc_id, word",
 }
