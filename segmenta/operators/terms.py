@@ -202,6 +202,19 @@ def words(records: DataFrame, surface: bool = False) -> DataFrame:
     return _counted(found, ["normalized", "bucket"], surface).select("*", kind.alias("kind"), F.array("normalized").alias("tokens"))
 
 
+def histograms(records: DataFrame) -> DataFrame:
+    """GR11: (normalized, bucket, surfaces, first_doc, first_pos): the forms of each word with their counts, the most frequent first, and where it stands first.
+
+    Counted before they are gathered: a word has no more forms than ways to write it in capitals.
+    """
+    found = records.select("doc_id", "record_pos", F.explode(F.regexp_extract_all("source", F.lit(f"{LETTER}+"), F.lit(0))).alias("surface"))
+    forms = found.groupBy("surface").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "record_pos")).alias("first"))
+    forms = forms.select(F.lower("surface").alias("normalized"), case_bucket(F.col("surface")).alias("bucket"), "surface", "n", "first")
+    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "surface")))
+    shown = F.array_join(F.transform(listed, lambda x: F.concat(x["surface"], F.lit("="), (-x["k"]).cast("string"))), ",")
+    return forms.groupBy("normalized", "bucket").agg(shown.alias("surfaces"), F.min("first").alias("f")).select("normalized", "bucket", "surfaces", F.col("f.doc_id").alias("first_doc"), F.col("f.record_pos").alias("first_pos"))
+
+
 def compounds(records: DataFrame, surface: bool = False) -> DataFrame:
     """DT2: words joined by hyphens."""
     found = records.select("doc_id", "chapter_no", "record_pos", F.explode(F.regexp_extract_all("source", F.lit(HYPHENATED), F.lit(0))).alias("surface"))

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmenta.operators import records as R
+from segmenta.operators import report
 from segmenta.operators import terms as T
+from segmenta.plans.dialect import DUCK, SPARK
 from segmenta.plans.shared import written
 from segmenta.sources import segments, texts, xhtml
 from segmenta.sources.views import GLOSSARY, LEFTOVERS
@@ -104,6 +106,8 @@ FRAMES: dict[str, Callable[[SparkSession, Over], DataFrame]] = {
     "audit_block": lambda spark, over: T.applicable(over("SELECT * FROM v_progress WHERE target IS NOT NULL"), ENTRIES).groupBy("doc_id", "entry_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list("record_id")), lambda r: F.concat(F.lit(">>> "), r)), "|").alias("block")),
     # DT1, GR11
     "token_candidates": lambda spark, over: T.words(over("SELECT doc_id, chapter_no, record_pos, source FROM v_records")).drop("tokens"),
+    # GR11
+    "surface_histograms": lambda spark, over: T.histograms(over("SELECT doc_id, record_pos, source FROM v_records")),
     # DT2
     "hyphenated_candidates": lambda spark, over: T.compounds(over("SELECT doc_id, chapter_no, record_pos, source FROM v_records")).drop("tokens"),
     # DT3, WN15
@@ -141,7 +145,7 @@ FRAMES: dict[str, Callable[[SparkSession, Over], DataFrame]] = {
     # JN7
     "span_starts": lambda spark, over: R.span_starts(over("SELECT DISTINCT doc_id, CAST(floor(record_pos / 4) * 2 AS BIGINT) AS span_index FROM v_records"), over("SELECT doc_id, record_pos, CAST(floor(record_pos / 3) AS BIGINT) AS span_index FROM v_records")).select("doc_id", "span_index", F.coalesce("record_pos", F.lit(-1).cast("long")).alias("record_pos")),
     # FI6
-    "finding_partitions": lambda spark, over: R.partitions(over("SELECT CASE WHEN record_pos % 5 = 0 THEN 'error' WHEN record_pos % 5 < 3 THEN 'warn' ELSE 'info' END AS severity, CASE WHEN record_pos % 10 = 0 THEN 'inactive' ELSE 'active' END AS scope FROM v_records")),
+    "finding_partitions": lambda spark, over: R.partitions(over(report.everything(SPARK))),
     # V44-V46
     "language_policy": lambda spark, over: R.language_policy(over("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'explicit' ELSE 'preserve' END AS policy, CASE WHEN doc_id % 10 = 0 THEN '' WHEN doc_id % 10 = 2 THEN 'de_AT' WHEN doc_id % 10 = 4 THEN lang ELSE concat(lang, '-Latn-419') END AS tag, lang AS source_language, CASE WHEN doc_id % 3 = 0 THEN lang ELSE 'en' END AS target_language FROM documents")).select("doc_id", "rule", "severity"),
     # SC20
@@ -301,7 +305,8 @@ ORACLES: dict[str, str] = {
     "profile_compare": "SELECT doc_id, record_id, a AS versions, b AS reviews, c AS legacy, CAST((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT AS BIGINT) AS different FROM (SELECT doc_id, record_id, CASE WHEN record_pos % 3 <> 0 THEN source END AS a, CASE WHEN record_pos % 3 <> 0 AND record_pos % 5 = 0 THEN source || ' R1.1' END AS b, CASE WHEN record_pos % 7 = 0 THEN source || ' L' END AS c FROM v_records) t",
     "notes_before": "SELECT c.doc_id, c.chapter_no, count(n.record_pos) AS notes, max(n.record_id) AS latest FROM (SELECT DISTINCT doc_id, chapter_no FROM v_records) c LEFT JOIN (SELECT * FROM v_records WHERE record_pos % 27 = 3) n ON n.doc_id = c.doc_id AND n.chapter_no < c.chapter_no GROUP BY c.doc_id, c.chapter_no",
     "span_starts": "SELECT b.doc_id, b.span_index, CASE WHEN b.span_index * 3 <= m.top THEN b.span_index * 3 ELSE -1 END AS record_pos FROM (SELECT DISTINCT doc_id, CAST(floor(record_pos / 4) * 2 AS BIGINT) AS span_index FROM v_records) b JOIN (SELECT doc_id, max(record_pos) AS top FROM v_records GROUP BY doc_id) m ON m.doc_id = b.doc_id",
-    "finding_partitions": "SELECT count(CASE WHEN record_pos % 5 = 0 THEN 1 END) AS errors, count(CASE WHEN record_pos % 5 IN (1, 2) THEN 1 END) AS warnings, count(CASE WHEN record_pos % 10 = 5 THEN 1 END) AS blocking, count(CASE WHEN record_pos % 10 = 0 THEN 1 END) AS inactive, count(CASE WHEN record_pos % 10 = 5 THEN 1 END) > 0 AS fails FROM v_records",
+    "finding_partitions": f"SELECT count(CASE WHEN severity = 'error' THEN 1 END) AS errors, count(CASE WHEN severity = 'warn' THEN 1 END) AS warnings, count(CASE WHEN severity = 'error' AND scope = 'active' THEN 1 END) AS blocking, count(CASE WHEN scope = 'inactive' THEN 1 END) AS inactive, count(CASE WHEN severity = 'error' AND scope = 'active' THEN 1 END) > 0 AS fails FROM ({report.everything(DUCK)}) f",
+    "surface_histograms": f"SELECT lower(surface) AS normalized, bucket, string_agg(surface || '=' || n::VARCHAR, ',' ORDER BY n DESC, surface) AS surfaces, min(place).doc_id AS first_doc, min(place).record_pos AS first_pos FROM (SELECT surface, {_bucket('surface')} AS bucket, count(*) AS n, min({{'doc_id': doc_id, 'record_pos': record_pos}}) AS place FROM (SELECT doc_id, record_pos, unnest(regexp_extract_all(source, '[\\p{{L}}\\p{{Nl}}\\p{{No}}]+')) AS surface FROM v_records) w GROUP BY surface) f GROUP BY lower(surface), bucket",
     "language_policy": "SELECT doc_id, 'epub_output_explicit_language_missing' AS rule, 'error' AS severity FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, 'invalid_epub_output_language', 'error' FROM documents WHERE doc_id % 10 = 2 UNION ALL SELECT doc_id, 'epub_output_language_policy_preserves_source', 'warn' FROM documents WHERE doc_id % 2 = 1 AND doc_id % 3 <> 0 AND lang <> 'en'",
     "block_submission_parse": "SELECT doc_id, record_id, source AS target, '' AS error FROM v_records WHERE substr(source, 1, 1) <> '#'",
     "tsv_submission_parse": "SELECT doc_id, record_id, source || chr(9) || 'x' AS target, '' AS error FROM v_records WHERE substr(source, 1, 1) <> '#'",

@@ -223,3 +223,9 @@ def test_submissions():
     for bad in ("", "[]", '{"records": 1}', '{"records": [{"id": 1, "target": "b"}]}', 'x {"records": []}', '{"records": []} y', '{"version": "1", "records": []}'):
         assert texts.json_submission(bad) == [("", "", "invalid_json_submission")]
     assert texts.judge_submission("## 1-1\nDECISION: copy A\nTARGET:\nx\n\ny\n\n## 1-2\nDECISION: edit\nTARGET: z") == [("1-1", "copy A", "x\n\ny"), ("1-2", "edit", "z")]
+
+
+def test_surface_histograms_by_hand(spark):
+    rows = [(2, 0, "Wasp wasp WASP Wasp."), (1, 5, "wasp, Bee y Y"), (1, 6, None)]
+    got = {(r["normalized"], r["bucket"]): (r["surfaces"], r["first_doc"], r["first_pos"]) for r in T.histograms(spark.createDataFrame(rows, "doc_id long, record_pos long, source string")).collect()}
+    assert got == {("wasp", "title"): ("Wasp=2", 2, 0), ("wasp", "lower"): ("wasp=2", 1, 5), ("wasp", "upper"): ("WASP=1", 2, 0), ("bee", "title"): ("Bee=1", 1, 5), ("y", "lower"): ("y=1", 1, 5), ("y", "upper"): ("Y=1", 1, 5)}
