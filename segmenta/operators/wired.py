@@ -267,6 +267,7 @@ def xhtml_turns(by: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "sentence_segments": "SELECT doc_id, record_pos AS pos, source AS sentence FROM v_records",
     "markdown_blocks": f"SELECT doc_id, pos, b.kind AS kind, b.block AS block FROM ({_MARKDOWN}) m",
     "markdown_rebuild": "SELECT m.doc_id, sha256(m.text) AS same_sha256, sha256(t.text) AS translated_sha256 FROM v_markdown m JOIN v_markdown_translated t ON t.doc_id = m.doc_id",
     "document_rebuild_markdown": "SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
