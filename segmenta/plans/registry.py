@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +33,10 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("source").alias("profile"), "lang", "text", F.col("lang").alias("tag"))
     cores = spark.sparkContext.defaultParallelism
     docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
-    rows = texts.explode_texts(docs, {"doc_id": "long", "profile": "string", "lang": "string"}, ["text", "tag"], {"source": "string"}, lambda text, tag: [(s,) for s in segments.sentences(text, tag)])
+    # nearly every query runs this step: it travels whole, so workers need no path to this package for it
+    cloudpickle.register_pickle_by_value(segments)
+    cut = segments.sentences
+    rows = texts.explode_texts(docs, {"doc_id": "long", "profile": "string", "lang": "string"}, ["text", "tag"], {"source": "string"}, lambda text, tag: [(s,) for s in cut(text, tag)])
     return rows.select("doc_id", "profile", "lang", F.col("pos").alias("record_pos"), "source", F.size(F.regexp_extract_all("source", F.lit(f"({WORD})"), 1)).cast("long").alias("source_words"))
 
 
