@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from segmenta.functions.fragments import issues
+from segmenta.sources.batches import pieces
 from segmenta.sources.xhtml import parts
 
 
@@ -53,7 +54,7 @@ def migrations(pairs: DataFrame, keys: dict[str, str]) -> DataFrame:
     """(keys, new_target, action) of the pairs (source, target) that break a rule: `mapped`, or `review` where it is not safe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             at, new = [], []
             for k, (source, target) in enumerate(zip(*(batch.column(len(keys) + i).to_pylist() for i in range(2)), strict=True)):
                 if _errors(source or "", target or ""):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from segmenta.operators import books, extract, gates, glossary, mining, progress, project, records, report, state, validate, wired
 from segmenta.plans.dialect import DUCK, SPARK, WORD
 from segmenta.plans.shared import written
-from segmenta.sources import segments, texts
+from segmenta.sources import batches, segments, texts
 from segmenta.sources.views import VIEWS, named, times, with_views
 from segmenta.streaming import windows
 
@@ -35,6 +35,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
     # nearly every query runs this step: it travels whole, so workers need no path to this package for it
     cloudpickle.register_pickle_by_value(segments)
+    cloudpickle.register_pickle_by_value(batches)
     cut = segments.sentences
     rows = texts.explode_texts(docs, {"doc_id": "long", "profile": "string", "lang": "string"}, ["text", "tag"], {"source": "string"}, lambda text, tag: [(s,) for s in cut(text, tag)])
     return rows.select("doc_id", "profile", "lang", F.col("pos").alias("record_pos"), "source", F.size(F.regexp_extract_all("source", F.lit(f"({WORD})"), 1)).cast("long").alias("source_words"))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segmenta.sources import texts
+from segmenta.sources.batches import pieces
 
 # Names in the format.
 CONTAINER = "META-INF/container.xml"
@@ -41,7 +42,7 @@ def _rows(df: DataFrame, columns: list[str], schema: str, work) -> DataFrame:
     types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out := list(work(*values)):
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], types[t]) for i, t in enumerate(fields.values())], names=list(fields))
@@ -210,7 +211,7 @@ def zipped(found: DataFrame) -> DataFrame:
             z.close()
             return pa.RecordBatch.from_arrays([pa.array([book], pa.int64()), pa.array([out.getvalue()], pa.binary())], names=["book", "content"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for b, name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if z is None or b != book:
                     if z is not None:
