@@ -248,17 +248,16 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
 
 
 class Reader:
-    """A trained tagger made ready to read: single precision, inputs looked up in tables, one tanh a step."""
+    """A trained tagger made ready to read: single precision, inputs looked up in tables, one exponential of all gates a step."""
 
     def __init__(self, model: Tagger) -> None:
         p, h = model.p, model.size
-        # sigmoid(z) is (1 + tanh(z / 2)) / 2: the inner halves go into the gates' weights, the outer ones of the
-        # output gate into whatever reads the hidden state, which is therefore kept doubled
-        half = np.concatenate([np.full(3 * h, 0.5), np.ones(h)])
+        # all gates are 1 / (1 + exp(-z)), tanh(z) is 2 / (1 + exp(-2z)) - 1: the signs and doublings go into the weights
+        scale = np.concatenate([np.full(3 * h, -1.0), np.full(h, -2.0)])
         self.size = h
-        self.drive = {k: ((p["e"] @ p[f"w{k}"] + p[f"c{k}"]) * half).astype(np.float32) for k in "fb"}
-        self.state = {k: (p[f"u{k}"] * half / 2).astype(np.float32) for k in "fb"}
-        self.read = {"f": np.ascontiguousarray(p["o"][:h].T / 2).astype(np.float32), "b": np.ascontiguousarray(p["o"][h:].T / 2).astype(np.float32)}
+        self.drive = {k: ((p["e"] @ p[f"w{k}"] + p[f"c{k}"]) * scale).astype(np.float32) for k in "fb"}
+        self.state = {k: (p[f"u{k}"] * scale).astype(np.float32) for k in "fb"}
+        self.read = {"f": np.ascontiguousarray(p["o"][:h].T).astype(np.float32), "b": np.ascontiguousarray(p["o"][h:].T).astype(np.float32)}
         self.bias, self.moves = p["ob"].astype(np.float32), p["t"].astype(np.float32)
 
     def _pass(self, x: np.ndarray, side: str, scores: np.ndarray) -> None:
@@ -266,30 +265,47 @@ class Reader:
         length, n, h = *x.shape, self.size
         drive, state, read = self.drive[side], self.state[side], self.read[side]
         z, fed = np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
-        gates, new = z[:, : 3 * h], z[:, 3 * h :]
+        enter, keep, show, new = (z[:, k * h : (k + 1) * h] for k in range(4))
         cell, part, hidden = np.zeros((n, h), np.float32), np.empty((n, h), np.float32), np.zeros((n, h), np.float32)
-        for t in range(length) if side == "f" else range(length - 1, -1, -1):
-            np.take(drive, x[t], axis=0, out=z, mode="clip")
-            z += np.matmul(hidden, state, out=fed)
-            np.tanh(z, out=z)
-            gates += 1
-            cell *= gates[:, h : 2 * h]
-            cell += np.multiply(gates[:, :h], new, out=part)
-            cell *= 0.5
-            np.multiply(np.tanh(cell, out=part), gates[:, 2 * h :], out=hidden)
-            scores[t] += np.matmul(read, hidden.T)
-
-    def tags(self, x: np.ndarray) -> np.ndarray:
-        """Best tags of windows (rows) of character classes."""
-        x = np.ascontiguousarray(x.T)
-        scores = np.empty((x.shape[0], TAGS, x.shape[1]), np.float32)
-        scores[:] = self.bias[:, None]
-        self._pass(x, "f", scores)
-        self._pass(x, "b", scores)
-        open_ = np.flatnonzero(self.may_hold_spans(scores))
-        out = np.zeros((x.shape[1], x.shape[0]), np.uint8)
-        if len(open_):
-            out[open_] = viterbi(np.ascontiguousarray(scores[:, :, open_]), self.moves)
+        # an exponential beyond all bounds makes a gate 0, as it should
+        with np.errstate(over="ignore"):
+            for t in range(length) if side == "f" else range(length - 1, -1, -1):
+                np.take(drive, x[t], axis=0, out=z, mode="clip")
+                z += np.matmul(hidden, state, out=fed)
+                np.exp(z, out=z)
+                z += 1
+                np.reciprocal(z, out=z)
+                np.multiply(new, 2, out=part)
+                part -= 1
+                part *= enter
+                cell *= keep
+                cell += part
+                np.multiply(cell, -2, out=part)
+                np.exp(part, out=part)
+                part += 1
+                np.divide(2, part, out=part)
+                part -= 1
+                np.multiply(part, show, out=hidden)
+                scores[t] += np.matmul(read, hidden.T)
+
+    def tags(self, x: np.ndarray, batch: int = 1024) -> np.ndarray:
+        """Best tags of windows (rows) of character classes.
+
+        The network reads `batch` windows at once; the few that may hold spans are decoded together, since a step of
+        Viterbi costs much the same for one as for many.
+        """
+        out, which, held = np.zeros(x.shape, np.uint8), [], []
+        for k in range(0, len(x), batch):
+            some = np.ascontiguousarray(x[k : k + batch].T)
+            scores = np.empty((some.shape[0], TAGS, some.shape[1]), np.float32)
+            scores[:] = self.bias[:, None]
+            self._pass(some, "f", scores)
+            self._pass(some, "b", scores)
+            open_ = np.flatnonzero(self.may_hold_spans(scores))
+            which.append(k + open_)
+            held.append(scores[:, :, open_])
+        if sum(map(len, which)):
+            out[np.concatenate(which)] = viterbi(np.ascontiguousarray(np.concatenate(held, 2)), self.moves)
         return out
 
     def may_hold_spans(self, scores: np.ndarray) -> np.ndarray:
@@ -426,7 +442,7 @@ def trained(texts: int = 6000, steps: int = 420, batch: int = 40, rate: float =
 # --- whole texts ---------------------------------------------------------------------------------
 
 
-def predicted(reader: Reader, texts: list[str], batch: int = 1024) -> list[list[tuple[str, int, int]]]:
+def predicted(reader: Reader, texts: list[str], batch: int = 4096) -> list[list[tuple[str, int, int]]]:
     """Spans the network sees in each text, windows reconciled, before any check."""
     gap = np.zeros(WINDOW, np.uint8)
     rows = [codes(t) for t in texts]
