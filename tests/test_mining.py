@@ -47,3 +47,15 @@ def test_mining_shuffles_phrases_once(spark):
     rows = spark.createDataFrame([(1, 1, 0, "grey wolf")], "doc_id long, chapter_no long, record_pos long, source string")
     plan = T.mined(rows, COMMON)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(normalized") == 1 and "Join" not in plan
+
+
+def test_phrases_travel_as_runs_of_words():
+    one = T.np.zeros(1, T.np.int64)
+    rows = list(T.tallied(["grey wolves ran home soon"], one, one, set(COMMON), 4, ("phrase",)))
+    # a row for each first word, not for each phrase
+    assert sum(len(r[0]) for r in rows) == 4
+
+
+def test_sums_are_kept_apart_from_merging(spark):
+    rows = spark.createDataFrame([(1, 1, 0, "grey wolf")], "doc_id long, chapter_no long, record_pos long, source string")
+    assert "REPARTITION_BY_NUM" in T.mined(rows, COMMON)._jdf.queryExecution().executedPlan().toString()
