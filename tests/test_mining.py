@@ -59,3 +59,10 @@ def test_phrases_travel_as_runs_of_words():
 def test_sums_are_kept_apart_from_merging(spark):
     rows = spark.createDataFrame([(1, 1, 0, "grey wolf")], "doc_id long, chapter_no long, record_pos long, source string")
     assert "REPARTITION_BY_NUM" in T.mined(rows, COMMON)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_lists_are_walked_for_candidates_that_hold_a_listed_word(spark):
+    rows = spark.createDataFrame([(w, "lower", "phrase", 2, 2, 2, w, w.split(" ")) for w in ("grey wolf", "the wolf", "wolf tion", "tion tion")], "normalized string, bucket string, kind string, occurrences long, records long, chapters long, surface string, tokens array<string>")
+    made = T.scored(rows, COMMON, ["tion"], ["wh"])
+    assert {r["normalized"]: r["genericity"] for r in made.collect()} == {"grey wolf": 0.0, "the wolf": 1.2, "wolf tion": 1.9, "tion tion": 2.5}
+    assert "CASE WHEN listed" in made._jdf.queryExecution().executedPlan().toString()
