@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segmenta.functions.fragments import fragment_findings
+from segmenta.functions.fragments import issues
+from segmenta.plans.shared import written
+from segmenta.sources import texts
 
 WIDTH = 1024
 
@@ -40,25 +42,37 @@ def span_records(spans: DataFrame, records: DataFrame, width: int = WIDTH) -> Da
     return asked.join(told, ["doc_id", "bucket"]).where("span_index >= start AND span_index < end").drop("bucket", "end")
 
 
+def blamed(ids: list, sources: list, givens: list) -> list[tuple[str, str, str, str]]:
+    """(severity, rule, record_id, record_ids) of one span's records, in order."""
+
+    def first(*rules: str) -> str:
+        return next((i for i, *pair in zip(ids, sources, givens, strict=True) if any(rule in rules for _, rule in issues(*pair))), None) or ""
+
+    whole, by_tags = [" ".join(x for x in each if x is not None) for each in (sources, givens)], None
+    out = []
+    for severity, rule in issues(*whole):
+        if rule == "dash_semantic_cue_missing":
+            blame = first(rule)
+        else:
+            blame = by_tags = first("inline_xhtml_preserved", "inline_xhtml_parseable") if by_tags is None else by_tags
+        out.append((severity, rule, blame, ",".join(i for i in ids if i is not None)))
+    return out
+
+
 def findings(spans: DataFrame, records: DataFrame, complete: bool = True, width: int = WIDTH) -> DataFrame:
     """(doc_id, start, severity, rule, record_id, record_ids) of spans; records: doc_id, span_index, record_pos, record_id, source, target.
 
     A span's fragments are joined by a blank and checked whole. What breaks is blamed on the first record whose own tags
     differ (or whose dash is gone), or on none; complete: records without a target are findings of their own.
+    Records with their spans are written once to the shared folder, since three parts read them; a span's records go to one call, which asks them one by one only if the span breaks.
     """
-    met = span_records(spans, records, width)
+    met = written(span_records(spans, records, width).select("doc_id", "start", "record_pos", "record_id", "source", "target"), "preflight")
     done = met.withColumn("given", F.coalesce("target", "source"))
     parts = F.array_sort(F.collect_list(F.struct("record_pos", "record_id", "source", "given")))
     whole = done.groupBy("doc_id", "start").agg(parts.alias("p"), F.bool_and(F.col("source") == F.col("given")).alias("same")).where("NOT same")
-    joined = whole.select("doc_id", "start", F.array_join("p.record_id", ",").alias("record_ids"), F.array_join("p.source", " ").alias("source"), F.array_join("p.given", " ").alias("target"))
-    broken = fragment_findings(joined, ["doc_id", "start", "record_ids"]).drop("n")
-    own = fragment_findings(done.withColumnRenamed("target", "t").withColumn("target", F.col("given")), ["doc_id", "start", "record_pos", "record_id"])
-    tags = own.where("rule IN ('inline_xhtml_preserved', 'inline_xhtml_parseable')").groupBy("doc_id", "start").agg(F.min_by("record_id", "record_pos").alias("by_tags"))
-    dash = own.where("rule = 'dash_semantic_cue_missing'").groupBy("doc_id", "start").agg(F.min_by("record_id", "record_pos").alias("by_dash"))
-    blamed = broken.join(tags, ["doc_id", "start"], "left").join(dash, ["doc_id", "start"], "left")
-    blame = F.when(F.col("rule") == "dash_semantic_cue_missing", F.col("by_dash")).otherwise(F.col("by_tags"))
     columns = ["doc_id", "start", "severity", "rule", "record_id", "record_ids"]
-    found = blamed.withColumn("record_id", F.coalesce(blame, F.lit(""))).select(*columns)
+    keys = {k: whole.schema[k].dataType.simpleString() for k in columns[:2]}
+    found = texts.explode_texts(whole.select(*keys, "p.record_id", "p.source", "p.given"), keys, ["record_id", "source", "given"], dict.fromkeys(columns[2:], "string"), blamed).drop("pos")
     empty = spans.select("doc_id", F.col("span_index").alias("start")).join(met.select("doc_id", "start").distinct(), ["doc_id", "start"], "left_anti")
     found = found.unionByName(empty.select("doc_id", "start", F.lit("error").alias("severity"), F.lit("span_without_records").alias("rule"), F.lit("").alias("record_id"), F.lit("").alias("record_ids")))
     if complete:

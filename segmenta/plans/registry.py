@@ -23,6 +23,8 @@ FRAMES = gates.FRAMES | wired.FRAMES | project.FRAMES | books.FRAMES
 
 #: Reads of the sentences from which on a query segments the texts once, into the shared folder.
 STORED_FROM = 3
+#: Queries whose parts read the sentences as often between them.
+PARTED = ("span_preflight",)
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,14 +74,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def one(name: str) -> Callable[[SparkSession, str], DataFrame]:
         return lambda spark, sf_dir: plan(spark, sf_dir, name)
 
-    def framed(make: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def framed(name: str, make: Callable) -> Callable[[SparkSession, str], DataFrame]:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             kept: dict[str, DataFrame] = {}
+            if name in PARTED:
+                kept["v_sentences"] = kept["stored"] = written(sentences(spark, sf_dir), "sentences")
             return make(spark, lambda sql: over(spark, sf_dir, sql, kept))
 
         return run
 
-    return {name: one(name) for name in SQL} | {name: framed(make) for name, make in FRAMES.items()} | windows.QUERIES
+    return {name: one(name) for name in SQL} | {name: framed(name, make) for name, make in FRAMES.items()} | windows.QUERIES
 
 
 def oracles() -> dict[str, str]:

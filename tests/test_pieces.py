@@ -3,7 +3,7 @@
 import pyarrow as pa
 
 from segmenta.functions import fragments, migrate
-from segmenta.operators import terms
+from segmenta.operators import preflight, terms
 from segmenta.sources import batches, epub, texts
 
 
@@ -44,3 +44,17 @@ def test_steps_let_go_of_rows():
 
 def test_step_modules_read_pieces():
     assert all(m.pieces is batches.pieces for m in (texts, terms, epub, fragments, migrate))
+
+
+def test_spans_are_blamed_without_further_steps(spark):
+    """A span's records meet once, in one step in Python, and their blame needs no join."""
+    rows = [(1, 0, 0, "a", "<b>x</b> –", "<i>x</i>"), (1, 1, 1, "b", "y", None), (1, 2, 5, "c", "– z", "z"), (2, 0, 0, "a", "<b>", "<b>"), (2, 1, 1, "b", "u", "v")]
+    records = spark.createDataFrame(rows, "doc_id long, record_pos long, span_index long, record_id string, source string, target string")
+    found = preflight.findings(spark.createDataFrame([(1, 0), (1, 4), (2, 0)], "doc_id long, span_index long"), records)
+    got = {(r["doc_id"], r["start"], r["rule"], r["record_id"], r["record_ids"]) for r in found.collect()}
+    assert got == {
+        (1, 0, "inline_xhtml_preserved", "a", "a,b"), (1, 0, "inline_xhtml_no_new_attributes", "a", "a,b"), (1, 0, "dash_semantic_cue_missing", "a", "a,b"), (1, 0, "missing_translation", "b", "b"),
+        (1, 4, "dash_semantic_cue_missing", "c", "c"), (2, 0, "inline_xhtml_parseable", "a", "a,b"),
+    }
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Join") == 1
