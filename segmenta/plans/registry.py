@@ -24,7 +24,7 @@ FRAMES = gates.FRAMES | wired.FRAMES | project.FRAMES | books.FRAMES
 #: Reads of the sentences from which on a query segments the texts once, into the shared folder.
 STORED_FROM = 3
 #: Queries whose parts read the sentences as often between them.
-PARTED = ("span_preflight",)
+PARTED = ("store_scan", "store_scan_findings", "span_preflight")
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import pyarrow as pa
 
 from segmenta.functions import fragments, migrate
 from segmenta.operators import preflight, terms
-from segmenta.sources import batches, epub, texts
+from segmenta.sources import batches, epub, scans, texts
 
 
 class Frame:
@@ -58,3 +58,11 @@ def test_spans_are_blamed_without_further_steps(spark):
     }
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and plan.count("Join") == 1
+
+
+def test_stores_are_read_and_parsed_once(spark):
+    files = spark.createDataFrame([(1, "{}"), (2, '{"version": 2, "records": []}'), (3, '{"version": 2, "records": {}}'), (4, '{"version": 1, "records": {}} x')], "doc_id long, content string")
+    found = scans.store_findings(files, ["doc_id"])
+    assert {r["doc_id"]: r["detail"] for r in found.collect()} == {1: "field records", 2: "field records", 4: "json"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("try_parse_json") + plan.count("parse_json(") <= 4
