@@ -63,7 +63,7 @@ def epub_rebuild(over: Over) -> DataFrame:
     found, packed = opened(over)
     docs = epub.documents(found, packed)
     same = epub.rebuilt_documents(epub.spans(docs), F.col("content")).select("book", "name", F.sha2("text", 256).alias("same_sha256"))
-    again = epub.entries(epub.zipped(epub.replaced(found, translated(docs))))
+    again = written(epub.entries(epub.zipped(epub.replaced(found, translated(docs)))), "entries")
     back = epub.documents(again, epub.package(again)).select("book", "name", F.sha2("html", 256).alias("translated_sha256"))
     return same.join(back, ["book", "name"])
 

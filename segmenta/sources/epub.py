@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segmenta.plans.shared import written
 from segmenta.sources import texts
 from segmenta.sources.batches import pieces
 
@@ -229,9 +230,10 @@ def audit(wanted: DataFrame, built: DataFrame) -> DataFrame:
     """(book, severity, rule, detail) of built books against the books that are wanted with their language.
 
     wanted: book, language (null: whatever it is). built: book, content.
+    Books are unzipped once into the shared folder, since all rules read their entries.
     """
-    found = entries(built)
-    packed = package(found)
+    found = written(entries(built), "entries")
+    packed = written(package(found), "package")
     columns = ["book", "severity", "rule", "detail"]
 
     def finding(rows: DataFrame, severity: str, rule: str, detail: Column) -> DataFrame:

@@ -1,10 +1,13 @@
 """Arrow steps hold a bounded number of rows, however many Spark sends at once."""
 
+import tracemalloc
+
 import pyarrow as pa
 
 from segmenta.functions import fragments, migrate
 from segmenta.operators import preflight, terms
-from segmenta.sources import batches, epub, scans, texts
+from segmenta.plans import registry
+from segmenta.sources import batches, epub, scans, texts, xhtml
 
 
 class Frame:
@@ -66,3 +69,25 @@ def test_stores_are_read_and_parsed_once(spark):
     assert {r["doc_id"]: r["detail"] for r in found.collect()} == {1: "field records", 2: "field records", 4: "json"}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and plan.count("try_parse_json") + plan.count("parse_json(") <= 4
+
+
+def test_a_block_is_read_without_a_tuple_for_each_character():
+    page = f"<p>{'wolf and den ' * 40_000}</p>"
+    tracemalloc.start()
+    ((_, block, *_), _), (_, most) = xhtml.rows(page), tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert block == page[3:-5] and most < 20 * len(page)
+
+
+def test_forms_of_plain_and_odd_characters_stand_in_order():
+    page = "<p>a  b c\n&gt; > &gt; & &amp;  ]-^ é&eacute;é</p>"
+    (block, _, tokens, tags, forms), _ = xhtml.with_forms(page)
+    assert block == "a b c > > > & & ]-^ ééé" and xhtml.refill(block, tokens, tags, forms) == page[3:-4]
+    assert forms == {" ": ["  ", " ", "\n", " ", " ", " ", " ", "  ", " "], ">": ["&gt;", ">", "&gt;"], "&": ["&", "&amp;"], "é": ["é", "&eacute;", "é"]}
+    assert xhtml.refill("> > > > <", tokens, tags, forms) == "&gt;  > &gt;\n&gt; &lt;"
+
+
+def test_books_are_zipped_and_unzipped_once(spark):
+    plan = registry.queries()["epub_rebuild"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # spans of the documents as they were, and the package of those translated
+    assert plan.count("MapInArrow") == 2
