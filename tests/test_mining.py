@@ -66,3 +66,46 @@ def test_word_lists_are_walked_for_candidates_that_hold_a_listed_word(spark):
     made = T.scored(rows, COMMON, ["tion"], ["wh"])
     assert {r["normalized"]: r["genericity"] for r in made.collect()} == {"grey wolf": 0.0, "the wolf": 1.2, "wolf tion": 1.9, "tion tion": 2.5}
     assert "CASE WHEN listed" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_of(seed):
+    r = random.Random(seed)
+    words = [*WORDS, "tion", "ing-the", "Onth", "xxi", "wh"]
+    return [(doc, pos // 20 + 1, pos, " ".join(r.choices(words, k=r.randrange(14)))) for doc in [*range(9), 3] for pos in range(r.choice([1, 45, 70]))]
+
+
+SCHEMA = "doc_id long, chapter_no long, record_pos long, source string"
+
+
+@pytest.mark.parametrize(("seed", "longest", "batch", "long_"), [(6, 4, 1, 1 << 22), (7, 4, 3, 200), (8, 5, 7, 1), (9, 2, 2, 1 << 22), (10, 3, 10000, 150)])
+def test_terms_whose_runs_come_in_several_batches_are_summed_once(spark, monkeypatch, seed, longest, batch, long_):
+    rows = rows_of(seed)
+    monkeypatch.setattr(T, "SLICE", min(300, long_))
+    monkeypatch.setattr(T, "LONG_CHAPTER", long_)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = T.mined(spark.createDataFrame(rows, SCHEMA), COMMON, longest).select("normalized", "bucket", "occurrences", "records", "chapters", "surface").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, got)) == plain(rows, longest)
+
+
+def test_sums_need_no_aggregate_over_texts(spark):
+    plan = T.mined(spark.createDataFrame([(1, 1, 0, "grey wolf")], SCHEMA), COMMON)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Generate" not in plan
+
+
+def test_what_is_told_of_tokens_is_what_they_say(spark):
+    rows, generic = spark.createDataFrame(rows_of(11), SCHEMA), ["tion", "ten", "sea", "the wolf", "and"]
+    told, taken = T.mined(rows, COMMON, lists=(COMMON, generic)), T.mined(rows, COMMON)
+    assert "tokens" not in told.columns
+    a, b = ([tuple(x) for x in T.scored(x, COMMON, generic, ["wh"], "^Onth", "x+").collect()] for x in (told, taken))
+    assert len(a) > 200 and sorted(a) == sorted(b)
+
+
+def test_rounding_is_that_of_round(spark):
+    r = random.Random(12)
+    values = [0.0, 0.1234565, 1.0000005, 2.5000015, -0.0000005, -0.0000004, 24.499999499999, 123.4567895, *(r.uniform(-5, 40) for _ in range(2000)), *(r.randrange(10**8) / 1e7 for _ in range(2000))]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert df.select(T._round6(T.F.col("x")).alias("a"), T.F.round("x", 6).alias("b")).where("a <> b").collect() == []
