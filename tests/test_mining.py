@@ -100,7 +100,7 @@ def test_what_is_told_of_tokens_is_what_they_say(spark):
     rows, generic = spark.createDataFrame(rows_of(11), SCHEMA), ["tion", "ten", "sea", "the wolf", "and"]
     told, taken = T.mined(rows, COMMON, lists=(COMMON, generic)), T.mined(rows, COMMON)
     assert "tokens" not in told.columns
-    a, b = ([tuple(x) for x in T.scored(x, COMMON, generic, ["wh"], "^Onth", "x+").collect()] for x in (told, taken))
+    a, b = ([tuple(x) for x in T.scored(x, COMMON, generic, ["wh", "fw", "nai"], "^Onth", "x+").collect()] for x in (told, taken))
     assert len(a) > 200 and sorted(a) == sorted(b)
 
 
@@ -109,3 +109,13 @@ def test_rounding_is_that_of_round(spark):
     values = [0.0, 0.1234565, 1.0000005, 2.5000015, -0.0000005, -0.0000004, 24.499999499999, 123.4567895, *(r.uniform(-5, 40) for _ in range(2000)), *(r.randrange(10**8) / 1e7 for _ in range(2000))]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert df.select(T._round6(T.F.col("x")).alias("a"), T.F.round("x", 6).alias("b")).where("a <> b").collect() == []
+
+
+def test_buckets_told_at_a_glance_are_those_of_each_letter():
+    def slowly(word):
+        letters = [c for c in word if c.isalpha()]
+        capital = [T.unicodedata.category(c) == "Lu" for c in letters]
+        return "upper" if letters and all(capital) else "title" if sum(capital) == 1 and capital[0] else "mixed" if any(capital) else "lower"
+
+    words = [w for c in map(chr, [*range(0x3000), *range(0x1D400, 0x1D500)]) for w in (c, "a" + c, c + "a", "A" + c, c + "-b", "Ab" + c)]
+    assert [w for w in words if T.bucket_of(w) != slowly(w)] == []
